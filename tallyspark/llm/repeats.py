@@ -27,7 +27,7 @@ from .common import materialize, release, slices, splitmix, utf8_column
 
 U = np.uint64
 #: Bytes of text that are worked on at a time, and the longest piece of one document.
-PIECE = 1 << 20
+PIECE = 1 << 17
 _POS = 22
 _BYTE_HASH = splitmix(np.arange(256, dtype=U) + U(1 << 40))
 _SPACE = np.zeros(256, bool)
@@ -74,25 +74,30 @@ class Bytes:
     """Windows of bytes; an anchor is the 16-byte string of least fingerprint in the window."""
 
     def __init__(self, width: int = 100, gram: int = 16):
-        self.width, self.gram = width, gram
+        self.width, self.gram, self.anchor_size = width, gram, gram
 
     def tokens(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return _BYTE_HASH[raw], off
 
-    def anchors(self, levels: list[np.ndarray], begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window starts, anchor position, anchor name)."""
+    def anchors(self, levels: list[np.ndarray], begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Runs of windows: (first window, windows, anchor position, anchor name)."""
         g = levels[self.gram.bit_length() - 1]
-        at = _windows(ends, begins, self.width)
-        if not len(at):
-            return at, at, np.zeros(0, U)
         m = (g >> U(_POS) << U(_POS)) | np.arange(len(g), dtype=U)
         span, n = self.width - self.gram + 1, 1
         while n * 2 <= span:
             m = np.minimum(m[:-n], m[n:])
             n *= 2
-        best = np.minimum(m[at], m[at + span - n])
-        pos = (best & U((1 << _POS) - 1)).astype(np.int64)
-        return at, pos, g[pos]
+        pos = (np.minimum(m[: len(m) - span + n], m[span - n :]) & U((1 << _POS) - 1)).astype(np.int32)
+        new = np.ones(len(pos) + 1, bool)
+        np.not_equal(pos[1:], pos[:-1], out=new[1:-1])
+        new[begins] = new[ends - self.width + 1] = True
+        head = np.flatnonzero(new)
+        n = np.diff(head)
+        head = head[:-1]
+        inside = head <= (ends - self.width)[np.searchsorted(begins, head, side="right") - 1]
+        head, n = head[inside], n[inside]
+        at = pos[head].astype(np.int64)
+        return head, n, at, g[at]
 
 
 class Words:
@@ -105,16 +110,14 @@ class Words:
     """
 
     def __init__(self, width: int = 50, rounds: int = 5):
-        self.width, self.rounds = width, rounds
+        self.width, self.rounds, self.anchor_size = width, rounds, 1
 
     def tokens(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return word_hashes(raw, off)[:2]
 
-    def anchors(self, levels: list[np.ndarray], begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def anchors(self, levels: list[np.ndarray], begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         h = levels[0]
         at = _windows(ends, begins, self.width)
-        if not len(at):
-            return at, at, np.zeros(0, U)
         first = np.zeros(len(h), bool)
         first[begins[begins < len(h)]] = True
         sym, beg = h, np.arange(len(h))
@@ -174,7 +177,8 @@ class Words:
             if not len(who):
                 break
         settle(self.rounds + 1, who, lo, hi)
-        return at, pos, name
+        head, n = _runs(at, pos)
+        return at[head], n, pos[head], name[head]
 
 
 def word_hashes(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -242,21 +246,22 @@ def _pieces(bounds: np.ndarray, width: int, most: int) -> Iterator[tuple[np.ndar
         yield np.array(rows), np.array(begins), np.array(ends)
 
 
-def _runs_of(spec, raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+def _runs_of(spec, raw: np.ndarray, off: np.ndarray, names_only: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
     """(row, lo, n, name, context) of all runs of a batch of texts; lo counts tokens in the row."""
     tokens, bounds = spec.tokens(raw, off)
     for rows, begins, ends in _pieces(bounds, spec.width, PIECE):
         size = ends - begins
         local = np.concatenate(([0], np.cumsum(size)))
         own = np.concatenate([tokens[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]) if len(rows) > 1 else tokens[begins[0] : ends[0]]
-        levels = _levels(spec, own)
-        at, pos, name = spec.anchors(levels, local[:-1], local[1:])
-        head, n = _runs(at, pos)
-        lo, anchor = at[head], pos[head]
+        levels = doubled(own, spec.anchor_size) if names_only else _levels(spec, own)
+        lo, n, anchor, name = spec.anchors(levels, local[:-1], local[1:])
+        if names_only:
+            yield (name,)
+            continue
         piece = np.searchsorted(local, lo, side="right") - 1
         row = rows[piece]
         start = begins[piece] - bounds[row] + lo - local[piece]
-        yield row, start, n, name[head], _context(spec, levels, lo, n, anchor - lo)
+        yield row, start, n, name, _context(spec, levels, lo, n, anchor - lo)
 
 
 def _texts(batch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -287,7 +292,7 @@ def _emit_names(spec) -> Callable:
 
         for b in batches:
             for _, _, raw, off in _texts(b):
-                for _, _, _, name, _ in _runs_of(spec, raw, off):
+                for (name,) in _runs_of(spec, raw, off, True):
                     yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64))], ["name"])
 
     return run

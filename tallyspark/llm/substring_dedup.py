@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table, utf8_column
 from .repeats import Bytes, Words, removed_mask, repeated_spans, with_spans
@@ -65,8 +66,9 @@ def dedup_bytes(docs: DataFrame, width: int = MIN_BYTES, key: str = "doc_id", te
     return marked.select(key, text, "__spans").mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def strip_bytes(docs: DataFrame, width: int = MIN_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the repeated bytes cut out of the text; all columns, every row.
+def strip_bytes(docs: DataFrame, width: int = MIN_BYTES, key: str = "doc_id", text: str = "text", length: str | None = None) -> DataFrame:
+    """``docs`` with the repeated bytes cut out of the text; all columns, every row.  The column
+    ``length``, if named, is set to the number of characters left.
 
     A cut inside a character drops the character's remaining bytes, so the text stays valid UTF-8."""
     marked = with_spans(docs, repeated_spans(docs, Bytes(width), False, key, text), key, text)
@@ -85,7 +87,8 @@ def strip_bytes(docs: DataFrame, width: int = MIN_BYTES, key: str = "doc_id", te
                 out.append(column[i].as_py() if s is None else _kept_bytes(own, s, width)[0].decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text else b.column(b.schema.get_field_index(c)) for c in names], names)
 
-    return marked.mapInArrow(run, docs.schema)
+    out = marked.mapInArrow(run, docs.schema)
+    return out.withColumn(length, F.length(text).cast(docs.schema[length].dataType)) if length else out
 
 
 def dedup_words(docs: DataFrame, width: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
