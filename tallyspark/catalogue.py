@@ -1,0 +1,11 @@
+"""All queries of the engine, with SQL where SQL can express them."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict:
+    return {}
