@@ -6,6 +6,7 @@ and executors share) and read again.  That cuts lineage and outlives any executo
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,10 +37,16 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table as read back."""
-    path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    """Write ``df`` to the shared folder and return the table as read back.
+
+    The shuffle files of finished jobs are let go: Spark deletes them when the driver's JVM finds
+    their plans unreachable, so a collection is asked for after each table."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    gc.collect()
+    spark._jvm.System.gc()
     back._scratch_path = path
     return back
 

@@ -2,17 +2,20 @@
 
 Every window of ``width`` tokens picks one anchor inside it by a rule that looks at the window's
 content alone, so equal windows pick anchors of equal name at equal distance.  Consecutive windows
-with one anchor form a run; a run's context fingerprint covers all its windows.
-
-1. Names are counted over the corpus; runs whose name is unique hold no repeat and are dropped.
-2. Surviving runs are put into classes by (name, context).  A run of a class that is not the first
-   has every window repeated earlier.  If a name has one class, its first run has none repeated.
-3. Only the first runs of names with several classes are opened into windows, which are ranked by
-   (name, window fingerprint).
-4. The spans found return to their documents.
-
-Each step is a pre-aggregated group-by or an equi-join; no group is collected, and what is kept of
-a document is bounded by its length.  Two keys of 64 bits each name a class or a window.
+with one anchor form a run.  A row of Spark is a run, not a window:
+
+1. A run's rank is the pair (name, context).  The name is the fingerprint of tokens that all equal
+   windows share, the context that of all tokens under the run.  Runs are shuffled by name and
+   sorted; a name that stands alone is unique and drops out.  A run whose rank stands earlier has
+   every window repeated.  The first run of a rank is opened if its name has other contexts.
+2. Opened runs are cut by the anchor's distance into runs of at most ``STEP`` windows, whose names
+   cover all but ``STEP`` - 1 tokens of a window, and ranked again; what is still open is ranked
+   window by window, past the threshold.
+3. The spans found return to their documents.
+
+Rows of one rank in one batch are settled before the shuffle, so an exact copy or a passage that a
+third of all documents hold costs a row a batch; settled rows travel by their document.  The sorted
+rows are read as a stream, so a task holds no group.  Two keys of 64 bits make a rank.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ _BYTE_HASH = splitmix(np.arange(256, dtype=U) + U(1 << 40))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWEST = -(1 << 63)
+#: Windows of a run once it has been opened.
+STEP = 8
 
 
 def _join(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
@@ -71,10 +76,10 @@ def _runs(at: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Bytes:
-    """Windows of bytes; an anchor is the 16-byte string of least fingerprint in the window."""
+    """Windows of bytes; an anchor is the 32-byte string of least fingerprint in the window."""
 
-    def __init__(self, width: int = 100, gram: int = 16):
-        self.width, self.gram, self.anchor_size = width, gram, gram
+    def __init__(self, width: int = 100, gram: int = 32):
+        self.width, self.gram = width, gram
 
     def tokens(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return _BYTE_HASH[raw], off
@@ -110,7 +115,7 @@ class Words:
     """
 
     def __init__(self, width: int = 50, rounds: int = 5):
-        self.width, self.rounds, self.anchor_size = width, rounds, 1
+        self.width, self.rounds = width, rounds
 
     def tokens(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return word_hashes(raw, off)[:2]
@@ -211,6 +216,12 @@ def _levels(spec, h: np.ndarray) -> list[np.ndarray]:
     return doubled(h, 1 << (spec.width.bit_length() - 1))
 
 
+def _span_name(levels: list[np.ndarray], start: np.ndarray, size: int, salt: int) -> np.ndarray:
+    """Fingerprint of ``size`` tokens, between once and twice the largest level."""
+    top, unit = levels[-1], 1 << (len(levels) - 1)
+    return _join(top[start], top[start + size - unit], salt)
+
+
 def _context(spec, levels: list[np.ndarray], lo: np.ndarray, n: np.ndarray, offset: np.ndarray) -> np.ndarray:
     """Fingerprint of all tokens under a run's windows, and of where its anchor lies."""
     top = levels[-1]
@@ -222,12 +233,6 @@ def _context(spec, levels: list[np.ndarray], lo: np.ndarray, n: np.ndarray, offs
     return x
 
 
-def _window_names(spec, levels: list[np.ndarray], at: np.ndarray) -> np.ndarray:
-    top = levels[-1]
-    size = 1 << (len(levels) - 1)
-    return _join(top[at], top[at + spec.width - size], 120)
-
-
 def _pieces(bounds: np.ndarray, width: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(rows, begins, ends) of token ranges that together hold every window of every row once."""
     rows, begins, ends, held = [], [], [], 0
@@ -246,22 +251,19 @@ def _pieces(bounds: np.ndarray, width: int, most: int) -> Iterator[tuple[np.ndar
         yield np.array(rows), np.array(begins), np.array(ends)
 
 
-def _runs_of(spec, raw: np.ndarray, off: np.ndarray, names_only: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
-    """(row, lo, n, name, context) of all runs of a batch of texts; lo counts tokens in the row."""
+def _runs_of(spec, raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, lo, n, offset, name, context) of all runs of a batch of texts; lo counts tokens in the row."""
     tokens, bounds = spec.tokens(raw, off)
     for rows, begins, ends in _pieces(bounds, spec.width, PIECE):
         size = ends - begins
         local = np.concatenate(([0], np.cumsum(size)))
         own = np.concatenate([tokens[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]) if len(rows) > 1 else tokens[begins[0] : ends[0]]
-        levels = doubled(own, spec.anchor_size) if names_only else _levels(spec, own)
+        levels = _levels(spec, own)
         lo, n, anchor, name = spec.anchors(levels, local[:-1], local[1:])
-        if names_only:
-            yield (name,)
-            continue
         piece = np.searchsorted(local, lo, side="right") - 1
         row = rows[piece]
         start = begins[piece] - bounds[row] + lo - local[piece]
-        yield row, start, n, name, _context(spec, levels, lo, n, anchor - lo)
+        yield row, start, n, anchor - lo, name, _context(spec, levels, lo, n, anchor - lo)
 
 
 def _texts(batch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -271,58 +273,149 @@ def _texts(batch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         yield i, j, raw[off[i] : off[j]], off[i : j + 1] - off[i]
 
 
-def _emit_runs(spec) -> Callable:
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+_ROW = "k long, done int, doc long, tag int, lo int, n int, off int, name long, ctx long"
 
-        for b in batches:
-            doc, tag = (b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
-            for i, _, raw, off in _texts(b):
-                for row, lo, n, name, context in _runs_of(spec, raw, off):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x) for x in (doc[i + row], tag[i + row], lo.astype(np.int32), n.astype(np.int32), name.view(np.int64), context.view(np.int64))],
-                        ["doc", "tag", "lo", "n", "name", "ctx"])
 
-    return run
+def _settled(doc, tag, lo, n, off, name, ctx, other_document: bool):
+    """One Arrow batch of rows, those already settled by an earlier row of their rank marked done."""
+    import pyarrow as pa
 
+    rank = _join(name, ctx, 200)
+    order = np.argsort(rank, kind="stable")
+    same = rank[order][1:] == rank[order][:-1]
+    twin = np.zeros(len(order) + 1, bool)
+    twin[1:-1] = same
+    rows = order[twin[1:] | twin[:-1]]
+    done = np.zeros(len(rank), np.int32)
+    if len(rows):
+        rows = rows[np.lexsort((lo[rows], tag[rows], doc[rows], rank[rows]))]
+        head = np.ones(len(rows), bool)
+        head[1:] = rank[rows][1:] != rank[rows][:-1]
+        first = rows[head][np.cumsum(head) - 1]
+        done[rows] = doc[rows] > doc[first] if other_document else ~head & ((doc[rows] > doc[first]) | (tag[rows] != tag[first]) | (lo[rows] > lo[first]))
+    k = np.where(done == 1, splitmix(doc.astype(U) ^ splitmix(lo.astype(U))), name)
+    cols = (k.view(np.int64), done, doc.astype(np.int64), tag.astype(np.int32), lo.astype(np.int32), n.astype(np.int32), off.astype(np.int32), name.view(np.int64), ctx.view(np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], [c.split()[0] for c in _ROW.split(", ")])
 
-def _emit_names(spec) -> Callable:
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
+def _emit_runs(spec, other_document: bool) -> Callable:
+    def run(batches: Iterator) -> Iterator:
         for b in batches:
-            for _, _, raw, off in _texts(b):
-                for (name,) in _runs_of(spec, raw, off, True):
-                    yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64))], ["name"])
+            doc, tag = (b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+            parts = [(doc[i + row], tag[i + row], *rest) for i, _, raw, off in _texts(b) for row, *rest in _runs_of(spec, raw, off)]
+            if parts:
+                yield _settled(*(np.concatenate(x) for x in zip(*parts, strict=True)), other_document)
 
     return run
 
 
-def _emit_windows(spec) -> Callable:
-    """Opens the runs listed for each document: one row for every window."""
+def _emit_opened(spec, step: int, other_document: bool) -> Callable:
+    """Cuts the runs listed for each document into runs of at most ``step`` windows.
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    Windows whose anchor lies step * c to step * c + step - 1 tokens in share the tokens from
+    step * c before the anchor on, ``width`` - step + 1 of them: the name."""
 
+    def cut(levels, lo, n, off):
+        first = np.concatenate(([0], np.cumsum(n)[:-1]))
+        at = np.arange(int(n.sum())) + np.repeat(lo - first, n)
+        anchor = np.repeat(lo + off, n)
+        kind = (anchor - at) // step
+        new = np.ones(len(at), bool)
+        new[1:] = (kind[1:] != kind[:-1]) | (at[1:] != at[:-1] + 1) | (anchor[1:] != anchor[:-1])
+        head = np.flatnonzero(new)
+        size = np.diff(np.append(head, len(at)))
+        a, o = at[head], (anchor - at)[head]
+        name = _span_name(levels, (anchor - kind * step)[head], spec.width - step + 1, 120)
+        ctx = _context(spec, levels, a, size, o) if step > 1 else np.zeros(len(a), U)
+        return a, size, o, name, ctx
+
+    def run(batches: Iterator) -> Iterator:
         for b in batches:
             doc, tag = (b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
-            lists = b.column(3)
+            lists, parts = b.column(3), []
             for i, j, raw, off in _texts(b):
                 tokens, bounds = spec.tokens(raw, off)
                 for r in range(i, j):
                     items = lists[r].values
-                    lo, n, name = (items.field(k).to_numpy(zero_copy_only=False) for k in ("lo", "n", "name"))
-                    levels = _levels(spec, tokens[bounds[r - i] : bounds[r - i + 1]])
-                    first = np.concatenate(([0], np.cumsum(n)[:-1]))
-                    at = np.arange(int(n.sum())) + np.repeat(lo - first, n)
-                    k = len(at)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(k, doc[r], np.int64)), pa.array(np.full(k, tag[r], np.int32)), pa.array(at.astype(np.int32)), pa.array(np.repeat(name, n)), pa.array(_window_names(spec, levels, at).view(np.int64))],
-                        ["doc", "tag", "lo", "name", "win"])
+                    lo, n, o = (items.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("lo", "n", "off"))
+                    found = cut(_levels(spec, tokens[bounds[r - i] : bounds[r - i + 1]]), lo, n, o)
+                    k = len(found[0])
+                    parts.append((np.full(k, doc[r], np.int64), np.full(k, tag[r], np.int32), *found))
+            if parts:
+                yield _settled(*(np.concatenate(x) for x in zip(*parts, strict=True)), other_document)
+
+    return run
+
+
+def _resolve(other_document: bool) -> Callable:
+    """Rows sorted by (done, name, ctx, doc, tag, lo) to those that are repeated or to be opened.
+
+    A row is covered if a row of its rank stands before it.  The first rows of a rank are open if
+    the name has another rank; of the first rank of a name they wait until a second one comes."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        held: list = []  # the first rows of the first rank of the current name
+        last_name = last_ctx = last_doc = None
+        several = False
+        for b in batches:
+            if not b.num_rows:
+                continue
+            done, doc, tag, lo, name, ctx = (b.column(c).to_numpy(zero_copy_only=False) for c in ("done", "doc", "tag", "lo", "name", "ctx"))
+            n = b.num_rows
+            new_name, new_ctx = np.ones(n, bool), np.ones(n, bool)
+            new_name[1:] = name[1:] != name[:-1]
+            new_ctx[1:] = new_name[1:] | (ctx[1:] != ctx[:-1])
+            same = name[0] == last_name
+            new_name[0], new_ctx[0] = not same, not (same and ctx[0] == last_ctx)
+            # The first row of each rank: its index, or -1 for the rank carried over.
+            head = np.maximum.accumulate(np.where(new_ctx, np.arange(n), -1))
+            lead = np.where(head >= 0, doc[head], last_doc if last_doc is not None else 0)
+            covered = (doc > lead) if other_document else ~new_ctx
+            covered |= done == 1
+            first = ~covered
+            # Names with several ranks inside this batch, or together with what came before.
+            group = np.cumsum(new_name)
+            ranks = np.bincount(group, weights=new_ctx)
+            multi = ranks >= 2
+            if group[0] == 0:
+                multi[0] = several or ranks[0] >= 1
+            is_open = first & multi[group]
+            if held and (group[0] == 0) and multi[0]:
+                yield _as_open(held)
+            if group[-1] > 0 or (group[0] == 0 and multi[0]):
+                held = []
+            last = group == group[-1]
+            if not multi[group[-1]]:
+                wait = b.filter(pa.array(first & last & (done == 0)))
+                if wait.num_rows:
+                    held.append(wait)
+            several = bool(multi[group[-1]])
+            last_name, last_ctx, last_doc = name[-1], ctx[-1], lead[-1]
+            keep = covered | is_open
+            if keep.any():
+                out = b.filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([out.column(c) for c in ("doc", "tag", "lo", "n", "off")] + [pa.array(is_open[keep])], ["doc", "tag", "lo", "n", "off", "open"])
 
     return run
 
 
+def _as_open(parts: list):
+    import pyarrow as pa
+
+    t = pa.Table.from_batches(parts).select(["doc", "tag", "lo", "n", "off"]).combine_chunks()
+    t = t.append_column("open", pa.array(np.ones(t.num_rows, bool)))
+    return t.to_batches()[0]
+
+
+def _ranked(rows: DataFrame, other_document: bool, label: str) -> DataFrame:
+    """(doc, tag, lo, n, off, open): rows whose windows are all repeated, and rows to open."""
+    order = ["done", "name", "ctx", "doc", "tag", "lo"]
+    s = rows.repartition("k").sortWithinPartitions(*order).select(*order, "n", "off")
+    return materialize(s.mapInArrow(_resolve(other_document), "doc long, tag int, lo int, n int, off int, open boolean"), label)
+
+
 def repeated_spans(docs: DataFrame, spec, other_document: bool, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, tag, spans): for every document with repeats, runs (lo, n) of repeated window starts.
 
@@ -331,24 +424,16 @@ def repeated_spans(docs: DataFrame, spec, other_document: bool, key: str = "doc_
     ``tag`` a hash of the text, so rows of one key and different texts stay apart.
     """
     d = keyed(docs, key, text)
-    names = d.mapInArrow(_emit_names(spec), "name long").groupBy("name").agg(F.count(F.lit(1)).alias("c"))
-    names = materialize(names.where("c > 1").select("name"), "names")
-    runs = d.mapInArrow(_emit_runs(spec), "doc long, tag int, lo int, n int, name long, ctx long")
-    runs = materialize(runs.join(names, "name"), "runs")
-    here = F.struct("doc", "tag", "lo")
-    classes = runs.groupBy("name", "ctx").agg(F.min(here).alias("first"))
-    several = classes.groupBy("name").agg(F.count(F.lit(1)).alias("classes"))
-    r = runs.join(classes, ["name", "ctx"]).join(several, "name")
-    covered = F.col("doc") > F.col("first.doc") if other_document else here > F.col("first")
-    r = materialize(r.select("doc", "tag", "lo", "n", "name", covered.alias("covered"), (F.col("classes") > 1).alias("open")).where("covered OR open"), "ranked")
-    lists = r.where("NOT covered").groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "n", "name")).alias("items"))
-    w = d.join(lists, ["doc", "tag"]).select("text", "doc", "tag", "items")
-    w = materialize(w.mapInArrow(_emit_windows(spec), "doc long, tag int, lo int, name long, win long"), "windows")
-    least = w.groupBy("name", "win").agg(F.min(here).alias("first"))
-    w = w.join(least, ["name", "win"]).where(covered).select("doc", "tag", "lo", F.lit(1).alias("n"))
-    spans = r.where("covered").select("doc", "tag", "lo", "n").unionAll(w)
-    spans = materialize(spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "n")).alias("spans")), "spans")
-    release(names, runs, r)
+    found = _ranked(d.mapInArrow(_emit_runs(spec, other_document), _ROW), other_document, "runs")
+    levels = [found]
+    for step in (STEP, 1):
+        lists = levels[-1].where("open").groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "n", "off")).alias("items"))
+        rows = d.join(lists, ["doc", "tag"]).select("text", "doc", "tag", "items").mapInArrow(_emit_opened(spec, step, other_document), _ROW)
+        levels.append(_ranked(rows, other_document, f"step{step}"))
+    spans = [x.where("NOT open").select("doc", "tag", "lo", "n") for x in levels]
+    spans = spans[0].unionAll(spans[1]).unionAll(spans[2]).groupBy("doc", "tag")
+    spans = materialize(spans.agg(F.collect_list(F.struct("lo", "n")).alias("spans")), "spans")
+    release(*levels)
     return spans
 
 

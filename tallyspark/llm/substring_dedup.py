@@ -2,11 +2,11 @@
 deduplication by recompression (operator 9).
 
 Operator 2 names strings by prefix doubling: the rank of a string of 2L bytes is the name of the
-pair of ranks at offsets 0 and L (1, 2, 4, ... 64, and 64 + 36 overlapping for the threshold of
-100).  Positions whose 16-byte rank is unique in the corpus are dropped after the first round, as
-prefix doubling drops unique suffixes; the rest are ranked past the threshold.  A Spark row for every
-byte of every round does not fit the disk and CPU limits, so each window of 100 bytes is represented
-by its position of least 16-byte rank, about one position in 43; see ``repeats``.
+pair of ranks at offsets 0 and L (1, 2, 4, ... 64, overlapping for lengths between).  Spark sorts the
+ranked positions at 32 bytes, at 93 and at the threshold of 100, each time dropping what is unique
+and settling what stands earlier.  A Spark row for every byte in every round does not fit the disk
+and CPU limits, so windows that share their position of least 32-byte rank, about 30 in a row, are
+one row until they must be told apart; see ``repeats``.
 
 Operator 9 names words, runs and pairs in recompression rounds; see ``repeats.Words``.
 
