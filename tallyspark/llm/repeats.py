@@ -14,7 +14,7 @@ with one anchor form a run.  A row of Spark is a run, not a window:
 3. The spans found return to their documents.
 
 Rows of one rank in one batch are settled before the shuffle, so an exact copy or a passage that a
-third of all documents hold costs a row a batch; settled rows travel by their document.  The sorted
+third of all documents hold costs a row a batch; settled rows travel by a hash of their own place.  The sorted
 rows are read as a stream, so a task holds no group.  Two keys of 64 bits make a rank.
 """
 
@@ -273,7 +273,8 @@ def _texts(batch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         yield i, j, raw[off[i] : off[j]], off[i : j + 1] - off[i]
 
 
-_ROW = "k long, done int, doc long, tag int, lo int, n int, off int, name long, ctx long"
+#: ``at`` packs lo, n, off and whether the row is settled: lo << 17 | n << 9 | off << 1 | settled.
+_ROW = "name long, ctx long, doc long, tag int, at long"
 
 
 def _settled(doc, tag, lo, n, off, name, ctx, other_document: bool):
@@ -293,8 +294,9 @@ def _settled(doc, tag, lo, n, off, name, ctx, other_document: bool):
         head[1:] = rank[rows][1:] != rank[rows][:-1]
         first = rows[head][np.cumsum(head) - 1]
         done[rows] = doc[rows] > doc[first] if other_document else ~head & ((doc[rows] > doc[first]) | (tag[rows] != tag[first]) | (lo[rows] > lo[first]))
-    k = np.where(done == 1, splitmix(doc.astype(U) ^ splitmix(lo.astype(U))), name)
-    cols = (k.view(np.int64), done, doc.astype(np.int64), tag.astype(np.int32), lo.astype(np.int32), n.astype(np.int32), off.astype(np.int32), name.view(np.int64), ctx.view(np.int64))
+    at = lo.astype(np.int64) << 17 | n.astype(np.int64) << 9 | off.astype(np.int64) << 1 | done
+    name, ctx = (np.where(done == 1, U(0), x).view(np.int64) for x in (name, ctx))
+    cols = (name, ctx, doc.astype(np.int64), tag.astype(np.int32), at)
     return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], [c.split()[0] for c in _ROW.split(", ")])
 
 
@@ -348,7 +350,7 @@ def _emit_opened(spec, step: int, other_document: bool) -> Callable:
 
 
 def _resolve(other_document: bool) -> Callable:
-    """Rows sorted by (done, name, ctx, doc, tag, lo) to those that are repeated or to be opened.
+    """Rows sorted by (name, ctx, doc, tag, at) to those that are repeated or to be opened.
 
     A row is covered if a row of its rank stands before it.  The first rows of a rank are open if
     the name has another rank; of the first rank of a name they wait until a second one comes."""
@@ -362,7 +364,8 @@ def _resolve(other_document: bool) -> Callable:
         for b in batches:
             if not b.num_rows:
                 continue
-            done, doc, tag, lo, name, ctx = (b.column(c).to_numpy(zero_copy_only=False) for c in ("done", "doc", "tag", "lo", "name", "ctx"))
+            name, ctx, doc, at = (b.column(c).to_numpy(zero_copy_only=False) for c in ("name", "ctx", "doc", "at"))
+            done = at & 1
             n = b.num_rows
             new_name, new_ctx = np.ones(n, bool), np.ones(n, bool)
             new_name[1:] = name[1:] != name[:-1]
@@ -396,23 +399,30 @@ def _resolve(other_document: bool) -> Callable:
             keep = covered | is_open
             if keep.any():
                 out = b.filter(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([out.column(c) for c in ("doc", "tag", "lo", "n", "off")] + [pa.array(is_open[keep])], ["doc", "tag", "lo", "n", "off", "open"])
+                yield _unpacked(out, is_open[keep])
 
     return run
 
 
+def _unpacked(b, is_open: np.ndarray):
+    import pyarrow as pa
+
+    at = b.column("at").to_numpy(zero_copy_only=False)
+    parts = [pa.array(x.astype(np.int32)) for x in (at >> 17, (at >> 9) & 255, (at >> 1) & 255)]
+    return pa.RecordBatch.from_arrays([b.column("doc"), b.column("tag"), *parts, pa.array(is_open)], ["doc", "tag", "lo", "n", "off", "open"])
+
+
 def _as_open(parts: list):
     import pyarrow as pa
 
-    t = pa.Table.from_batches(parts).select(["doc", "tag", "lo", "n", "off"]).combine_chunks()
-    t = t.append_column("open", pa.array(np.ones(t.num_rows, bool)))
-    return t.to_batches()[0]
+    b = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+    return _unpacked(b, np.ones(b.num_rows, bool))
 
 
 def _ranked(rows: DataFrame, other_document: bool, label: str) -> DataFrame:
     """(doc, tag, lo, n, off, open): rows whose windows are all repeated, and rows to open."""
-    order = ["done", "name", "ctx", "doc", "tag", "lo"]
-    s = rows.repartition("k").sortWithinPartitions(*order).select(*order, "n", "off")
+    goes_by = F.when(F.col("at") % 2 == 0, F.col("name")).otherwise(F.xxhash64("doc", "at"))
+    s = rows.repartition(goes_by).sortWithinPartitions("name", "ctx", "doc", "tag", "at")
     return materialize(s.mapInArrow(_resolve(other_document), "doc long, tag int, lo int, n int, off int, open boolean"), label)
 
 
