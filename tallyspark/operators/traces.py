@@ -1,0 +1,91 @@
+"""Agent traces, experiment lineage and run health."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def turn_counters(rows: DataFrame, file: str, at: str, role: str) -> DataFrame:
+    w, r = Window.partitionBy(file).orderBy(at), Window.partitionBy(file, role).orderBy(at)
+    return rows.withColumn("event_no", F.row_number().over(w).cast("long")).withColumn("role_no", F.row_number().over(r).cast("long"))
+
+
+def consolidate(events: DataFrame, part: str, at: list[str], kind: str, ts: str, text: str) -> DataFrame:
+    """Runs of consecutive events of one kind: first and last time, count, joined text."""
+    w = Window.partitionBy(part).orderBy(*at)
+    new = F.coalesce((F.col(kind) != F.lag(kind).over(w)).cast("int"), F.lit(1))
+    e = events.withColumn("__new", new).withColumn("island", F.sum("__new").over(w).cast("long"))
+    parts = F.array_sort(F.collect_list(F.struct(*at, text)))
+    return e.groupBy(part, "island").agg(F.first(kind).alias(kind), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count(F.lit(1)).alias("n"),
+                                         F.array_join(F.transform(parts, lambda x: x[text]), " ").alias("text"))
+
+
+def limited_lines(lines: DataFrame, file: str, at: str, text: str, most: int = 5) -> DataFrame:
+    """At most ``most`` equal consecutive lines."""
+    w = Window.partitionBy(file).orderBy(at)
+    d = lines.withColumn("__i", F.sum(F.coalesce((F.col(text) != F.lag(text).over(w)).cast("int"), F.lit(1))).over(w))
+    return d.withColumn("__n", F.row_number().over(Window.partitionBy(file, "__i").orderBy(at))).where(F.col("__n") <= most).drop("__i", "__n")
+
+
+def earlier_call(results: DataFrame, calls: DataFrame, key: str, at: str, name: str) -> DataFrame:
+    """The name of the last call of a result's key that stands before it (a left as-of lookup).
+
+    Both sides meet in one ordered window instead of a range join, so rows stay linear."""
+    both = results.select(*results.columns, F.lit(None).cast("string").alias("__call"), F.lit(1).alias("__r")).unionByName(
+        calls.select(key, at, F.col(name).alias("__call"), F.lit(0).alias("__r")), allowMissingColumns=True)
+    w = Window.partitionBy(key).orderBy(at, F.col("__r").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("call_name", F.last("__call", ignorenulls=True).over(w)).where("__r = 1").drop("__call", "__r")
+
+
+def pattern_hits(rows: DataFrame, key: str, text: str, patterns: list[str], sensitive: bool = False) -> DataFrame:
+    """(pattern, n, ids): rows that contain each pattern."""
+    t = F.col(text) if sensitive else F.lower(text)
+    hit = F.filter(F.array(*[F.lit(p) for p in patterns]), lambda p: F.contains(t, p if sensitive else F.lower(p)))
+    d = rows.select(key, F.explode(hit).alias("pattern"))
+    return d.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first_id"), F.max(key).alias("last_id"))
+
+
+def parents(log: DataFrame) -> DataFrame:
+    """Resolves ``parent_exp_id`` (bare: same agent, ``agent/exp``: another) and says what it found."""
+    p = F.col("parent_exp_id")
+    other = p.contains("/")
+    d = log.withColumn("p_agent", F.when(other, F.split(p, "/", 2)[0]).otherwise(F.col("agent_id"))).withColumn("p_exp", F.when(other, F.split(p, "/", 2)[1]).otherwise(p))
+    known = log.select(F.col("agent_id").alias("p_agent"), F.col("exp_id").alias("p_exp"), F.lit(1).alias("__k")).distinct()
+    d = d.join(known, ["p_agent", "p_exp"], "left")
+    state = F.when(p.isNull(), "legacy").when(F.trim(p).isin("", "none"), "root").when(F.col("__k").isNull(), "orphan").when(F.col("p_agent") != F.col("agent_id"), "cross").otherwise("child")
+    return d.withColumn("link", state).drop("__k")
+
+
+def truthy(c: Column, values: tuple[str, ...] = ("true", "t", "1", "yes", "y", "pass")) -> Column:
+    return F.coalesce(F.lower(F.trim(c)).isin(*values), F.lit(False))
+
+
+def promoted(log: DataFrame) -> Column:
+    return truthy(F.coalesce(F.nullif(F.trim("promoted"), F.lit("")), F.col("decontam_pass")), ("true", "1", "yes"))
+
+
+def notes_sections(notes: DataFrame, key: str, text: str, names: list[str]) -> DataFrame:
+    """(key, section, body) of ``## Name`` sections; the last of equal names wins."""
+    lines = notes.select(key, F.posexplode(F.split(text, "\n")).alias("at", "line"))
+    head = F.regexp_extract("line", r"^##\s+(" + "|".join(names) + r")\s*$", 1)
+    w = Window.partitionBy(key).orderBy("at")
+    d = lines.withColumn("head", head).withColumn("part", F.sum((F.col("head") != "").cast("int")).over(w)).where("part > 0")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("head") == "", F.struct("at", "line")))), lambda x: x["line"]), "\n")
+    return d.groupBy(key, "part").agg(F.max("head").alias("section"), F.trim(body).alias("body"))
+
+
+def error_kind(head: Column) -> Column:
+    return F.when(head.contains("Terminated"), "terminated").when(head.rlike(r"run_task\.sh: line \d+: +\d+ Killed"), "killed").otherwise("clean")
+
+
+def provider_hits(text: Column, providers: dict[str, str]) -> Column:
+    return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(n)) for n, p in sorted(providers.items())]))
+
+
+def token_count(log: Column) -> Column:
+    return F.replace(F.nullif(F.regexp_extract(log, r"tokens used\n([\d,]+)", 1), F.lit("")), F.lit(","), F.lit("")).cast("long")
+
+
+def result_cost(log: Column) -> Column:
+    return F.get_json_object(F.regexp_extract(log, r'(?m)^(\{"type": ?"result".*)$', 1), "$.total_cost_usd").cast("double")
