@@ -16,9 +16,9 @@ def ngram_overlap(texts: DataFrame, tests: DataFrame, keys: list[str], text: str
 
     The hash join's build side is left to Spark, which broadcasts the tests only below its
     threshold; the join key is a 64-bit hash, the shingle itself is compared as well."""
-    sh = lambda d, t: F.explode(shingles(words(normalize(F.col(t))), n))
-    a = texts.select(*keys, sh(texts, text).alias("g")).withColumn("h", F.xxhash64("g"))
-    b = tests.select("item_id", sh(tests, "text").alias("g")).withColumn("h", F.xxhash64("g"))
+    # The words are a column of their own: inside the shingles' lambda they would be split anew each time.
+    sh = lambda d, ks, t: d.select(*ks, words(normalize(F.col(t))).alias("w")).select(*ks, F.explode(shingles(F.col("w"), n)).alias("g")).withColumn("h", F.xxhash64("g"))
+    a, b = sh(texts, keys, text), sh(tests, ["item_id"], "text")
     return a.join(b, ["h", "g"]).groupBy(*keys, "item_id").agg(F.count(F.lit(1)).alias("overlap")).where(F.col("overlap") >= least)
 
 
@@ -40,7 +40,8 @@ def violations(texts: DataFrame, tests: DataFrame, keys: list[str], text: str =
 
 def distinct_ratio(texts: DataFrame, n: int, text: str = "text") -> DataFrame:
     """Distinct over all n-grams; 0 when there are none."""
-    g = texts.select(F.explode(ngrams(words(normalize(F.col(text))), n)).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("c"))
+    w = texts.select(words(normalize(F.col(text))).alias("w"))
+    g = w.select(F.explode(ngrams(F.col("w"), n)).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("c"))
     return g.agg(F.count(F.lit(1)).alias("n_distinct"), F.coalesce(F.sum("c"), F.lit(0)).alias("n_all")).select(
         F.lit(n).alias("n"), "n_distinct", "n_all", F.when(F.col("n_all") > 0, F.col("n_distinct") / F.col("n_all")).otherwise(0.0).alias("ratio"))
 

@@ -57,6 +57,21 @@ def parents(log: DataFrame) -> DataFrame:
     return d.withColumn("link", state).drop("__k")
 
 
+def descend(nodes: DataFrame, node: str, parent: str) -> DataFrame:
+    """(node, root, depth) of every node that a root reaches; one join a level.
+
+    Nodes on a pure cycle have no root and do not come up.  Each level is persisted, so it reads
+    its predecessor once; the driver sees one flag a level."""
+    level = nodes.where(F.col(parent).isNull()).select(node, F.col(node).alias("root"), F.lit(0).alias("depth"))
+    edges = nodes.where(F.col(parent).isNotNull() & (F.col(node) != F.col(parent))).select(node, F.col(parent).alias("__up"))
+    out = level
+    while not (level := level.persist()).isEmpty():
+        up = level.select(F.col(node).alias("__up"), "root", (F.col("depth") + 1).alias("depth"))
+        level = edges.join(up, "__up").select(node, "root", "depth")
+        out = out.unionAll(level)
+    return out
+
+
 def truthy(c: Column, values: tuple[str, ...] = ("true", "t", "1", "yes", "y", "pass")) -> Column:
     return F.coalesce(F.lower(F.trim(c)).isin(*values), F.lit(False))
 

@@ -23,7 +23,7 @@ def _shingle_cte(name: str, table: str, keys: str) -> str:
     return f"""{name}_n AS (SELECT {keys}, {_NORM.format('text')} AS t FROM {table}),
 {name}_w AS (SELECT {keys}, {_WORDS.format('t')} AS w FROM {name}_n),
 {name} AS (SELECT DISTINCT {keys}, g FROM (SELECT {keys}, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) <= 8 THEN [array_to_string(w, ' ')]
-   ELSE list_transform(range(1, len(w) - 6), i -> array_to_string(list_slice(w, i, i + 7), ' ')) END) AS g FROM {name}_w))"""
+   ELSE list_transform(range(1, len(w) - 6), lambda i: array_to_string(list_slice(w, i, i + 7), ' ')) END) AS g FROM {name}_w))"""
 
 
 def query(sql: str | None = None):
@@ -61,7 +61,7 @@ def decontam_messages(t) -> DataFrame:
 
 def _ratio_sql(n: int) -> str:
     return f"""SELECT {n} AS n, COUNT(DISTINCT g) AS n_distinct, COUNT(g) AS n_all, round(CASE WHEN COUNT(g) > 0 THEN COUNT(DISTINCT g) / COUNT(g)::DOUBLE ELSE 0 END, 6) AS ratio FROM (
- SELECT unnest(CASE WHEN len(w) >= {n} THEN list_transform(range(1, len(w) - {n - 2}), i -> array_to_string(list_slice(w, i, i + {n - 1}), ' ')) ELSE []::VARCHAR[] END) AS g FROM (SELECT {_WORDS.format('t')} AS w FROM (SELECT {_NORM.format('text')} AS t FROM documents)))"""
+ SELECT unnest(CASE WHEN len(w) >= {n} THEN list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(list_slice(w, i, i + {n - 1}), ' ')) ELSE []::VARCHAR[] END) AS g FROM (SELECT {_WORDS.format('t')} AS w FROM (SELECT {_NORM.format('text')} AS t FROM documents)))"""
 
 
 @query(f"{_ratio_sql(1)} UNION ALL {_ratio_sql(4)}")
@@ -231,10 +231,8 @@ def call_result_pairing(t) -> DataFrame:
 r(doc_id, root, depth) AS (SELECT doc_id, doc_id, 0 FROM n WHERE parent IS NULL UNION ALL SELECT n.doc_id, r.root, r.depth + 1 FROM n JOIN r ON n.parent = r.doc_id WHERE n.doc_id <> r.doc_id)
 SELECT doc_id, root, depth FROM r""")
 def lineage_tree(t) -> DataFrame:
-    d = t("documents")
-    d.select("doc_id", F.when(F.col("doc_id") % 7 == 0, None).otherwise(F.expr("doc_id div 2")).alias("parent")).createOrReplaceTempView("lineage_nodes")
-    return d.sparkSession.sql("""WITH RECURSIVE r(doc_id, root, depth) AS (SELECT doc_id, doc_id AS root, 0 AS depth FROM lineage_nodes WHERE parent IS NULL
-        UNION ALL SELECT n.doc_id, r.root, r.depth + 1 FROM lineage_nodes n JOIN r ON n.parent = r.doc_id WHERE n.doc_id <> r.doc_id) SELECT doc_id, root, depth FROM r""")
+    nodes = t("documents").select("doc_id", F.when(F.col("doc_id") % 7 == 0, None).otherwise(F.expr("doc_id div 2")).alias("parent"))
+    return traces.descend(nodes, "doc_id", "parent")
 
 
 @query("""WITH l AS (SELECT doc_id AS exp_id, doc_id % 5 AS agent, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN 'none' WHEN doc_id % 3 = 0 THEN ((doc_id + 1) % 5) || '/' || (doc_id + 1) WHEN doc_id % 13 = 0 THEN '-1' ELSE CAST(doc_id + 5 AS VARCHAR) END AS p FROM documents),
