@@ -116,7 +116,48 @@ def test_simhash_groups(docs):
     near = np.argwhere(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3)
     want = {ids[i]: (ids[c],) for i, c in enumerate(components(len(ids), near))}
     assert by_key(simhash.simhash_groups(docs), "component_id") == want
-    assert simhash.keep_one(docs).count() == len({v for v in want.values()})
+
+
+def test_similar_groups_against_exact_jaccard(spark):
+    g = random.Random(11)
+    rows, sets = [], {}
+    for i in range(40):
+        base = [f"w{g.randrange(4000)}" for _ in range(300)]
+        for j in range(1 + 5 * (i % 2)):
+            w = list(base)
+            for _ in range(j):
+                w[g.randrange(300)] = f"x{g.randrange(4000)}"
+            rows.append((len(rows) + 1, " ".join(w)))
+    rows += [(900, rows[0][1].upper()), (901, None), (902, ""), (903, "one two"), (904, "ONE  two"), (None, "one two")]
+    for i, t in rows:
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    ids = [r[0] for r in rows]
+    sure, loose = [], []
+    for x, a in enumerate(ids):
+        for y in range(x):
+            s, t = sets[a], sets[ids[y]]
+            j = len(s & t) / len(s | t) if s | t else 1.0
+            sure += [(y, x)] * (j >= 0.9)
+            loose += [(y, x)] * (j >= 0.65)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[ids[y]] == got[ids[x]] for y, x in sure)
+    comp = components(len(ids), loose)
+    assert all(comp[x] == comp[y] for x in range(len(ids)) for y in range(x) if got[ids[x]] == got[ids[y]])
+    assert simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).count() == len(set(got.values()))
+
+
+def test_dense_buckets_stay_connected(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRS", 500)
+    g = random.Random(12)
+    base = [f"w{g.randrange(4000)}" for _ in range(400)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        w[g.randrange(400)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    got = {r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0}
 
 
 def test_embeddings(spark):
