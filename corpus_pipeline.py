@@ -18,8 +18,8 @@ def toxic_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: five-word shingles, three differing bits of 64 or fewer."""
-    return simhash.keep_one(docs, n=5)
+    """One document of each SimHash group stays: five-word shingles, similarity of 0.8 or more."""
+    return simhash.keep_one(docs, similarity=0.8, n=5)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
