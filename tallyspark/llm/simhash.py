@@ -18,6 +18,7 @@ rows with equal results; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -38,11 +39,11 @@ WIDE_SHINGLE = 5
 SIMILARITY = 0.8
 WIDE_SEGMENTS = 10
 WIDE_BITS = 16
-#: Candidates differ in at most so many of the first 128 bits: three standard errors above 0.8's mean of 19.
-WIDE_NEAR = 32
-#: A row with more candidates than this in one bucket keeps its nearest below and above and the least.
-DENSE = 16
-PAIRS = 1 << 20
+#: Segments that one pass shuffles: whole fingerprints travel, so passes bound the disk in use.
+PASS = 2
+#: Segments of the first round, which joins dense groups before the complete search.
+FIRST_SEGMENTS = 4
+PAIRS = 1 << 18
 
 
 def fingerprint(text: str | None, n: int = SHINGLE, seed: int = SEED) -> int:
@@ -151,23 +152,25 @@ def _wide(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
     return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, node long, size long, " + ", ".join(f"{x} long" for x in names))
 
 
-def _balls(batches: Iterator) -> Iterator:
-    """A row of (node, w0, w1, w2, w3, w4) -> one row per key of its segments' balls; key's low bit: 0 at home."""
+def _balls(batches: Iterator, segments: range, radius: int = 1) -> Iterator:
+    """A row of (node, grp, size, w0, ...) -> one row per key of its segments' balls; key's low bit: 0 at home."""
     import pyarrow as pa
 
-    flips = np.array([0] + [1 << i for i in range(WIDE_BITS)], np.int64)
+    flips = np.array(_ball(WIDE_BITS, radius), np.int64)
     for b in batches:
-        node, *w = [np.asarray(c) for c in b.columns]
-        for s in range(WIDE_SEGMENTS):
+        cols = [np.asarray(c) for c in b.columns]
+        for s in segments:
             at = s * WIDE_BITS
-            value = (w[2 + at // 64] >> (at % 64)) & ((1 << WIDE_BITS) - 1)
+            value = (cols[3 + at // 64] >> (at % 64)) & ((1 << WIDE_BITS) - 1)
             keys = ((s << WIDE_BITS | (value[:, None] ^ flips)) << 1 | (flips > 0)).astype(np.int32)
-            m = len(flips)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), np.repeat(node, m), np.repeat(w[0], m), np.repeat(w[1], m))], ["k", "node", "w0", "w1"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *[pa.array(np.repeat(x, len(flips))) for x in cols]], ["k", *b.schema.names])
 
 
-def _matches(k: np.ndarray, node: np.ndarray, w0: np.ndarray, w1: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidates among whole buckets: every row against the home rows of its bucket, in blocks."""
+def _matches(cols: list[np.ndarray], similarity: float, thin: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links in whole buckets: every row against the home rows of other groups in its bucket, in blocks.
+
+    All of them, or when ``thin`` a row's nearest smaller one and its least."""
+    k, node, group, size, *w = cols
     bucket = k >> 1
     home = np.flatnonzero(k & 1 == 0)
     first = np.searchsorted(bucket[home], bucket, "left")
@@ -178,29 +181,33 @@ def _matches(k: np.ndarray, node: np.ndarray, w0: np.ndarray, w1: np.ndarray) ->
         c = count[at:to]
         row = np.repeat(np.arange(at, to), c)
         other = home[np.arange(len(row)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(first[at:to], c)]
-        far = np.bitwise_count((w0[row] ^ w0[other]).view(np.uint64)).astype(np.int16) + np.bitwise_count((w1[row] ^ w1[other]).view(np.uint64))
-        ok = (far <= WIDE_NEAR) & (node[row] != node[other])
+        ok = (group[row] != group[other]) & (np.minimum(size[row], size[other]) >= similarity * np.maximum(size[row], size[other]))
+        if thin:
+            ok &= node[other] < node[row]
+        row, other = row[ok], other[ok]
+        far = np.zeros(len(row), np.int64)
+        for x in w:
+            far += np.bitwise_count((x[row] ^ x[other]).view(np.uint64))
+        n, m = size[row].astype(np.float64), size[other].astype(np.float64)
+        shared = np.cos(np.pi * far / (64 * WIDE)) * np.sqrt(n * m)
+        ok = shared >= similarity * (n + m - shared)
         row, far, a, b = row[ok], far[ok], node[row[ok]], node[other[ok]]
-        take = np.bincount(row - at, minlength=to - at)[row - at] <= DENSE
-        if not take.all():
-            for order, group in ((np.lexsort((b, far, b > a, row)), (row, b > a)), (np.lexsort((b, row)), (row,))):
-                new = np.zeros(len(row), bool)
-                new[:1] = True
-                for g in group:
-                    new[1:] |= g[order][1:] != g[order][:-1]
-                take[order[new]] = True
-        a, b = a[take], b[take]
+        if thin and len(row):
+            take = np.zeros(len(row), bool)
+            for order in (np.lexsort((b, far, row)), np.lexsort((b, row))):
+                take[order[np.flatnonzero(np.diff(row[order], prepend=-1))]] = True
+            a, b = a[take], b[take]
         yield np.minimum(a, b), np.maximum(a, b)
         at = to
 
 
-def _candidates(batches: Iterator) -> Iterator:
+def _links(batches: Iterator, similarity: float, thin: bool) -> Iterator:
     """Sorted rows of ``_balls`` -> (a, b), a < b; a bucket that spans batches is held until it ends."""
     import pyarrow as pa
 
     def out(parts: list) -> Iterator:
-        cols = [np.concatenate([p[i] for p in parts]) for i in range(4)]
-        for a, b in _matches(*cols):
+        cols = [np.concatenate([p[i] for p in parts]) for i in range(len(parts[0]))]
+        for a, b in _matches(cols, similarity, thin):
             if len(a):
                 pair = np.unique(np.stack([a, b], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
@@ -221,33 +228,36 @@ def _candidates(batches: Iterator) -> Iterator:
         yield from out(held)
 
 
-def similar_texts(heads: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links (a, b) of ``heads`` (node, size, w0, ...): estimated Jaccard of ``similarity`` or more."""
-    keys = heads.where("size > 0").select("node", "w0", "w1", "w2", "w3", "w4").mapInArrow(_balls, "k int, node long, w0 long, w1 long")
-    near = keys.repartition(F.expr("shiftright(k, 1)")).sortWithinPartitions("k").mapInArrow(_candidates, "a long, b long")
-    near = materialize(near.distinct(), "candidates")
-    words = [f"w{i}" for i in range(WIDE)]
-    side = lambda x: heads.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.array(*words).alias(f"{x}_w"))
-    both = near.join(side("a"), "a").join(side("b"), "b")
-    far = " + ".join(f"bit_count(a_w[{i}] ^ b_w[{i}])" for i in range(WIDE))
-    both = both.withColumn("shared", F.expr(f"cos(pi() * ({far}) / {64 * WIDE}) * sqrt(double(a_size) * b_size)"))
-    return both.where(f"shared >= {similarity} * (a_size + b_size - shared)").select("a", "b")
+def similar_texts(heads: DataFrame, segments: range, radius: int, similarity: float = SIMILARITY, thin: bool = False) -> DataFrame:
+    """Links (a, b), a < b, between different groups of ``heads`` (node, grp, size, w0, ...) that share a key of ``segments``.
+
+    The complete distance, read as a Jaccard similarity, is verified in the bucket.  All links, or when
+    ``thin`` two a row."""
+    names = ["node", "grp", "size", *[f"w{i}" for i in range(WIDE)]]
+    keys = heads.where("size > 0").select(*names).mapInArrow(partial(_balls, segments=segments, radius=radius), "k int, " + ", ".join(f"{x} long" for x in names))
+    ordered = keys.repartition(F.expr("shiftright(k, 1)")).sortWithinPartitions("k")
+    return materialize(ordered.mapInArrow(partial(_links, similarity=similarity, thin=thin), "a long, b long").distinct(), "links")
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(key, component_id): the smallest key reachable over links of ``similarity`` or more.
 
-    Texts of equal lower-cased words are one node, so copies cost one row."""
+    Texts of equal lower-cased words are one node, so copies cost one row.  A first round joins dense
+    groups by a few links a node; the second takes every link whose ends are still apart."""
     marked = materialize(_wide(docs, key, text, n), "wide")
     rest = ["size", *[f"w{i}" for i in range(WIDE)]]
     heads = materialize(marked.groupBy("node").agg(F.min(key).alias("head"), *[F.first(c).alias(c) for c in rest]), "wide_heads")
-    links = materialize(similar_texts(heads, similarity), "links")
-    roots = connected_components(links)
+    start = similar_texts(heads.withColumn("grp", F.col("node")), range(FIRST_SEGMENTS), 0, similarity, thin=True)
+    begun = connected_components(start).select("node", F.col("component").alias("found"))
+    grouped = materialize(heads.join(begun, "node", "left").withColumn("grp", F.coalesce("found", "node")).drop("found"), "grouped")
+    links = [similar_texts(grouped, range(s, min(s + PASS, WIDE_SEGMENTS)), 1, similarity) for s in range(0, WIDE_SEGMENTS, PASS)]
+    star = grouped.where("grp <> node").select(F.col("grp").alias("a"), F.col("node").alias("b"))
+    roots = connected_components(reduce(DataFrame.unionAll, [*links, star]))
     joined = heads.select(F.col("node").alias("fp"), "head").join(roots, F.col("fp") == F.col("node"), "left")
     joined = materialize(joined.select("fp", "head", F.coalesce("component", "fp").alias("root")), "wide_roots")
     least = joined.groupBy("root").agg(F.min("head").alias("component_id"))
     out = materialize(marked.select(key, F.col("node").alias("fp")).join(joined.join(least, "root").select("fp", "component_id"), "fp").select(key, "component_id"), "similar")
-    release(marked, heads, links, joined)
+    release(marked, heads, start, grouped, *links, joined)
     return out
 
 
