@@ -2,8 +2,9 @@
 
 A word's parts are held in two flat arrays, the part boundaries and the rank of every adjacent pair.
 The minimum rank is found by a scan, its boundary deleted, and only the two neighbouring ranks are
-looked up again.  Words are short, so a scan beats a heap.  A task keeps the ids of the words it
-has met in a bounded table that is emptied when full.
+looked up again.  Words are short, so a scan beats a heap.  A worker keeps the ids of the words it
+has met in two bounded tables: when the newer is full it becomes the older, whose words come back
+to the newer as they are met.
 
 The vocabulary file is read by its public JSON format; normalising (NFC, white space, lower case)
 and splitting follow the rules the file states.  Special tokens in the raw text are cut out first.
@@ -24,10 +25,10 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_batches, frugal, table
 
-#: Words whose ids a task remembers at most.
-MOST_WORDS = 1 << 19
+#: Words whose ids a worker remembers at most, in both tables together.
+MOST_WORDS = 1 << 17
 
 
 def default_vocabulary() -> str:
@@ -63,6 +64,7 @@ class WordBpe:
         self.split = regex.compile(split)
         self.alphabet = byte_alphabet()
         self.known: dict[str, tuple[str, str, int]] = {}
+        self.older: dict[str, tuple[str, str, int]] = {}
         self.normal = None
 
     def normalise(self, text: str) -> str:
@@ -99,6 +101,12 @@ class WordBpe:
 
     def word(self, word: str) -> tuple[str, str, int]:
         """(ids joined by a space, tokens joined by a space, number of tokens), remembered."""
+        if len(self.known) >= MOST_WORDS // 2:
+            self.known, self.older = {}, self.known
+        found = self.known[word] = self.older.get(word) or self.merged(word)
+        return found
+
+    def merged(self, word: str) -> tuple[str, str, int]:
         alphabet = self.alphabet
         parts = [alphabet[b] for b in word.encode("utf-8")]
         parts[-1] += self.suffix
@@ -106,16 +114,12 @@ class WordBpe:
         if not all(p in self.vocab for p in parts):
             parts = [p for p in parts if p in self.vocab]
         tokens = self.merge(parts)
-        found = (" ".join([str(self.vocab[t]) for t in tokens]), " ".join(tokens), len(tokens))
-        if len(self.known) >= MOST_WORDS:
-            self.known.clear()
-        self.known[word] = found
-        return found
+        return " ".join([str(self.vocab[t]) for t in tokens]), " ".join(tokens), len(tokens)
 
     def encode(self, text: str) -> tuple[str, str, int]:
         """(ids joined by a space, decoded text, number of tokens) of a whole text."""
         ids, tokens, n = [], [], 0
-        known, word = self.known, self.word
+        word = self.word
         for run in self.cut.split(text) if self.cut and "<|" in text else (text,):
             if run in self.special:
                 ids.append(str(self.special[run]))
@@ -123,7 +127,7 @@ class WordBpe:
                 n += 1
                 continue
             for w in self.split.findall(self.normalise(run)):
-                i, t, k = known.get(w) or word(w)
+                i, t, k = self.known.get(w) or word(w)
                 ids.append(i)
                 tokens.append(t)
                 n += k
@@ -155,7 +159,9 @@ def encoder(path: str) -> WordBpe:
 def encode_documents(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256), and with ``ids`` the ids and the decoded text."""
     path = path or default_vocabulary()
+    bounded_batches(docs.sparkSession)
 
+    @frugal
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +63,36 @@ def release(*dfs: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bytes of an Arrow batch, where a larger one would only cost memory in both processes.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on the bytes of an Arrow batch to ``BATCH_BYTES``; never raises it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if most <= 0 or most > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def frugal(run: Callable) -> Callable:
+    """``run`` for mapInArrow; free memory goes back to the system at its end, as reused workers live on."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator, *args, **kw) -> Iterator:
+        yield from run(batches, *args, **kw)
+        import ctypes
+
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """A 64-bit mixing function on whole arrays (public domain splitmix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)

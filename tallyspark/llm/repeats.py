@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, slices, splitmix, utf8_column
+from .common import frugal, materialize, release, slices, splitmix, utf8_column
 
 U = np.uint64
 #: Bytes of text that are worked on at a time, and the longest piece of one document.
@@ -301,6 +301,7 @@ def _settled(doc, tag, lo, n, off, name, ctx, other_document: bool):
 
 
 def _emit_runs(spec, other_document: bool) -> Callable:
+    @frugal
     def run(batches: Iterator) -> Iterator:
         for b in batches:
             doc, tag = (b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
@@ -331,6 +332,7 @@ def _emit_opened(spec, step: int, other_document: bool) -> Callable:
         ctx = _context(spec, levels, a, size, o) if step > 1 else np.zeros(len(a), U)
         return a, size, o, name, ctx
 
+    @frugal
     def run(batches: Iterator) -> Iterator:
         for b in batches:
             doc, tag = (b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
@@ -355,6 +357,7 @@ def _resolve(other_document: bool) -> Callable:
     A row is covered if a row of its rank stands before it.  The first rows of a rank are open if
     the name has another rank; of the first rank of a name they wait until a second one comes."""
 
+    @frugal
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 

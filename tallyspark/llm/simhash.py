@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, release, splitmix, table
+from .common import bounded_batches, connected_components, frugal, materialize, release, splitmix, table
 
 SHINGLE = 3
 DISTANCE = 3
@@ -140,7 +140,9 @@ def wide_fingerprint(text: str | None, n: int = WIDE_SHINGLE) -> tuple[int, int,
 
 def _wide(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
     names = [f"w{i}" for i in range(WIDE)]
+    bounded_batches(docs.sparkSession)
 
+    @frugal
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -152,6 +154,7 @@ def _wide(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
     return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, node long, size long, " + ", ".join(f"{x} long" for x in names))
 
 
+@frugal
 def _balls(batches: Iterator, segments: range, radius: int = 1) -> Iterator:
     """A row of (node, grp, size, w0, ...) -> one row per key of its segments' balls; key's low bit: 0 at home."""
     import pyarrow as pa
@@ -201,6 +204,7 @@ def _matches(cols: list[np.ndarray], similarity: float, thin: bool) -> Iterator[
         at = to
 
 
+@frugal
 def _links(batches: Iterator, similarity: float, thin: bool) -> Iterator:
     """Sorted rows of ``_balls`` -> (a, b), a < b; a bucket that spans batches is held until it ends."""
     import pyarrow as pa

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, utf8_column
+from .common import frugal, table, utf8_column
 from .repeats import Bytes, Words, removed_mask, repeated_spans, with_spans
 
 MIN_BYTES = 100
@@ -49,6 +49,7 @@ def dedup_bytes(docs: DataFrame, width: int = MIN_BYTES, key: str = "doc_id", te
     d = docs.select(key, text)
     marked = with_spans(d, repeated_spans(d, Bytes(width), False, key, text), key, text)
 
+    @frugal
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -74,6 +75,7 @@ def strip_bytes(docs: DataFrame, width: int = MIN_BYTES, key: str = "doc_id", te
     marked = with_spans(docs, repeated_spans(docs, Bytes(width), False, key, text), key, text)
     names = docs.columns
 
+    @frugal
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -96,6 +98,7 @@ def dedup_words(docs: DataFrame, width: int = MIN_WORDS, key: str = "doc_id", te
     d = docs.select(key, text)
     marked = with_spans(d, repeated_spans(d, Words(width), True, key, text), key, text)
 
+    @frugal
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_batches, frugal, table
 
 #: Bounds of the training sample, in documents (documented parameters).
 MOST_POSITIVES = 1500
@@ -151,7 +151,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs``' key with ``score``, from the whole text alone."""
+    bounded_batches(docs.sparkSession)
 
+    @frugal
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -164,7 +166,9 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 def clean(docs: DataFrame, model: Model, text: str = "text", cut: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose score is below ``cut``; all columns pass through."""
+    bounded_batches(docs.sparkSession)
 
+    @frugal
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
