@@ -21,6 +21,7 @@ import json
 import sys
 import types
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +64,7 @@ class WordBpe:
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.split = regex.compile(split)
         self.alphabet = byte_alphabet()
+        self.complete = all(x in self.vocab and x + self.suffix in self.vocab for x in self.alphabet)
         self.known: dict[str, tuple[str, str, int]] = {}
         self.older: dict[str, tuple[str, str, int]] = {}
         self.normal = None
@@ -77,27 +79,23 @@ class WordBpe:
 
     def merge(self, parts: list[str]) -> list[str]:
         """The parts of one word after all merges, lowest rank first, leftmost among equals."""
-        ranks = self.ranks
-        far = len(ranks)
-        bound = list(range(len(parts) + 1))
-        flat = parts
-        whole = "".join(flat)
-        at = [0]
-        for p in flat:
-            at.append(at[-1] + len(p))
-        piece = lambda i, j: whole[at[bound[i]] : at[bound[j]]]
-        near = [ranks.get((a, b), far) for a, b in zip(flat, flat[1:], strict=False)]
+        get, far = self.ranks.get, len(self.ranks)
+        whole = "".join(parts)
+        bound = list(accumulate(map(len, parts), initial=0))
+        near = [get(pair, far) for pair in pairwise(parts)]
         while near:
             low = min(near)
             if low == far:
                 break
             i = near.index(low)
             del bound[i + 1], near[i]
+            a, b = bound[i], bound[i + 1]
+            part = whole[a:b]
             if i:
-                near[i - 1] = ranks.get((piece(i - 1, i), piece(i, i + 1)), far)
+                near[i - 1] = get((whole[bound[i - 1] : a], part), far)
             if i < len(near):
-                near[i] = ranks.get((piece(i, i + 1), piece(i + 1, i + 2)), far)
-        return [piece(i, i + 1) for i in range(len(bound) - 1)]
+                near[i] = get((part, whole[b : bound[i + 2]]), far)
+        return [whole[a:b] for a, b in pairwise(bound)]
 
     def word(self, word: str) -> tuple[str, str, int]:
         """(ids joined by a space, tokens joined by a space, number of tokens), remembered."""
@@ -107,14 +105,14 @@ class WordBpe:
         return found
 
     def merged(self, word: str) -> tuple[str, str, int]:
-        alphabet = self.alphabet
-        parts = [alphabet[b] for b in word.encode("utf-8")]
+        vocab = self.vocab
+        parts = list(word.encode("utf-8").decode("latin-1").translate(self.alphabet))
         parts[-1] += self.suffix
         # Units that the vocabulary lacks, without an unknown token, are left out.
-        if not all(p in self.vocab for p in parts):
-            parts = [p for p in parts if p in self.vocab]
+        if not self.complete:
+            parts = [p for p in parts if p in vocab]
         tokens = self.merge(parts)
-        return " ".join([str(self.vocab[t]) for t in tokens]), " ".join(tokens), len(tokens)
+        return " ".join([str(vocab[t]) for t in tokens]), " ".join(tokens), len(tokens)
 
     def encode(self, text: str) -> tuple[str, str, int]:
         """(ids joined by a space, decoded text, number of tokens) of a whole text."""
