@@ -67,10 +67,12 @@ def _windows(ends: np.ndarray, begins: np.ndarray, width: int) -> np.ndarray:
     return np.arange(int(n.sum())) + np.repeat(begins - first, n)
 
 
-def _runs(at: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the first window, number of windows) of runs of consecutive windows of one anchor."""
+def _runs(at: np.ndarray, anchor: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the first window, number of windows) of runs of consecutive windows of one anchor.
+
+    One position can be the anchor at several levels, under another name at each."""
     new = np.ones(len(at), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (name[1:] != name[:-1]) | (at[1:] != at[:-1] + 1)
     head = np.flatnonzero(new)
     return head, np.diff(np.append(head, len(at)))
 
@@ -182,7 +184,7 @@ class Words:
             if not len(who):
                 break
         settle(self.rounds + 1, who, lo, hi)
-        head, n = _runs(at, pos)
+        head, n = _runs(at, pos, name)
         return at[head], n, pos[head], name[head]
 
 

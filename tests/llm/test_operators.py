@@ -246,3 +246,14 @@ def test_empty_tables(spark):
     assert flac.store_media(d).count() == bpe.encode_documents(d).count() == substring_dedup.dedup_words(d).count() == 0
     e = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_dedup.near_vectors(e).count() == url_rules.apply_rules(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_words_repeat_around_runs_of_one_word(spark):
+    rows = []
+    for seed in range(60):
+        g = random.Random(seed)
+        tail = [f"x{g.randrange(10**6)}" for _ in range(60)]
+        rows.append((2 * seed, " ".join(["w"] * 60 + tail + [f"p{seed}"])))
+        rows.append((2 * seed + 1, " ".join([f"v{seed}"] + ["w"] * 48 + tail[: g.randrange(2, 40)] + [f"q{seed}"])))
+    got = by_key(substring_dedup.dedup_words(spark.createDataFrame(rows, "doc_id long, text string")), "n_words", "n_removed", "kept_sha256")
+    assert got == brute_words(rows)
