@@ -356,20 +356,21 @@ def _emit_opened(spec, step: int, other_document: bool) -> Callable:
 def _resolve(other_document: bool) -> Callable:
     """Rows sorted by (name, ctx, doc, tag, at) to those that are repeated or to be opened.
 
-    A row is covered if a row of its rank stands before it.  The first rows of a rank are open if
-    the name has another rank; of the first rank of a name they wait until a second one comes."""
+    A row is covered if a row of its rank stands before it, at another place: a document listed twice
+    has equal rows, of which one is kept.  The first rows of a rank are open if the name has another
+    rank; of the first rank of a name they wait until a second one comes."""
 
     @frugal
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         held: list = []  # the first rows of the first rank of the current name
-        last_name = last_ctx = last_doc = None
+        last_name = last_ctx = last_lead = last_row = None
         several = False
         for b in batches:
             if not b.num_rows:
                 continue
-            name, ctx, doc, at = (b.column(c).to_numpy(zero_copy_only=False) for c in ("name", "ctx", "doc", "at"))
+            name, ctx, doc, tag, at = (b.column(c).to_numpy(zero_copy_only=False) for c in ("name", "ctx", "doc", "tag", "at"))
             done = at & 1
             n = b.num_rows
             new_name, new_ctx = np.ones(n, bool), np.ones(n, bool)
@@ -379,10 +380,14 @@ def _resolve(other_document: bool) -> Callable:
             new_name[0], new_ctx[0] = not same, not (same and ctx[0] == last_ctx)
             # The first row of each rank: its index, or -1 for the rank carried over.
             head = np.maximum.accumulate(np.where(new_ctx, np.arange(n), -1))
-            lead = np.where(head >= 0, doc[head], last_doc if last_doc is not None else 0)
-            covered = (doc > lead) if other_document else ~new_ctx
+            place = (doc, tag, at >> 17)
+            lead = [np.where(head >= 0, x[head], last_lead[i] if last_lead is not None else 0) for i, x in enumerate(place)]
+            covered = (doc > lead[0]) if other_document else (doc != lead[0]) | (tag != lead[1]) | (place[2] != lead[2])
             covered |= done == 1
-            first = ~covered
+            again = ~new_ctx
+            again[1:] &= (doc[1:] == doc[:-1]) & (tag[1:] == tag[:-1]) & (at[1:] == at[:-1])
+            again[0] &= (doc[0], tag[0], at[0]) == last_row
+            first = ~covered & ~again
             # Names with several ranks inside this batch, or together with what came before.
             group = np.cumsum(new_name)
             ranks = np.bincount(group, weights=new_ctx)
@@ -400,8 +405,8 @@ def _resolve(other_document: bool) -> Callable:
                 if wait.num_rows:
                     held.append(wait)
             several = bool(multi[group[-1]])
-            last_name, last_ctx, last_doc = name[-1], ctx[-1], lead[-1]
-            keep = covered | is_open
+            last_name, last_ctx, last_lead, last_row = name[-1], ctx[-1], [x[-1] for x in lead], (doc[-1], tag[-1], at[-1])
+            keep = covered & ~again | is_open
             if keep.any():
                 out = b.filter(pa.array(keep))
                 yield _unpacked(out, is_open[keep])

@@ -257,3 +257,14 @@ def test_words_repeat_around_runs_of_one_word(spark):
         rows.append((2 * seed + 1, " ".join([f"v{seed}"] + ["w"] * 48 + tail[: g.randrange(2, 40)] + [f"q{seed}"])))
     got = by_key(substring_dedup.dedup_words(spark.createDataFrame(rows, "doc_id long, text string")), "n_words", "n_removed", "kept_sha256")
     assert got == brute_words(rows)
+
+
+def test_rows_listed_twice_keep_their_text(spark):
+    g = [random.Random(s) for s in (21, 22, 23)]
+    a, b, c = ("".join(x.choice("abcdefgh ") for _ in range(1500)) for x in g)
+    rows = [(None, c), (None, c), (1, a), (1, a), (1, a), (2, b + a[200:700]), (2, b + a[200:700]), (3, c[100:400] + b[:300])]
+    got = {(r["doc_id"], r["n_bytes"], r["n_removed"]) for r in substring_dedup.dedup_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    want = brute_bytes([(-1 if i is None else i, t) for i, t in dict.fromkeys(rows)])
+    assert got == {(None if i < 0 else i, v[0], v[1]) for i, v in want.items()}
+    stripped = substring_dedup.strip_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert len(stripped) == len(rows) and all(r["text"] == (a if r["doc_id"] else c) for r in stripped if r["doc_id"] in (None, 1))
