@@ -4,7 +4,8 @@ Confirmed toxic documents are the positives; everything else is unlabelled text.
 over word-presence features, a numpy array of weights, minimises the non-negative PU risk
 ``pi * R_p(+1) + max(0, R_u(-1) - pi * R_p(-1))`` with the logistic loss; ``pi`` is the class prior.
 Training reads a bounded, hash-chosen sample (``MOST_POSITIVES`` and ``MOST_UNLABELLED`` documents,
-and only rows whose crc32(doc_id) mod 5 is not 0); scoring covers every whole text.
+and only rows whose crc32(doc_id) mod 5 is not 0), of each document the set of words of its whole
+text; scoring covers every whole text.
 
 Features are chosen from the sample by document frequency among the positives and lift over the
 unlabelled text, so a word that only one document holds carries no weight.  A score is
@@ -33,8 +34,6 @@ from .common import bounded_batches, frugal, table
 MOST_POSITIVES = 1500
 MOST_UNLABELLED = 6000
 MOST_FEATURES = 512
-#: Bytes of training text that one sampled document contributes at most to the fit.
-MOST_TRAIN_BYTES = 20_000
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -45,7 +44,7 @@ class Model:
     prior: float
 
     def score(self, text: str | None) -> float:
-        z = self.bias + sum(map(self.weights.__getitem__, self.weights.keys() & set(_WORDS.findall((text or "").lower()))))
+        z = self.bias + sum(map(self.weights.__getitem__, self.weights.keys() & words(text)))
         return float(1.0 / (1.0 + np.exp(-min(max(z, -60.0), 60.0))))
 
 
@@ -53,15 +52,18 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(positive: list[str], unlabelled: list[str], prior: float, checks: list[tuple[str, int]],
+def words(text: str | None) -> set[str]:
+    return set(_WORDS.findall((text or "").lower()))
+
+
+def fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float, checks: list[tuple[set[str], int]],
         rounds: int = 200, rate: float = 0.5, decay: float = 1e-4) -> Model:
-    """Fit by full-batch gradient steps on the nnPU risk; deterministic.
+    """Fit by full-batch gradient steps on the nnPU risk to documents' sets of words; deterministic.
 
-    checks: labelled training rows (text, label), only to place the cut."""
+    checks: labelled training rows (words, label), only to place the cut."""
     if not positive or not unlabelled:
         return Model({}, -60.0, prior)
-    words = lambda x: set(_WORDS.findall(x.lower()))
-    p, u = _distinct([words(x) for x in positive]), [words(x) for x in unlabelled]
+    p, u = _distinct(positive), unlabelled
     in_p, in_u = Counter(w for d in p for w in d), Counter(w for d in u for w in d)
     expected = {w: len(p) * (in_u[w] + 1) / (len(u) + 1) for w in in_p}
     lift = {w: n / expected[w] for w, n in in_p.items() if n >= max(3, len(p) // 100)}
@@ -115,9 +117,9 @@ def _distinct(docs: list[set[str]]) -> list[set[str]]:
     return out
 
 
-def _cut(model: Model, checks: list[tuple[str, int]]) -> Model:
+def _cut(model: Model, checks: list[tuple[set[str], int]]) -> Model:
     """Move the bias so that 0 is the cut with the fewest errors on ``checks`` (widest gap of ties)."""
-    z = sorted((model.bias + sum(model.weights[w] for w in set(_WORDS.findall(x.lower())) & model.weights.keys()), y) for x, y in checks)
+    z = sorted((model.bias + sum(model.weights[w] for w in x & model.weights.keys()), y) for x, y in checks)
     if not z or len({y for _, y in z}) < 2:
         return model
     errors = sum(1 for _, y in z if y == 0)
@@ -130,22 +132,38 @@ def _cut(model: Model, checks: list[tuple[str, int]]) -> Model:
     return Model(model.weights, model.bias - at, model.prior)
 
 
+def _word_sets(rows: DataFrame) -> list[tuple[set[str], int]]:
+    """Rows of (text, number) as (set of words, number); equal words are one object on the driver."""
+
+    @frugal
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([" ".join(sorted(words(x.as_py()))) for x in b.column(0)], pa.string()), b.column(1)], ["x", "y"])
+
+    same: dict[str, str] = {}
+    return [({same.setdefault(w, w) for w in r["x"].split(" ") if w}, r["y"]) for r in rows.mapInArrow(run, "x string, y int").collect()]
+
+
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
           positives: int = MOST_POSITIVES, unlabelled: int = MOST_UNLABELLED) -> Model:
-    """Sample, by hash order of the key, at most so many rows of each kind, and fit."""
+    """Sample, by hash order of the key, at most so many rows of each kind, and fit.
+
+    The executors turn whole texts into sets of words; only those come to the driver."""
+    bounded_batches(docs.sparkSession)
     order = [F.xxhash64(F.col(key).cast("string")), F.col(key)]
-    short = F.substring(F.col(text), 1, MOST_TRAIN_BYTES).alias("x")
     d = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(key)))
     y = labels.where(F.col(label).isNotNull() & ~held_out(F.col(key))).groupBy(key).agg(F.max(label).alias("__y"))
     seen = d.select(key, text).join(y, key)
     take = lambda df, n: df.orderBy(*order).limit(n)
     ids_p = take(y.where("__y = 1").select(key), positives)
     ids_n = take(y.where("__y = 0").select(key), positives)
-    rows = seen.join(F.broadcast(ids_p.unionAll(ids_n)), key, "left_semi").select(short, "__y").collect()
-    pos, neg = [r["x"] for r in rows if r["__y"] == 1], [r["x"] for r in rows if r["__y"] == 0]
+    rows = _word_sets(seen.join(F.broadcast(ids_p.unionAll(ids_n)), key, "left_semi").select(text, F.col("__y").cast("int")))
+    pos, neg = [x for x, y in rows if y == 1], [x for x, y in rows if y == 0]
     share = y.agg(F.avg("__y").alias("p")).first()["p"] or 0.0
     ids_u = take(d.select(key).join(y.where("__y = 1").select(key), key, "left_anti"), unlabelled)
-    unl = [r["x"] for r in d.select(key, text).join(F.broadcast(ids_u), key, "left_semi").select(short).collect()]
+    unl = [x for x, _ in _word_sets(d.select(key, text).join(F.broadcast(ids_u), key, "left_semi").select(text, F.lit(0)))]
     return fit(pos, unl, min(max(share, 0.01), 0.5), [(x, 1) for x in pos] + [(x, 0) for x in neg])
 
 

@@ -268,3 +268,12 @@ def test_rows_listed_twice_keep_their_text(spark):
     assert got == {(None if i < 0 else i, v[0], v[1]) for i, v in want.items()}
     stripped = substring_dedup.strip_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
     assert len(stripped) == len(rows) and all(r["text"] == (a if r["doc_id"] else c) for r in stripped if r["doc_id"] in (None, 1))
+
+
+def test_toxicity_learns_from_whole_texts(spark):
+    filler = "the of and tree " * 1500
+    g = random.Random(3)
+    rows = [(i, filler + "".join(g.choice("abcdefgh") for _ in range(8)) + (" idiot" if i % 4 < 2 else "")) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, int(i % 4 < 2)) for i in range(0, 200, 2)], "doc_id long, toxic int"))
+    assert {r["doc_id"] for r in toxicity.score(docs, model).collect() if r["score"] >= 0.5} == {i for i in range(200) if i % 4 < 2}
