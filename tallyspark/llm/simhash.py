@@ -7,8 +7,9 @@ one bit, so every distinct fingerprint enumerates the Hamming ball of radius 1 a
 the join's condition.  Documents meet by fingerprint before any join, so copies cost one row.
 
 ``similar_groups`` takes a similarity instead of a few bits: 512-bit fingerprints of the distinct
-5-word shingles, ten 16-bit segments with balls of radius 1, and the complete distance turned into
-the shingle sets' Jaccard similarity (standard error about 0.04 near 0.8).
+5-word shingles only propose candidates, texts that agree in one of the 32 segments of 16 bits under
+one of six orders of the bits and lie within a loose distance.  A link is a candidate whose exact
+shingle sets have that Jaccard similarity.
 
 Nulls and odd input: a null or blank text has fingerprint zero, linked like any other; a null
 doc_id takes part, and a group without any doc_id has a null component; equal rows are separate
@@ -37,12 +38,19 @@ BLOCK = 1 << 16
 WIDE = 8
 WIDE_SHINGLE = 5
 SIMILARITY = 0.8
-WIDE_SEGMENTS = 10
 WIDE_BITS = 16
-#: Segments that one pass shuffles: whole fingerprints travel, so passes bound the disk in use.
-PASS = 2
+WIDE_SEGMENTS = 64 * WIDE // WIDE_BITS
+#: Orders of the bits; whole fingerprints travel, so one is shuffled at a time, which bounds the disk.
+ORDERS = 6
+#: Most differing bits of a candidate.  At a similarity of 0.8 78 +- 8 bits differ, of sets of four
+#: and five shingles 96 +- 9.
+FAR = 112
+FAR_SMALL = 136
+SMALL = 32
 #: Segments of the first round, which joins dense groups before the complete search.
-FIRST_SEGMENTS = 4
+FIRST_SEGMENTS = 16
+#: Candidates verified at a time: as many as there are texts, this at least.
+VERIFY = 1 << 18
 PAIRS = 1 << 18
 
 
@@ -114,6 +122,17 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     return marked.join(joined.join(least, "root").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
 
 
+def _shingles(words: list[bytes], n: int) -> Iterator[bytes]:
+    flat = b" ".join(words)
+    if len(words) <= n:
+        yield flat
+        return
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    begins = np.concatenate(([0], ends[:-n])).tolist()
+    for i, j in zip(begins, (ends[n - 1 :] - 1).tolist(), strict=True):
+        yield flat[i:j]
+
+
 def wide_fingerprint(text: str | None, n: int = WIDE_SHINGLE) -> tuple[int, int, list[int]]:
     """(hash of the word sequence, number of distinct shingles, WIDE signed 64-bit words)."""
     import xxhash
@@ -124,13 +143,7 @@ def wide_fingerprint(text: str | None, n: int = WIDE_SHINGLE) -> tuple[int, int,
     if not words:
         return node, 0, [0] * WIDE
     digest = xxhash.xxh64_intdigest
-    if len(words) <= n:
-        h = np.array([digest(flat, SEED)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        begins = np.concatenate(([0], ends[:-n])).tolist()
-        stops = (ends[n - 1 :] - 1).tolist()
-        h = np.unique(np.fromiter((digest(flat[i:j], SEED) for i, j in zip(begins, stops, strict=True)), np.uint64, len(stops)))
+    h = np.unique(np.fromiter((digest(x, SEED) for x in _shingles(words, n)), np.uint64))
     ones = np.zeros(64 * WIDE, np.int64)
     for k in range(0, len(h), 255):  # 255 ones fit a byte
         x = np.stack([splitmix(h[k : k + 255] + np.uint64(w)) for w in range(WIDE)], axis=1)
@@ -149,51 +162,54 @@ def _wide(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
         for b in batches:
             rows = [wide_fingerprint(x.as_py(), n) for x in b.column(1)]
             cols = [[r[0] for r in rows], [r[1] for r in rows], *[[r[2][i] for r in rows] for i in range(WIDE)]]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in cols]], [key, "node", "size", *names])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *[pa.array(c, pa.int64()) for c in cols]], [key, "__hash", "node", "size", *names])
+
+    return docs.select(key, text, _hash(text)).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, __hash long, node long, size long, " + ", ".join(f"{x} long" for x in names))
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, node long, size long, " + ", ".join(f"{x} long" for x in names))
+
+def _hash(text: str):
+    return F.xxhash64(F.col(text)).alias("__hash")
 
 
 @frugal
-def _balls(batches: Iterator, segments: range, radius: int = 1) -> Iterator:
-    """A row of (node, grp, size, w0, ...) -> one row per key of its segments' balls; key's low bit: 0 at home."""
+def _keys(batches: Iterator, order: int, segments: int) -> Iterator:
+    """A row of (node, grp, size, w0, ...) -> one row per segment of its bits in this order."""
     import pyarrow as pa
 
-    flips = np.array(_ball(WIDE_BITS, radius), np.int64)
+    bits = np.random.default_rng(order).permutation(64 * WIDE)
     for b in batches:
-        cols = [np.asarray(c) for c in b.columns]
-        for s in segments:
-            at = s * WIDE_BITS
-            value = (cols[3 + at // 64] >> (at % 64)) & ((1 << WIDE_BITS) - 1)
-            keys = ((s << WIDE_BITS | (value[:, None] ^ flips)) << 1 | (flips > 0)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *[pa.array(np.repeat(x, len(flips))) for x in cols]], ["k", *b.schema.names])
+        if not b.num_rows:
+            continue
+        w = np.stack([np.asarray(c) for c in b.columns[3:]], axis=1)
+        shuffled = np.ascontiguousarray(np.packbits(np.unpackbits(w.view(np.uint8), axis=1)[:, bits], axis=1)).view(np.uint16)
+        for s in range(segments):
+            yield pa.RecordBatch.from_arrays([pa.array((s << WIDE_BITS | shuffled[:, s].astype(np.int64)).astype(np.int32)), *b.columns], ["k", *b.schema.names])
 
 
 def _matches(cols: list[np.ndarray], similarity: float, thin: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links in whole buckets: every row against the home rows of other groups in its bucket, in blocks.
+    """Candidates in whole buckets: every row against the smaller ones of other groups, in blocks.
 
-    All of them, or when ``thin`` a row's nearest smaller one and its least."""
+    All of them, or when ``thin`` a row's nearest and its least of those that look similar enough."""
     k, node, group, size, *w = cols
-    bucket = k >> 1
-    home = np.flatnonzero(k & 1 == 0)
-    first = np.searchsorted(bucket[home], bucket, "left")
-    count = np.searchsorted(bucket[home], bucket, "right") - first
+    first = np.searchsorted(k, k, "left")
+    count = np.arange(len(k)) - first
     total, at = np.cumsum(count), 0
     while at < len(k):
         to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, "right")))
         c = count[at:to]
         row = np.repeat(np.arange(at, to), c)
-        other = home[np.arange(len(row)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(first[at:to], c)]
-        ok = (group[row] != group[other]) & (np.minimum(size[row], size[other]) >= similarity * np.maximum(size[row], size[other]))
-        if thin:
-            ok &= node[other] < node[row]
+        other = np.arange(len(row)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(first[at:to], c)
+        ok = (group[row] != group[other]) & (np.minimum(size[row], size[other]) / np.maximum(size[row], size[other]) >= similarity)
         row, other = row[ok], other[ok]
         far = np.zeros(len(row), np.int64)
         for x in w:
             far += np.bitwise_count((x[row] ^ x[other]).view(np.uint64))
         n, m = size[row].astype(np.float64), size[other].astype(np.float64)
-        shared = np.cos(np.pi * far / (64 * WIDE)) * np.sqrt(n * m)
-        ok = shared >= similarity * (n + m - shared)
+        if thin:
+            shared = np.cos(np.pi * far / (64 * WIDE)) * np.sqrt(n * m)
+            ok = shared >= similarity * (n + m - shared)
+        else:
+            ok = far <= np.where(np.maximum(n, m) < SMALL, FAR_SMALL, FAR)
         row, far, a, b = row[ok], far[ok], node[row[ok]], node[other[ok]]
         if thin and len(row):
             take = np.zeros(len(row), bool)
@@ -206,7 +222,7 @@ def _matches(cols: list[np.ndarray], similarity: float, thin: bool) -> Iterator[
 
 @frugal
 def _links(batches: Iterator, similarity: float, thin: bool) -> Iterator:
-    """Sorted rows of ``_balls`` -> (a, b), a < b; a bucket that spans batches is held until it ends."""
+    """Sorted rows of ``_keys`` -> (a, b), a < b; a bucket that spans batches is held until it ends."""
     import pyarrow as pa
 
     def out(parts: list) -> Iterator:
@@ -221,8 +237,8 @@ def _links(batches: Iterator, similarity: float, thin: bool) -> Iterator:
         cols = [np.asarray(c) for c in batch.columns]
         if not len(cols[0]):
             continue
-        cut = int(np.searchsorted(cols[0] >> 1, cols[0][-1] >> 1, "left"))
-        if held and (held[0][0][-1] >> 1) != (cols[0][-1] >> 1):
+        cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
+        if held and held[0][0][-1] != cols[0][-1]:
             yield from out([*held, [c[:cut] for c in cols]])
             held = []
         elif not held and cut:
@@ -232,39 +248,91 @@ def _links(batches: Iterator, similarity: float, thin: bool) -> Iterator:
         yield from out(held)
 
 
-def similar_texts(heads: DataFrame, segments: range, radius: int, similarity: float = SIMILARITY, thin: bool = False) -> DataFrame:
-    """Links (a, b), a < b, between different groups of ``heads`` (node, grp, size, w0, ...) that share a key of ``segments``.
+def similar_texts(heads: DataFrame, order: int, segments: int, similarity: float = SIMILARITY, thin: bool = False) -> DataFrame:
+    """Candidates (a, b), a < b, between different groups of ``heads`` (node, grp, size, w0, ...) that share a segment.
 
-    The complete distance, read as a Jaccard similarity, is verified in the bucket.  All links, or when
-    ``thin`` two a row."""
+    All within the loose distance, or when ``thin`` two a row and segment."""
     names = ["node", "grp", "size", *[f"w{i}" for i in range(WIDE)]]
-    keys = heads.where("size > 0").select(*names).mapInArrow(partial(_balls, segments=segments, radius=radius), "k int, " + ", ".join(f"{x} long" for x in names))
-    ordered = keys.repartition(F.expr("shiftright(k, 1)")).sortWithinPartitions("k")
-    return materialize(ordered.mapInArrow(partial(_links, similarity=similarity, thin=thin), "a long, b long").distinct(), "links")
+    keys = heads.where("size > 0").select(*names).mapInArrow(partial(_keys, order=order, segments=segments), "k int, " + ", ".join(f"{x} long" for x in names))
+    ordered = keys.repartition("k").sortWithinPartitions("k", "node")
+    return materialize(ordered.mapInArrow(partial(_links, similarity=similarity, thin=thin), "a long, b long").distinct(), "candidates")
 
 
-def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(key, component_id): the smallest key reachable over links of ``similarity`` or more.
+@frugal
+def _exact(batches: Iterator, similarity: float, n: int) -> Iterator:
+    """Rows of (a, b, text of a, text of b) -> (a, b) of those whose shingle sets are similar."""
+    import pyarrow as pa
+
+    def shingles(text: str) -> set[bytes]:
+        return set(_shingles(text.encode("utf-8", "surrogatepass").lower().split(), n))
+
+    last, held = None, set()
+    for rows in batches:
+        keep = []
+        for b, x, y in zip(rows.column(1).to_pylist(), rows.column(2), rows.column(3), strict=True):
+            if b != last:
+                last, held = b, shingles(y.as_py())
+            own = shingles(x.as_py())
+            shared = len(own & held)
+            keep.append(shared / (len(own) + len(held) - shared) >= similarity)
+        yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in rows.columns[:2]], ["a", "b"])
+
+
+def verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, key: str, text: str, similarity: float, n: int) -> DataFrame:
+    """The rows of ``pairs`` whose exact shingle sets have the similarity; groups found on the way spare later pairs."""
+    ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    rep = heads.join(ends, "node", "left_semi").select("node", F.col(f"rep.{key}").alias("__key"), F.col("rep.__hash").alias("__of"))
+    d = docs.select(key, text, _hash(text))
+    texts = d.join(rep, d[key].eqNullSafe(rep["__key"]) & (d["__hash"] == rep["__of"])).select("node", F.col(text).alias("x")).dropDuplicates(["node"])
+    texts = materialize(texts, "texts")
+    parts = -(-pairs.count() // max(VERIFY, heads.count()))
+    links: list[DataFrame] = []
+    for i in range(max(parts, 1)):
+        part = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(max(parts, 1))) == i)
+        if links:
+            found = materialize(connected_components(reduce(DataFrame.unionAll, links)), "found")
+            for c in ("a", "b"):
+                part = part.join(found.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left")
+            part = part.where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
+        both = part.join(texts.select(F.col("node").alias("a"), F.col("x").alias("xa")), "a").join(texts.select(F.col("node").alias("b"), F.col("x").alias("xb")), "b")
+        links.append(materialize(both.select("a", "b", "xa", "xb").mapInArrow(partial(_exact, similarity=similarity, n=n), "a long, b long"), "links"))
+        if i:
+            release(found)
+    release(texts)
+    return reduce(DataFrame.unionAll, links)
+
+
+def _groups(docs: DataFrame, key: str, text: str, n: int, similarity: float) -> DataFrame:
+    """(key, __hash of the text, root, component_id) of every row; ``root`` tells groups apart.
 
     Texts of equal lower-cased words are one node, so copies cost one row.  A first round joins dense
     groups by a few links a node; the second takes every link whose ends are still apart."""
     marked = materialize(_wide(docs, key, text, n), "wide")
     rest = ["size", *[f"w{i}" for i in range(WIDE)]]
-    heads = materialize(marked.groupBy("node").agg(F.min(key).alias("head"), *[F.first(c).alias(c) for c in rest]), "wide_heads")
-    start = similar_texts(heads.withColumn("grp", F.col("node")), range(FIRST_SEGMENTS), 0, similarity, thin=True)
-    begun = connected_components(start).select("node", F.col("component").alias("found"))
-    grouped = materialize(heads.join(begun, "node", "left").withColumn("grp", F.coalesce("found", "node")).drop("found"), "grouped")
-    links = [similar_texts(grouped, range(s, min(s + PASS, WIDE_SEGMENTS)), 1, similarity) for s in range(0, WIDE_SEGMENTS, PASS)]
+    rep = F.min(F.struct(F.col(key).isNull().alias("none"), key, "__hash")).alias("rep")
+    heads = materialize(marked.groupBy("node").agg(F.min(key).alias("head"), rep, *[F.first(c).alias(c) for c in rest]), "wide_heads")
+    check = partial(verified, heads=heads, docs=docs, key=key, text=text, similarity=similarity, n=n)
+    first = similar_texts(heads.withColumn("grp", F.col("node")), 0, FIRST_SEGMENTS, similarity, thin=True)
+    begun = connected_components(check(first)).select("node", F.col("component").alias("found"))
+    grouped = materialize(heads.select("node", *rest).join(begun, "node", "left").withColumn("grp", F.coalesce("found", "node")).drop("found"), "grouped")
+    passes = [similar_texts(grouped, order, WIDE_SEGMENTS, similarity) for order in range(ORDERS)]
+    pairs = materialize(reduce(DataFrame.unionAll, passes).distinct(), "pairs")
     star = grouped.where("grp <> node").select(F.col("grp").alias("a"), F.col("node").alias("b"))
-    roots = connected_components(reduce(DataFrame.unionAll, [*links, star]))
+    roots = connected_components(check(pairs).unionAll(star))
     joined = heads.select(F.col("node").alias("fp"), "head").join(roots, F.col("fp") == F.col("node"), "left")
     joined = materialize(joined.select("fp", "head", F.coalesce("component", "fp").alias("root")), "wide_roots")
     least = joined.groupBy("root").agg(F.min("head").alias("component_id"))
-    out = materialize(marked.select(key, F.col("node").alias("fp")).join(joined.join(least, "root").select("fp", "component_id"), "fp").select(key, "component_id"), "similar")
-    release(marked, heads, start, grouped, *links, joined)
+    of = joined.join(least, "root").select("fp", "root", "component_id")
+    out = materialize(marked.select(key, "__hash", F.col("node").alias("fp")).join(of, "fp").select(key, "__hash", "root", "component_id"), "similar")
+    release(marked, heads, first, grouped, *passes, pairs, joined)
     return out
 
 
+def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(key, component_id): the smallest key reachable over links of ``similarity`` or more."""
+    return _groups(docs, key, text, n, similarity).select(key, "component_id")
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, n: int = WIDE_SHINGLE) -> DataFrame:
     """One row of each group of similar texts: that with the smallest key (of equal keys, one row)."""
     groups = similar_groups(docs, key, text, n, similarity).where(F.col(key).eqNullSafe(F.col("component_id")))

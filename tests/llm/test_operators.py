@@ -277,3 +277,27 @@ def test_toxicity_learns_from_whole_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     model = toxicity.train(docs, spark.createDataFrame([(i, int(i % 4 < 2)) for i in range(0, 200, 2)], "doc_id long, toxic int"))
     assert {r["doc_id"] for r in toxicity.score(docs, model).collect() if r["score"] >= 0.5} == {i for i in range(200) if i % 4 < 2}
+
+
+def test_similar_groups_meet_exact_links_near_the_threshold(spark):
+    g = random.Random(31)
+    rows, links = [], []
+    for i in range(80):
+        n, off = 100 + g.randrange(100), g.randrange(-3, 4)
+        new = round(n * (1 - 0.8) / (1 + 0.8)) + off  # n shared-length texts, their ends differ
+        base = [f"w{g.randrange(10**6)}" for _ in range(n + 4)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[: n + 4 - new] + [f"y{i}z{k}" for k in range(new)]))]
+        links.append((n - new) / (n + new) >= 0.8)
+    assert 20 < sum(links) < 60
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[2 * i + 1] == 2 * i for i in range(80)] == links
+
+
+def test_candidates_verified_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "VERIFY", 1)
+    g = random.Random(32)
+    rows, base = [], [f"w{g.randrange(10**6)}" for _ in range(304)]
+    for i in (0, *range(30, 37)):  # (300 - i) / (300 + i) of the shingles are shared
+        rows.append((i, " ".join(base[: 304 - i] + [f"y{i}z{k}" for k in range(i)])))
+    got = {r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0, 34, 35, 36}
