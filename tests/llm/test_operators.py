@@ -301,3 +301,11 @@ def test_candidates_verified_in_parts(spark, monkeypatch):
         rows.append((i, " ".join(base[: 304 - i] + [f"y{i}z{k}" for k in range(i)])))
     got = {r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {0, 34, 35, 36}
+
+
+def test_keep_one_of_each_group_whatever_the_keys(spark):
+    g = random.Random(33)
+    a, b, c, d = (" ".join(f"w{g.randrange(10**6)}" for _ in range(80)) for _ in range(4))
+    rows = [(None, a), (None, b), (None, b), (5, c), (5, d), (5, d.upper()), (7, c), (None, d), (9, None), (None, ""), (None, "one")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(kept) == 6 and {(r["doc_id"], (r["text"] or "").lower()) for r in kept} == {(None, a), (None, b), (5, c), (5, d), (9, ""), (None, "one")}
