@@ -2,22 +2,26 @@
 
 A host is turned round label by label (``blog.example.net`` to ``net\x00example\x00blog\x00``); a
 rule's host, turned round, is then a prefix, that is an interval, of the keys of its host and all
-subdomains.  URLs are range-partitioned and sorted by (key, row id), which spreads a hot host over
-many tasks.  A sweep walks each sorted partition beside the sorted rules and keeps the stack of
-rules whose interval contains the current key; the longest one whose path the URL's path starts
-with wins.  Nested intervals never cross, so the stack is exact.
-
-Rules are sent to the tasks only up to ``MOST_RULE_BYTES``; a larger list is joined by exploding
-each distinct host into its suffixes (at most one row a label) and an equi-join.
+subdomains.  subdomains.  Keys are cut into ranges of about equal rows at split points from a bounded sample of
+(key, row hash) pairs, so a hot host spreads over many ranges; the sample decides only the balance.
+A rule goes to every range its interval meets: its own, and each range boundary inside it.  The rules
+open at a boundary are the host suffixes of one key, so rules never multiply beyond one copy a label
+and boundary, and any number of rules is joined this way, without a broadcast.  Rows and rules of a
+range are sorted together; a sweep walks them and keeps the stack of rules whose interval contains
+the current key; the longest one whose path the URL's path starts with wins (of equal length the
+longer host).  Nested intervals never cross, so the stack is exact.
 
 Nulls and odd input: a null url, or one without ``://``, has an empty host and path and meets no
-rule; hosts keep their port and user info as written; equal urls are separate rows; an empty table
-gives an empty result.
+rule (an empty host is no subdomain of anything); a null key is a value like any other; hosts keep
+their port and user info as written; equal urls are separate rows; of rules with one host and path
+the last wins; very long urls are swept whole; other columns are not read; an empty table or an empty
+list of rules gives an empty result or the default verdict.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import bisect
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +31,10 @@ from .common import table
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 DEFAULT_VERDICT = "allow"
-MOST_RULE_BYTES = 16 << 20
+#: Rows of the sample from which the split points are taken, for each range.
+SAMPLE_PER_RANGE = 32
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_END = b"\xff"  # sorts after every byte of UTF-8
 
 
 def host_of(url: Column) -> Column:
@@ -44,69 +50,84 @@ def reversed_key(host: str) -> str:
     return "".join(x + "\x00" for x in reversed(host.split(".")))
 
 
-def _sweep(rules: Sequence[tuple[str, str, str]], default: str):
-    """rules: (host, path, verdict).  A function over sorted batches of (key, path)."""
-    ordered = sorted((reversed_key(h).encode(), p, h, v) for h, p, v in rules)
+def _sweep(default: str):
+    """Sorted batches of (range, key, kind, host, path, verdict, id, ...): rules (kind 0) stand before the urls they may meet."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        stack: list[tuple[bytes, str, str, str]] = []
-        at, last = 0, None
+        stack: list[list] = []  # [reversed key, [(path, host, verdict), ...]]
+        last = None
         for batch in batches:
-            names, verdicts = [], []
-            for key, path in zip(batch.column("__key").to_pylist(), batch.column("path").to_pylist(), strict=True):
-                if key != last:
-                    k = key.encode()
-                    while stack and not k.startswith(stack[-1][0]):
-                        stack.pop()
-                    while at < len(ordered) and ordered[at][0] <= k:
-                        rule = ordered[at]
-                        at += 1
-                        while stack and not rule[0].startswith(stack[-1][0]):
-                            stack.pop()
-                        if k.startswith(rule[0]):
-                            stack.append(rule)
-                    last = key
+            own, names, verdicts = [], [], []
+            cols = [batch.column(c).to_pylist() for c in ("__range", "__key", "__kind", "host", "path", "__verdict")]
+            for i, (at, key, kind, host, path, verdict) in enumerate(zip(*cols, strict=True)):
+                if at != last:
+                    stack, last = [], at
+                while stack and not key.startswith(stack[-1][0]):
+                    stack.pop()
+                if kind == 0:
+                    if not stack or stack[-1][0] != key:
+                        stack.append([key, []])
+                    stack[-1][1].append((path, host, verdict))
+                    continue
                 best = None
-                for rule in stack:
-                    if path.startswith(rule[1]) and (best is None or (len(rule[2]) + len(rule[1]), len(rule[2])) >= (len(best[2]) + len(best[1]), len(best[2]))):
-                        best = rule
-                names.append(best[2] + best[1] if best else None)
-                verdicts.append(best[3] if best else default)
-            cols = [batch.column(c) for c in batch.schema.names if c != "__key"]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(names, pa.string()), pa.array(verdicts, pa.string())],
-                                             [*(c for c in batch.schema.names if c != "__key"), "rule", "verdict"])
+                for _, rules in stack:
+                    for rule in rules:
+                        if path.startswith(rule[0]) and (best is None or (len(rule[0]) + len(rule[1]), len(rule[1])) >= (len(best[0]) + len(best[1]), len(best[1]))):
+                            best = rule
+                own.append(i)
+                names.append(best[1] + best[0] if best else None)
+                verdicts.append(best[2] if best else default)
+            urls = batch.take(pa.array(own, pa.int64()))
+            yield pa.RecordBatch.from_arrays([urls.column("__id"), urls.column("host"), urls.column("path"), pa.array(names, pa.string()), pa.array(verdicts, pa.string())],
+                                             ["__id", "host", "path", "rule", "verdict"])
+
+    return run
+
+
+def _ranges(splits: list[tuple[bytes, int]]):
+    """Rows get the range of (key, row hash); rules are copied to every range from their key's to their interval's end."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            at, rows = [], []
+            for i, (key, kind, h) in enumerate(zip(*(b.column(c).to_pylist() for c in ("__key", "__kind", "__hash")), strict=True)):
+                if kind:
+                    rows.append(i)
+                    at.append(bisect.bisect_right(splits, (key, h)))
+                else:
+                    reach = range(bisect.bisect_left(splits, (key, -(1 << 63))), bisect.bisect_left(splits, (key + _END, -(1 << 63))) + 1)
+                    rows.extend([i] * len(reach))
+                    at.extend(reach)
+            out = b.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *out.columns], ["__range", *out.schema.names])
 
     return run
 
 
-def apply_rules(pages: DataFrame, rules=RULES, default: str = DEFAULT_VERDICT, key: str = "page_id", url: str = "url",
-                most_bytes: int = MOST_RULE_BYTES) -> DataFrame:
-    """(key, host, path, rule, verdict) for every row of ``pages``."""
+def apply_rules(pages: DataFrame, rules=RULES, default: str = DEFAULT_VERDICT, key: str = "page_id", url: str = "url") -> DataFrame:
+    """(key, host, path, rule, verdict) for every row of ``pages``; ``rules``: (host, path, verdict) rows, or a DataFrame of them."""
     spark = pages.sparkSession
-    p = pages.select(F.col(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    rules = sorted({(h, t): (h, t, v) for h, t, v in rules}.values())
-    if sum(len(h) + len(t) + len(v) for h, t, v in rules) > most_bytes:
-        return _by_suffix(p, spark.createDataFrame(rules, "rule_host string, rule_path string, rule_verdict string"), default, key)
-    turned = F.concat(F.array_join(F.reverse(F.split("host", r"\.", -1)), "\x00"), F.lit("\x00"))
-    p = p.withColumn("__key", turned)
-    p = p.repartitionByRange("__key", key, F.xxhash64("path")).sortWithinPartitions("__key")
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame(sorted({(h, t): (h, t, v) for h, t, v in rules}.values()), "host string, path string, verdict string")
+    turned = F.encode(F.concat(F.array_join(F.reverse(F.split("host", r"\.", -1)), "\x00"), F.lit("\x00")), "UTF-8")
+    p = pages.select(F.col(key).alias("__id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    p = p.select("__id", "host", "path", turned.alias("__key"), F.lit(1).alias("__kind"), F.xxhash64("__id", "path").alias("__hash"), F.lit(None).cast("string").alias("__verdict"))
+    r = rules.toDF("host", "path", "verdict")
+    r = r.select(F.lit(None).cast(p.schema["__id"].dataType).alias("__id"), "host", "path", turned.alias("__key"), F.lit(0).alias("__kind"), F.lit(0).cast("long").alias("__hash"), F.col("verdict").alias("__verdict"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = F.xxhash64("__hash", "__key")
+    sample = sorted((bytes(x["__key"]), x["__hash"]) for x in p.select(F.substring("__key", 1, 256).alias("__key"), "__hash").orderBy(order).limit(SAMPLE_PER_RANGE * n).collect())
+    splits = [sample[len(sample) * k // n] for k in range(1, n)] if len(sample) >= n else []
+    both = p.unionAll(r)
     kind = dict(pages.dtypes)[key]
-    return p.mapInArrow(_sweep(rules, default), f"`{key}` {kind}, host string, path string, rule string, verdict string")
-
-
-def _by_suffix(p: DataFrame, rules: DataFrame, default: str, key: str) -> DataFrame:
-    """For rule lists beyond the bound: one row for each suffix of a distinct host and path."""
-    labels = F.split("host", r"\.", -1)
-    seen = p.select("host", "path").distinct()
-    tails = seen.select("host", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("rule_host"))
-    hit = tails.join(rules, "rule_host").where(F.expr("startswith(path, rule_path)"))
-    best = hit.groupBy("host", "path").agg(F.max(F.struct(
-        (F.length("rule_host") + F.length("rule_path")).alias("n"), F.length("rule_host").alias("h"),
-        F.concat("rule_host", "rule_path").alias("rule"), F.col("rule_verdict").alias("verdict"))).alias("b"))
-    return p.join(best, ["host", "path"], "left").select(
-        key, "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))
+    dealt = both.mapInArrow(_ranges(splits), f"__range int, __id {kind}, host string, path string, __key binary, __kind int, __hash long, __verdict string")
+    dealt = dealt.repartition("__range").sortWithinPartitions("__range", "__key", "__kind", "path")
+    out = dealt.mapInArrow(_sweep(default), f"__id {kind}, host string, path string, rule string, verdict string")
+    return out.withColumnRenamed("__id", key)
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
