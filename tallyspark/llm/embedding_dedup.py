@@ -4,18 +4,23 @@ For unit vectors, cosine >= t means squared distance <= 2 - 2t.  The vectors are
 random orthogonal matrix and cut into low-dimensional blocks.  If all block distances exceeded their
 share of the budget, the whole distance would exceed the budget; so every link lies within the share
 in some block, and one range join a block finds it.  A range join puts each vector in the grid cell
-of its block's leading coordinates and lets it visit the four preceding neighbour cells.
+of its block's coordinates, ``CELL`` shares wide, and lets it visit those preceding cells that the
+ball of one share around it meets; so a pair meets in one cell.
 
-Cells are worked on as tiles of at most ``TILE`` home and ``VISITORS`` visiting vectors; a larger
-cell is split by hash into chunks, and every pair of chunks is a tile of its own, so a hot label or
-a crowd of near copies spreads over many tasks.  A tile verifies its pairs exactly, in double
-precision, and counts a link only in the first block whose share it keeps.  Pairs are never emitted:
-a tile returns counts for its vectors and a spanning star for each connected part.
+The vectors themselves travel late.  First only ids and block coordinates go to the cells, and rows
+without a partner within the share drop out: with 64 coordinates in 8 blocks a chance pair has a
+partner about once in 10^6.  Then the vectors of the rest are fetched to their cells, where a pair
+is verified exactly, in double precision, and counted only in the first block whose share it keeps.
+
+Cells are worked on as tiles; a larger cell is split by hash into chunks, and every pair of chunks
+is a tile of its own, so a hot label or a crowd of near copies spreads over many tasks.  Pairs are
+never emitted: a tile returns counts for its vectors and a spanning star for each connected part.
 
 Equal vectors of a label are one class with a multiplicity.  Nulls and odd input: vectors that are
 null, zero or hold null or non-finite components, and rows with a null label or key, link with
 nothing (0 links, their own component); vectors of different length do not compare; a repeated row
-is one more copy; ``vec_id`` is taken as a key; an empty table gives an empty result.
+is one more copy, and rows of one key with different vectors are separate vectors; a cosine of
+exactly the threshold links; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,11 +35,13 @@ from .common import connected_components, materialize, table
 
 COSINE = 0.98
 BLOCKS = 8
-TILE = 1024
-VISITORS = 2048
+#: Grid coordinates of a block, and the width of a cell in shares.
+AXES = 8
+CELL = 4.0
+#: Vectors of a tile at home and visiting, while ids are compared and while whole vectors are.
+NEAR_TILE, NEAR_VISITORS = 8192, 16384
+TILE, VISITORS = 1024, 2048
 SEED = 20240
-#: Split cells are broadcast up to this many (under 10 MB), else joined by a shuffle.
-MOST_HOT_CELLS = 100_000
 _SLACK = 1e-9
 
 
@@ -47,8 +54,8 @@ def _cuts(dim: int, blocks: int) -> np.ndarray:
     return np.linspace(0, dim, min(blocks, dim) + 1).astype(int)
 
 
-def _unpack(column) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.float64) for x in column.to_pylist()]
+def _unpack(column, kind) -> list[np.ndarray]:
+    return [np.frombuffer(x, kind).astype(np.float64) for x in column.to_pylist()]
 
 
 def _by_dim(vectors: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -59,38 +66,76 @@ def _by_dim(vectors: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]
         yield rows, np.array([vectors[i] for i in rows])
 
 
-def _cells(cosine: float, blocks: int, payload: bool):
-    """Each class in every block: its home cell (role 0) and the cells it visits (role 1)."""
-    budget = 2 - 2 * cosine
-    visits = ((0, 0, 0), (-1, -1, 1), (-1, 0, 1), (-1, 1, 1), (0, -1, 1))
+def _places(yb: np.ndarray, share: float, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell coordinates, role) of all cells a block's rows are in: role 0 their own, 1 a preceding one in reach."""
+    r = share**0.5
+    width = CELL * r
+    x = yb[:, :AXES] / width
+    if dim**-0.5 < r:  # coordinates are small against a cell, so zero lies in a cell's middle
+        x = x + 0.5
+    home = np.floor(x)
+    low = x - home
+    down = low < 0.5
+    gap = (np.minimum(low, 1 - low) * width) ** 2
+    a = x.shape[1]
+    pick = (np.arange(1 << a)[:, None] >> np.arange(a)) & 1
+    reach = gap @ pick.T.astype(np.float64) <= share  # (rows, subsets of axes that are crossed)
+    step = np.where(down, -1, 1)
+    # The other cell precedes if the first crossed axis goes down.
+    first = np.where(pick.any(1), pick.argmax(1), 0)
+    precedes = down[:, first]
+    precedes[:, 0] = True
+    row, subset = np.nonzero(reach & precedes)
+    cell = (home[row] + step[row] * pick[subset]).astype(np.int16)
+    return row, cell, (subset > 0).astype(np.int32)
+
+
+def _cells(cosine: float, blocks: int, kind, coordinates: bool):
+    """(label, dim, block, cell, role) of every class in every block, with ``coordinates`` also its id and those."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            vectors = _unpack(b.column("payload"))
-            for rows, x in _by_dim(vectors):
+            label, own = b.column("label").to_numpy(zero_copy_only=False), b.column("cid").to_numpy(zero_copy_only=False)
+            for rows, x in _by_dim(_unpack(b.column("payload"), kind)):
                 dim = x.shape[1]
                 y = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ rotation(dim)
                 cuts = _cuts(dim, blocks)
-                width = (budget / (len(cuts) - 1) + _SLACK) ** 0.5
+                share = (2 - 2 * cosine) / (len(cuts) - 1) + _SLACK
                 for k in range(len(cuts) - 1):
-                    part = np.floor(y[:, cuts[k] : min(cuts[k] + 2, cuts[k + 1])] / width).astype(np.int32)
-                    if part.shape[1] < 2:
-                        part = np.concatenate([part, np.zeros_like(part)], axis=1)
-                    own = b.take(pa.array(rows))
-                    for dx, dy, role in visits:
-                        n = len(rows)
-                        cols = [own.column("label"), pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, k, np.int32)), pa.array(part[:, 0] + np.int32(dx)), pa.array(part[:, 1] + np.int32(dy)), pa.array(np.full(n, role, np.int32))]
-                        names = ["label", "dim", "block", "cx", "cy", "role"]
-                        if payload:
-                            cols += [own.column(c) for c in ("head", "copies", "payload")]
-                            names += ["head", "copies", "payload"]
+                    yb = y[:, cuts[k] : cuts[k + 1]]
+                    for s in range(0, len(rows), 4096):
+                        row, cell, role = _places(yb[s : s + 4096], share, dim)
+                        at, n = rows[s + row], len(row)
+                        flat = np.ascontiguousarray(cell).view(f"V{2 * cell.shape[1]}")[:, 0]
+                        cols = [pa.array(label[at]), pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, k, np.int32)), pa.array(flat.tolist(), pa.binary()), pa.array(role)]
+                        names = ["label", "dim", "block", "cell", "role"]
+                        if coordinates:
+                            near = np.ascontiguousarray(yb[s + row].astype(np.float32)).view(f"V{4 * yb.shape[1]}")[:, 0]
+                            cols += [pa.array(own[at]), pa.array(near.tolist(), pa.binary())]
+                            names += ["cid", "near"]
                         yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
 
+def _partnered(side: np.ndarray, x: np.ndarray, within: bool, share: float, step: int = 256) -> np.ndarray:
+    """Which rows of a tile have a partner within the share, by block coordinates in single precision."""
+    home, guest = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    found = np.zeros(len(side), bool)
+    sq = (x * x).sum(1)
+    for s in range(0, len(home), step):
+        a = home[s : s + step]
+        for b, own in ((home[s:], True), (guest, False)) if within else ((guest, False),):
+            if len(b):
+                near = sq[a][:, None] + sq[b][None, :] - 2 * (x[a] @ x[b].T) <= share + 1e-5
+                if own:
+                    near &= np.arange(len(b))[None, :] > np.arange(len(a))[:, None]
+                found[a[near.any(1)]] = found[b[near.any(0)]] = True
+    return found
+
+
 class _Tile:
     """The rows of one tile, compared all at once."""
 
@@ -153,51 +198,101 @@ class _Tile:
                 np.concatenate([self.head[some], self.head[tied]]), np.concatenate([count[some], self.head[root[tied]]]))
 
 
-def _tiles(cosine: float, blocks: int):
-    """Partitions sorted by tile: a tile's rows are gathered, compared and forgotten."""
-    names = ("label", "dim", "block", "cx", "cy", "kind", "ti", "tj")
+_KEY = ("label", "dim", "block", "cell", "kind", "ti", "tj")
+
+
+def _by_tile(batches: Iterator, columns: tuple[str, ...]) -> Iterator[tuple[tuple, list]]:
+    """Sorted rows -> (tile key, its columns); a tile's rows are gathered and forgotten."""
+    last, parts = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = [b.column(c).to_pylist() for c in _KEY]
+        edges = [0, *[i for i in range(1, b.num_rows) if any(k[i] != k[i - 1] for k in keys)], b.num_rows]
+        cols = [b.column(c) for c in columns]
+        for i, j in zip(edges, edges[1:], strict=False):
+            key = tuple(k[i] for k in keys)
+            if key != last:
+                if parts:
+                    yield last, [[v for p in parts for v in p[c]] for c in range(len(columns))]
+                last, parts = key, []
+            parts.append([c.slice(i, j - i).to_pylist() for c in cols])
+    if parts:
+        yield last, [[v for p in parts for v in p[c]] for c in range(len(columns))]
+
+
+def _within(key: tuple) -> bool:
+    """Whether a tile compares home rows with each other: a whole cell, or one chunk with itself."""
+    return key[4] == 0 or (key[4] == 1 and key[5] == key[6])
+
+
+def _survivors(cosine: float, blocks: int):
+    """Rows with a partner in their tile."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def close(key: tuple, parts: list):
-            if sum(len(p[0]) for p in parts) < 2:
-                return None
-            head, copies, side = (np.concatenate([p[k] for p in parts]) for k in range(3))
-            x = np.frombuffer(b"".join([v for p in parts for v in p[3]]), np.float64).reshape(len(head), key[1])
-            within = key[5] == 0 or (key[5] == 1 and key[6] == key[7])
-            kind, own, value = _Tile((key[2], within), head, copies, side, x, cosine, blocks).result()
-            return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(own), pa.array(value)], ["kind", "id", "value"]) if len(kind) else None
+        for key, (side, role, cid, near) in _by_tile(batches, ("side", "role", "cid", "near")):
+            if len(cid) < 2:
+                continue
+            share = (2 - 2 * cosine) / (len(_cuts(key[1], blocks)) - 1) + _SLACK
+            x = np.frombuffer(b"".join(near), np.float32).reshape(len(cid), -1)
+            at = np.flatnonzero(_partnered(np.array(side), x, _within(key), share))
+            if len(at):
+                n = len(at)
+                cols = [pa.array([key[0]] * n, pa.int64()), pa.array([key[1]] * n, pa.int32()), pa.array([key[2]] * n, pa.int32()), pa.array([key[3]] * n, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.array(role)[at], pa.int32()), pa.array(np.array(cid)[at])], ["label", "dim", "block", "cell", "role", "cid"])
 
-        last, parts = None, []
-        for b in batches:
-            if not b.num_rows:
+    return run
+
+
+def _links(cosine: float, blocks: int, kind):
+    """(kind, id, value) of all tiles; see ``_Tile.result``."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for key, (side, cid, copies, payload) in _by_tile(batches, ("side", "cid", "copies", "payload")):
+            if len(cid) < 2:
                 continue
-            keys = [b.column(c).to_numpy(zero_copy_only=False) for c in names]
-            new = np.zeros(b.num_rows, bool)
-            for k in keys:
-                new[1:] |= k[1:] != k[:-1]
-            edges = [0, *np.flatnonzero(new).tolist(), b.num_rows]
-            head, copies, side = (b.column(c).to_numpy(zero_copy_only=False) for c in ("head", "copies", "side"))
-            payload = b.column("payload")
-            for i, j in zip(edges, edges[1:], strict=False):
-                key = tuple(int(k[i]) for k in keys)
-                if key != last:
-                    if parts and (out := close(last, parts)) is not None:
-                        yield out
-                    last, parts = key, []
-                parts.append((head[i:j], copies[i:j], side[i:j], payload.slice(i, j - i).to_pylist()))
-        if parts and (out := close(last, parts)) is not None:
-            yield out
+            x = np.frombuffer(b"".join(payload), kind).astype(np.float64).reshape(len(cid), key[1])
+            what, own, value = _Tile((key[2], _within(key)), np.array(cid), np.array(copies), np.array(side), x, cosine, blocks).result()
+            if len(what):
+                yield pa.RecordBatch.from_arrays([pa.array(what), pa.array(own), pa.array(value)], ["kind", "id", "value"])
 
     return run
 
 
+def _dealt(rows: DataFrame, load: DataFrame, most: int, visitors: int) -> DataFrame:
+    """``rows`` (label, dim, block, cell, role, cid, ...) with their tiles (kind, ti, tj, side), dealt and sorted by tile.
+
+    ``load`` counts a cell's rows by role; a cell over the bounds is cut into ka home and kb visiting chunks.
+    The list of such cells is joined, broadcast by Spark itself only under its own size bound."""
+    cell = ["label", "dim", "block", "cell"]
+    hot = load.where((F.col("home") > most) | ((F.col("guests") > visitors) & (F.col("home") > 0))).select(
+        *cell, F.ceil(F.col("home") / most).cast("int").alias("ka"), F.greatest(F.ceil(F.col("guests") / visitors), F.lit(1)).cast("int").alias("kb"))
+    rows = rows.join(materialize(hot, "hot"), cell, "left").withColumns({"ka": F.coalesce("ka", F.lit(1)), "kb": F.coalesce("kb", F.lit(1))})
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("cid", "block"), F.when(F.col("role") == 0, F.col("ka")).otherwise(F.col("kb"))).cast("int"))
+    place = F.expr("""explode(CASE
+        WHEN ka = 1 AND kb = 1 THEN array(struct(0 AS kind, 0 AS ti, 0 AS tj, role AS side))
+        WHEN role = 0 THEN concat(
+            transform(sequence(0, ka - 1), j -> struct(1 AS kind, least(chunk, j) AS ti, greatest(chunk, j) AS tj, int(chunk > j) AS side)),
+            transform(sequence(0, kb - 1), j -> struct(2 AS kind, chunk AS ti, j AS tj, 0 AS side)))
+        ELSE transform(sequence(0, ka - 1), i -> struct(2 AS kind, i AS ti, chunk AS tj, 1 AS side)) END)""")
+    rows = rows.withColumn("p", place).select("*", "p.*").drop("p", "ka", "kb", "chunk")
+    return rows.repartition(*_KEY).sortWithinPartitions(*_KEY)
+
+
+def _load(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("label", "dim", "block", "cell").agg(F.count_if(F.col("role") == 0).alias("home"), F.count_if(F.col("role") == 1).alias("guests"))
+
+
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS, key: str = "vec_id",
                  embedding: str = "embedding", label: str = "label") -> DataFrame:
     """(key, n_links, component_id, kept) for every row."""
-    spark = vectors.sparkSession
-    v = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).cast("long").alias("label"), F.col(embedding).cast("array<double>").alias("v"))
+    single = dict(vectors.dtypes)[embedding] == "array<float>"
+    kind = np.float32 if single else np.float64
+    v = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).cast("long").alias("label"), F.col(embedding).cast("array<float>" if single else "array<double>").alias("v"))
 
     def pack(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -205,36 +300,26 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCK
         for b in batches:
             out = []
             for i, lab, x in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                a = np.array(x, np.float64) if x and i is not None and lab is not None and None not in x else None
-                out.append(a.tobytes() if a is not None and np.isfinite(a).all() and 0 < np.linalg.norm(a) < np.inf else None)
+                a = np.array(x, kind) if x and i is not None and lab is not None and None not in x else None
+                out.append(a.tobytes() if a is not None and np.isfinite(a).all() and 0 < np.linalg.norm(a.astype(np.float64)) < np.inf else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["id", "label", "payload"])
 
     v = materialize(v.mapInArrow(pack, "id long, label long, payload binary"), "vectors")
-    good = v.where("payload IS NOT NULL")
-    classes = materialize(good.groupBy("label", "payload").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("copies")), "classes")
-    cell = ["label", "dim", "block", "cx", "cy"]
-    kinds = "label long, dim int, block int, cx int, cy int, role int"
-    load = classes.mapInArrow(_cells(cosine, blocks, False), kinds).groupBy(*cell).agg(F.count_if(F.col("role") == 0).alias("home"), F.count_if(F.col("role") == 1).alias("guests"))
-    hot = materialize(load.where((F.col("home") > TILE) | ((F.col("guests") > VISITORS) & (F.col("home") > 0))).select(
-        *cell, F.ceil(F.col("home") / TILE).cast("int").alias("ka"), F.greatest(F.ceil(F.col("guests") / VISITORS), F.lit(1)).cast("int").alias("kb")), "hot")
-    rows = classes.mapInArrow(_cells(cosine, blocks, True), kinds + ", head long, copies long, payload binary")
-    rows = rows.join(F.broadcast(hot) if hot.count() <= MOST_HOT_CELLS else hot, cell, "left")
-    rows = rows.withColumns({"ka": F.coalesce("ka", F.lit(1)), "kb": F.coalesce("kb", F.lit(1))})
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("head", "block"), F.when(F.col("role") == 0, F.col("ka")).otherwise(F.col("kb"))).cast("int"))
-    place = F.expr("""explode(CASE
-        WHEN ka = 1 AND kb = 1 THEN array(struct(0 AS kind, 0 AS ti, 0 AS tj, role AS side))
-        WHEN role = 0 THEN concat(
-            transform(sequence(0, ka - 1), j -> struct(1 AS kind, least(chunk, j) AS ti, greatest(chunk, j) AS tj, int(chunk > j) AS side)),
-            transform(sequence(0, kb - 1), j -> struct(2 AS kind, chunk AS ti, j AS tj, 0 AS side)))
-        ELSE transform(sequence(0, ka - 1), i -> struct(2 AS kind, i AS ti, chunk AS tj, 1 AS side)) END)""")
-    tile = [*cell, "kind", "ti", "tj"]
-    rows = rows.withColumn("p", place).select(*cell, "p.kind", "p.ti", "p.tj", "p.side", "head", "copies", "payload")
-    rows = rows.repartition(*tile).sortWithinPartitions(*tile)
-    found = materialize(rows.mapInArrow(_tiles(cosine, blocks), "kind int, id long, value long"), "links")
+    classes = v.where("payload IS NOT NULL").groupBy("label", "payload").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("copies"))
+    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")  # ids are fixed by being written
+    place = "label long, dim int, block int, cell binary, role int"
+    ids = classes.select("label", "cid", "payload")
+    load = _load(ids.mapInArrow(_cells(cosine, blocks, kind, False), place))
+    near = _dealt(ids.mapInArrow(_cells(cosine, blocks, kind, True), f"{place}, cid long, near binary"), load, NEAR_TILE, NEAR_VISITORS)
+    rest = materialize(near.mapInArrow(_survivors(cosine, blocks), f"{place}, cid long").distinct(), "partnered")
+    whole = rest.join(classes.select("cid", "copies", "payload"), "cid")
+    found = materialize(_dealt(whole, _load(rest), TILE, VISITORS).mapInArrow(_links(cosine, blocks, kind), "kind int, id long, value long"), "links")
     links = found.where("kind = 0").groupBy("id").agg(F.sum("value").alias("links"))
     parts = connected_components(found.where("kind = 1").select(F.col("id").alias("a"), F.col("value").alias("b")))
-    per = classes.join(links, classes["head"] == links["id"], "left").join(parts, classes["head"] == parts["node"], "left")
-    per = per.select("label", "payload", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("component", "head").alias("c"))
+    per = classes.join(links, classes["cid"] == links["id"], "left").join(parts, classes["cid"] == parts["node"], "left")
+    per = materialize(per.select("label", "payload", "head", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("component", "cid").alias("part")), "per")
+    least = per.groupBy("part").agg(F.min("head").alias("c"))
+    per = per.join(least, "part").select("label", "payload", "n", "c")
     out = v.join(per, ["label", "payload"], "left").select(
         F.col("id").alias(key), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))

@@ -178,6 +178,8 @@ def test_embeddings(spark):
 def test_hot_cells_split_into_tiles(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "TILE", 16)
     monkeypatch.setattr(embedding_dedup, "VISITORS", 16)
+    monkeypatch.setattr(embedding_dedup, "NEAR_TILE", 32)
+    monkeypatch.setattr(embedding_dedup, "NEAR_VISITORS", 16)
     g = np.random.default_rng(5)
     x = (np.ones(16) + 0.02 * g.standard_normal((120, 16)))
     df = spark.createDataFrame([(i, [float(v) for v in r], 1) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int")
@@ -231,13 +233,27 @@ def test_flac_round_trip():
             flac.decode([bytes(bad)])
 
 
-def test_url_rules_both_ways(spark):
-    urls = ["http://A.Net/x", "https://blog.example.net/en/1?q", "https://example.net/de/", "http://example.com/de/#a", "//nothing", None, "http://org/fr/", "http://x.org:80/fr/", "http://net", "http://notexample.net/en/", "http://b.org/fr/x?y"]
-    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    sweep = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_rules.apply_rules(pages).collect()}
-    joined = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_rules.apply_rules(pages, most_bytes=0).collect()}
-    assert sweep == joined
-    assert sweep[0] == ("a.net", "/x", "net/", "block") and sweep[1][2:] == ("example.net/en/", "allow") and sweep[5] == ("", "", None, "allow") and sweep[7][2] is None
+def brute_rule(url, rules, default):
+    rest = url.split("://", 1)[1] if url and "://" in url else None
+    cut = next((i for i, c in enumerate(rest) if c in "/?#"), len(rest)) if rest is not None else 0
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:cut]) if rest is not None else ""
+    path = rest[cut:] if rest is not None and rest[cut : cut + 1] == "/" else ""
+    path = path[: next((i for i, c in enumerate(path) if c in "?#"), len(path))]
+    fits = [(len(h) + len(p), len(h), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fits, default=(0, 0, None, default))
+    return host, path, best[2], best[3]
+
+
+def test_url_rules_against_brute_force(spark):
+    urls = ["http://A.Net/x", "https://blog.example.net/en/1?q", "https://example.net/de/", "http://example.com/de/#a", "//nothing", None, "http://org/fr/", "http://x.org:80/fr/", "http://net", "http://notexample.net/en/", "http://b.org/fr/x?y", "", "://", "x://y://z/é"]
+    g = random.Random(41)
+    rules = list(dict.fromkeys((".".join(g.choice("abc") for _ in range(g.randrange(1, 5))), g.choice(["/", "/x", "/x/y", ""])) for _ in range(90)))
+    rules = [(h, p, g.choice(["allow", "block"])) for h, p in rules]
+    urls += ["http://" + ".".join(g.choice("abc") for _ in range(g.randrange(1, 6))) + g.choice(["/", "/x/yz", "/x/y", "", "?q"]) for _ in range(600)] + ["http://hot.a/x"] * 400
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(5)
+    for these in (list(url_rules.RULES), rules, [], [(f"h{i}.a", "/", "block") for i in range(3000)] + rules):
+        got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_rules.apply_rules(pages, these).collect()}
+        assert got == {i: brute_rule(u, these, "allow") for i, u in enumerate(urls)}
 
 
 def test_empty_tables(spark):
