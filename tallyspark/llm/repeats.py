@@ -15,7 +15,13 @@ with one anchor form a run.  A row of Spark is a run, not a window:
 
 Rows of one rank in one batch are settled before the shuffle, so an exact copy or a passage that a
 third of all documents hold costs a row a batch; settled rows travel by a hash of their own place.  The sorted
-rows are read as a stream, so a task holds no group.  Two keys of 64 bits make a rank.
+rows are read as a stream, so a task holds no group.
+
+At every step, the last included, a rank is two keys of 64 bits from two families: the name folds
+fingerprints of pairs, the context is a polynomial over the whole run, of other random byte values.
+Equal strings have equal ranks; 10^12 different windows meet by chance with probability 10^-14.  A
+document is (key, tag), the tag a 64-bit hash of its text, so rows of one key with different texts
+(or null keys) stay apart; of equal rows one is listed.
 """
 
 from __future__ import annotations
@@ -36,6 +42,8 @@ _BYTE_HASH = splitmix(np.arange(256, dtype=U) + U(1 << 40))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWEST = -(1 << 63)
+_BASE, _OTHER = U(0xD1342543DE82EF95), U(0x2545F4914F6CDD1D)
+_inverses = np.ones(1, U)
 #: Windows of a run once it has been opened.
 STEP = 8
 
@@ -224,15 +232,34 @@ def _span_name(levels: list[np.ndarray], start: np.ndarray, size: int, salt: int
     return _join(top[start], top[start + size - unit], salt)
 
 
-def _context(spec, levels: list[np.ndarray], lo: np.ndarray, n: np.ndarray, offset: np.ndarray) -> np.ndarray:
-    """Fingerprint of all tokens under a run's windows, and of where its anchor lies."""
-    top = levels[-1]
-    size = 1 << (len(levels) - 1)
-    hi = lo + n - 1 + spec.width
-    x = splitmix((n.astype(U) << U(20)) ^ offset.astype(U))
-    for j in range(-(-(2 * spec.width) // size)):
-        x = _join(x, top[np.minimum(lo + j * size, hi - size)], 90 + j)
-    return x
+class _Prefix:
+    """Polynomial hashes of any stretch of tokens, from one prefix sum; independent of ``doubled``."""
+
+    def __init__(self, h: np.ndarray):
+        n = len(h)
+        with np.errstate(over="ignore"):
+            self.power = np.cumprod(np.concatenate(([U(1)], np.full(n, _BASE, U))), dtype=U)
+            self.sum = np.concatenate(([U(0)], np.cumsum(splitmix(h ^ _OTHER) * self.power[:n], dtype=U)))
+
+    def __call__(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The hash of tokens lo to hi, the same wherever they stand in this piece or another."""
+        with np.errstate(over="ignore"):
+            return splitmix((self.sum[hi] - self.sum[lo]) * _inverse(lo))
+
+
+def _inverse(at: np.ndarray) -> np.ndarray:
+    """Powers of the inverse of ``_BASE``, from a table that grows with the longest piece."""
+    global _inverses
+    need = int(at.max(initial=0)) + 1
+    if len(_inverses) < need:
+        with np.errstate(over="ignore"):
+            _inverses = np.cumprod(np.concatenate(([U(1)], np.full(need, U(pow(int(_BASE), -1, 1 << 64)), U))), dtype=U)
+    return _inverses[at]
+
+
+def _context(spec, whole: _Prefix, lo: np.ndarray, n: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """A hash of all tokens under a run's windows, and of where its anchor lies."""
+    return whole(lo, lo + n - 1 + spec.width) ^ splitmix((n.astype(U) << U(20)) ^ offset.astype(U))
 
 
 def _pieces(bounds: np.ndarray, width: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -265,7 +292,7 @@ def _runs_of(spec, raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarra
         piece = np.searchsorted(local, lo, side="right") - 1
         row = rows[piece]
         start = begins[piece] - bounds[row] + lo - local[piece]
-        yield row, start, n, anchor - lo, name, _context(spec, levels, lo, n, anchor - lo)
+        yield row, start, n, anchor - lo, name, _context(spec, _Prefix(own), lo, n, anchor - lo)
 
 
 def _texts(batch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -276,7 +303,7 @@ def _texts(batch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
 
 
 #: ``at`` packs lo, n, off and whether the row is settled: lo << 17 | n << 9 | off << 1 | settled.
-_ROW = "name long, ctx long, doc long, tag int, at long"
+_ROW = "name long, ctx long, doc long, tag long, at long"
 
 
 def _settled(doc, tag, lo, n, off, name, ctx, other_document: bool):
@@ -285,7 +312,7 @@ def _settled(doc, tag, lo, n, off, name, ctx, other_document: bool):
 
     rank = _join(name, ctx, 200)
     order = np.argsort(rank, kind="stable")
-    same = rank[order][1:] == rank[order][:-1]
+    same = (name[order][1:] == name[order][:-1]) & (ctx[order][1:] == ctx[order][:-1])
     twin = np.zeros(len(order) + 1, bool)
     twin[1:-1] = same
     rows = order[twin[1:] | twin[:-1]]
@@ -293,12 +320,12 @@ def _settled(doc, tag, lo, n, off, name, ctx, other_document: bool):
     if len(rows):
         rows = rows[np.lexsort((lo[rows], tag[rows], doc[rows], rank[rows]))]
         head = np.ones(len(rows), bool)
-        head[1:] = rank[rows][1:] != rank[rows][:-1]
+        head[1:] = (name[rows][1:] != name[rows][:-1]) | (ctx[rows][1:] != ctx[rows][:-1])
         first = rows[head][np.cumsum(head) - 1]
         done[rows] = doc[rows] > doc[first] if other_document else ~head & ((doc[rows] > doc[first]) | (tag[rows] != tag[first]) | (lo[rows] > lo[first]))
     at = lo.astype(np.int64) << 17 | n.astype(np.int64) << 9 | off.astype(np.int64) << 1 | done
     name, ctx = (np.where(done == 1, U(0), x).view(np.int64) for x in (name, ctx))
-    cols = (name, ctx, doc.astype(np.int64), tag.astype(np.int32), at)
+    cols = (name, ctx, doc.astype(np.int64), tag.astype(np.int64), at)
     return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], [c.split()[0] for c in _ROW.split(", ")])
 
 
@@ -320,7 +347,7 @@ def _emit_opened(spec, step: int, other_document: bool) -> Callable:
     Windows whose anchor lies step * c to step * c + step - 1 tokens in share the tokens from
     step * c before the anchor on, ``width`` - step + 1 of them: the name."""
 
-    def cut(levels, lo, n, off):
+    def cut(levels, whole, lo, n, off):
         first = np.concatenate(([0], np.cumsum(n)[:-1]))
         at = np.arange(int(n.sum())) + np.repeat(lo - first, n)
         anchor = np.repeat(lo + off, n)
@@ -331,8 +358,7 @@ def _emit_opened(spec, step: int, other_document: bool) -> Callable:
         size = np.diff(np.append(head, len(at)))
         a, o = at[head], (anchor - at)[head]
         name = _span_name(levels, (anchor - kind * step)[head], spec.width - step + 1, 120)
-        ctx = _context(spec, levels, a, size, o) if step > 1 else np.zeros(len(a), U)
-        return a, size, o, name, ctx
+        return a, size, o, name, _context(spec, whole, a, size, o)
 
     @frugal
     def run(batches: Iterator) -> Iterator:
@@ -344,15 +370,30 @@ def _emit_opened(spec, step: int, other_document: bool) -> Callable:
                 for r in range(i, j):
                     items = lists[r].values
                     lo, n, o = (items.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("lo", "n", "off"))
-                    found = cut(_levels(spec, tokens[bounds[r - i] : bounds[r - i + 1]]), lo, n, o)
-                    k = len(found[0])
-                    parts.append((np.full(k, doc[r], np.int64), np.full(k, tag[r], np.int32), *found))
+                    for found in _cut_pieces(spec, cut, tokens[bounds[r - i] : bounds[r - i + 1]], lo, n, o):
+                        k = len(found[0])
+                        parts.append((np.full(k, doc[r], np.int64), np.full(k, tag[r], np.int64), *found))
             if parts:
                 yield _settled(*(np.concatenate(x) for x in zip(*parts, strict=True)), other_document)
 
     return run
 
 
+def _cut_pieces(spec, cut: Callable, tokens: np.ndarray, lo: np.ndarray, n: np.ndarray, off: np.ndarray) -> Iterator[tuple]:
+    """``cut`` for the runs of one document, a bounded stretch of its tokens at a time."""
+    order = np.argsort(lo, kind="stable")
+    lo, n, off = lo[order], n[order], off[order]
+    begin = 0
+    while begin < len(lo):
+        a = int(lo[begin])
+        end = max(begin + 1, int(np.searchsorted(lo, a + PIECE, "left")))
+        b = int((lo[begin:end] + n[begin:end]).max()) - 1 + spec.width
+        own = tokens[a:b]
+        at, *rest = cut(_levels(spec, own), _Prefix(own), lo[begin:end] - a, n[begin:end], off[begin:end])
+        yield at + a, *rest
+        begin = end
+
+
 def _resolve(other_document: bool) -> Callable:
     """Rows sorted by (name, ctx, doc, tag, at) to those that are repeated or to be opened.
 
@@ -433,7 +474,7 @@ def _ranked(rows: DataFrame, other_document: bool, label: str) -> DataFrame:
     """(doc, tag, lo, n, off, open): rows whose windows are all repeated, and rows to open."""
     goes_by = F.when(F.col("at") % 2 == 0, F.col("name")).otherwise(F.xxhash64("doc", "at"))
     s = rows.repartition(goes_by).sortWithinPartitions("name", "ctx", "doc", "tag", "at")
-    return materialize(s.mapInArrow(_resolve(other_document), "doc long, tag int, lo int, n int, off int, open boolean"), label)
+    return materialize(s.mapInArrow(_resolve(other_document), "doc long, tag long, lo int, n int, off int, open boolean"), label)
 
 
 def repeated_spans(docs: DataFrame, spec, other_document: bool, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -458,13 +499,13 @@ def repeated_spans(docs: DataFrame, spec, other_document: bool, key: str = "doc_
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(text).cast("string").alias("text"), F.coalesce(F.col(key).cast("long"), F.lit(_LOWEST)).alias("doc"), F.hash(F.col(text)).alias("tag"))
+    return docs.select(F.col(text).cast("string").alias("text"), F.coalesce(F.col(key).cast("long"), F.lit(_LOWEST)).alias("doc"), F.xxhash64(F.col(text)).alias("tag"))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, key: str, text: str) -> DataFrame:
-    """``docs`` with ``__spans`` (null where nothing repeats)."""
-    s = spans.select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans"))
-    return docs.join(s, (F.coalesce(docs[key].cast("long"), F.lit(_LOWEST)) == s["__doc"]) & (F.hash(docs[text]) == s["__tag"]), "left").drop("__doc", "__tag")
+    """(row, spans): every row of ``docs`` as a struct, whatever its columns are called; spans are null where nothing repeats."""
+    d = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(key).cast("long"), F.lit(_LOWEST)).alias("doc"), F.xxhash64(F.col(text)).alias("tag"))
+    return d.join(spans, ["doc", "tag"], "left").select("row", "spans")
 
 
 def removed_mask(spans, size: int, width: int) -> np.ndarray:

@@ -336,10 +336,10 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, n: int = WIDE_SHINGLE) -> DataFrame:
     """One row of each group of similar texts: that with the smallest key (of equal keys, one text; null only if all are)."""
     least = _groups(docs, key, text, n, similarity).groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("none"), key, "__hash")).alias("k"))
-    keep = least.select(F.col(f"k.{key}").alias("__key"), F.col("k.__hash").alias("__keep"))
-    d = docs.withColumn("__hash", _hash(text))
-    out = d.join(keep, d[key].eqNullSafe(keep["__key"]) & (d["__hash"] == keep["__keep"]), "left_semi")
-    return out.dropDuplicates([key, "__hash"]).drop("__hash")
+    keep = least.select(F.col(f"k.{key}").alias("keep"), F.col("k.__hash").alias("of"))
+    d = docs.select(F.struct("*").alias("row"), F.col(key).alias("key"), F.xxhash64(text).alias("hash"))
+    out = d.join(keep, F.expr("key <=> keep AND hash = of"), "left_semi")
+    return out.dropDuplicates(["key", "hash"]).select("row.*")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

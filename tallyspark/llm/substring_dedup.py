@@ -12,7 +12,9 @@ Operator 9 names words, runs and pairs in recompression rounds; see ``repeats.Wo
 
 Nulls and odd input: a null text is empty and loses nothing; texts shorter than a window lose
 nothing; a null key counts as the smallest; rows of one key and one text are one document listed
-twice and get equal results; an empty table gives an empty result.
+twice and get equal results; of rows of one key with different texts that with the smaller hash counts
+as the earlier; very long texts are searched in pieces; other columns, whatever their names, are not
+read, or pass through ``strip_bytes``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -47,7 +49,7 @@ def _lists(column) -> list:
 def dedup_bytes(docs: DataFrame, width: int = MIN_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256)."""
     d = docs.select(key, text)
-    marked = with_spans(d, repeated_spans(d, Bytes(width), False, key, text), key, text)
+    marked = with_spans(d, repeated_spans(d, Bytes(width), False, key, text), key, text).select(f"row.`{key}`", f"row.`{text}`", "spans")
 
     @frugal
     def run(batches: Iterator) -> Iterator:
@@ -64,7 +66,7 @@ def dedup_bytes(docs: DataFrame, width: int = MIN_BYTES, key: str = "doc_id", te
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True))], [key, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return marked.select(key, text, "__spans").mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return marked.mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def strip_bytes(docs: DataFrame, width: int = MIN_BYTES, key: str = "doc_id", text: str = "text", length: str | None = None) -> DataFrame:
@@ -74,20 +76,21 @@ def strip_bytes(docs: DataFrame, width: int = MIN_BYTES, key: str = "doc_id", te
     A cut inside a character drops the character's remaining bytes, so the text stays valid UTF-8."""
     marked = with_spans(docs, repeated_spans(docs, Bytes(width), False, key, text), key, text)
     names = docs.columns
+    at = names.index(text)
 
     @frugal
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            at = b.schema.get_field_index(text)
-            column = b.column(at)
-            raw, off = utf8_column(column)
+            cols = b.column(0).flatten()
+            raw, off = utf8_column(cols[at])
             out = []
-            for i, s in enumerate(_lists(b.column(b.schema.get_field_index("__spans")))):
+            for i, s in enumerate(_lists(b.column(1))):
                 own = raw[off[i] : off[i + 1]]
-                out.append(column[i].as_py() if s is None else _kept_bytes(own, s, width)[0].decode("utf-8", "ignore"))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text else b.column(b.schema.get_field_index(c)) for c in names], names)
+                out.append(cols[at][i].as_py() if s is None else _kept_bytes(own, s, width)[0].decode("utf-8", "ignore"))
+            cols[at] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     out = marked.mapInArrow(run, docs.schema)
     return out.withColumn(length, F.length(text).cast(docs.schema[length].dataType)) if length else out
@@ -96,7 +99,7 @@ def strip_bytes(docs: DataFrame, width: int = MIN_BYTES, key: str = "doc_id", te
 def dedup_words(docs: DataFrame, width: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_words, n_removed, kept_sha256)."""
     d = docs.select(key, text)
-    marked = with_spans(d, repeated_spans(d, Words(width), True, key, text), key, text)
+    marked = with_spans(d, repeated_spans(d, Words(width), True, key, text), key, text).select(f"row.`{key}`", f"row.`{text}`", "spans")
 
     @frugal
     def run(batches: Iterator) -> Iterator:
@@ -116,7 +119,7 @@ def dedup_words(docs: DataFrame, width: int = MIN_WORDS, key: str = "doc_id", te
             kinds = (pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True))], [key, "n_words", "n_removed", "kept_sha256"])
 
-    return marked.select(key, text, "__spans").mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, n_words long, n_removed long, kept_sha256 string")
+    return marked.mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, n_words long, n_removed long, kept_sha256 string")
 
 
 def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

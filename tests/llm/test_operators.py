@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from tallyspark.llm import bpe, embedding_dedup, flac, licences, mixing, simhash, substring_dedup, toxicity, url_rules
+from tallyspark.llm import bpe, embedding_dedup, flac, licences, mixing, repeats, simhash, substring_dedup, toxicity, url_rules
 
 RND = random.Random(7)
 BASES = [" ".join(RND.choice(["alpha", "be", "cd", "gamma", "é", "zz"]) for _ in range(260)) for _ in range(3)]
@@ -286,6 +286,47 @@ def test_rows_listed_twice_keep_their_text(spark):
     assert len(stripped) == len(rows) and all(r["text"] == (a if r["doc_id"] else c) for r in stripped if r["doc_id"] in (None, 1))
 
 
+def test_a_row_listed_a_thousand_times(spark):
+    g = random.Random(24)
+    a, b = ("".join(g.choice("abcdefgh ") for _ in range(600)) for _ in range(2))
+    rows = [(1, a)] * 1000 + [(2, b + a[100:400])] * 3 + [(None, a[:300] + b)]
+    got = {(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substring_dedup.dedup_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()}
+    want = brute_bytes([(-1 if i is None else i, t) for i, t in dict.fromkeys(rows)])
+    assert got == {(None if i < 0 else i, *v) for i, v in want.items()}
+
+
+def test_equal_names_are_told_apart_by_the_context(spark, monkeypatch):
+    """With a name of four values every rank rests on the second key."""
+    whole = repeats._join
+    monkeypatch.setattr(repeats, "_span_name", lambda *a: whole(a[0][-1][a[1]], a[0][-1][a[1]], a[3]) & np.uint64(3))
+    monkeypatch.setattr(repeats.Bytes, "anchors", lambda self, *a, f=repeats.Bytes.anchors: (*(x := f(self, *a))[:3], x[3] & np.uint64(3)))
+    rows = [r[:2] for r in ROWS]
+    raw = np.frombuffer("".join(t or "" for _, t in rows).encode(), np.uint8)
+    off = np.concatenate(([0], np.cumsum([len((t or "").encode()) for _, t in rows])))
+    ranks, strings = {}, {}
+    for row, lo, n, offset, name, ctx in repeats._runs_of(repeats.Bytes(), raw, off):
+        for r, a, k, o, x, c in zip(row.tolist(), lo.tolist(), n.tolist(), offset.tolist(), name.tolist(), ctx.tolist(), strict=True):
+            s = (raw[off[r] + a : off[r] + a + k + 99].tobytes(), o)
+            assert ranks.setdefault((x, c), s) == s and strings.setdefault(s, (x, c)) == (x, c)
+
+
+def test_columns_of_clashing_names(spark):
+    names = "__size __source_size __copies __spans __doc __tag doc tag spans row s k t h salt rank start at u g __hash __key __y rule host verdict".split()
+    extra = [f"'x' AS `{c}`" for c in names]
+    g = random.Random(25)
+    texts = ["".join(g.choice("abcdefgh ") for _ in range(300)) for _ in range(4)]
+    d = spark.createDataFrame([(i, texts[i % 4] + "tail", "s") for i in range(8)], "doc_id long, text string, source string").selectExpr("*", *extra)
+    assert mixing.mixed(d).columns == d.columns and {r["__size"] for r in mixing.mixed(d).collect()} == {"x"}
+    assert {r["__size"] for r in mixing.mix_sources(d).collect()} != {"x"}
+    for out in (substring_dedup.strip_bytes(d), simhash.keep_one(d), toxicity.clean(d, toxicity.Model({}, -1.0, 0.5))):
+        assert out.columns == d.columns and {r["__spans"] + r["__hash"] + r["tag"] for r in out.collect()} == {"xxx"}
+    for out in (substring_dedup.dedup_bytes(d), substring_dedup.dedup_words(d), simhash.simhash_groups(d), licences.scan_licences(d), flac.store_media(d), bpe.encode_documents(d), url_rules.apply_rules(d, key="doc_id", url="text")):
+        assert out.count() == 8
+    e = d.selectExpr("doc_id AS vec_id", "array(1.0D, doc_id) AS embedding", "0 AS label", *extra, "'x' AS id", "'x' AS cid", "'x' AS payload")
+    assert embedding_dedup.near_vectors(e).count() == 8
+    assert toxicity.train(d, d.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS toxic", *extra)).prior > 0
+
+
 def test_toxicity_learns_from_whole_texts(spark):
     filler = "the of and tree " * 1500
     g = random.Random(3)
