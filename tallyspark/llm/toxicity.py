@@ -9,11 +9,16 @@ text; scoring covers every whole text.
 
 Features are chosen from the sample by document frequency among the positives and lift over the
 unlabelled text, so a word that only one document holds carries no weight.  A score is
-sigmoid(w . x + b - t): t is fitted on the sample's labelled rows so that 0.5 is the best cut.
+sigmoid(w . x + b - t): t is the cut of least PU risk under the zero-one loss, on the same sample.
+Labels tell the positives apart and their share among all labelled rows is the class prior; labelled
+negatives are unlabelled text like any other.
 
 Nulls and odd input: a null or empty text has no words and gets the score of the bias alone; a null
 doc_id is never trained on and is not held out; without any positive training row all scores are 0;
-equal texts get equal scores; an empty table gives an empty result.
+equal texts get equal scores, repeated rows each their own; a key labelled twice is toxic if one label
+is; a very long text is one set of words; the sample goes by a hash of the key, ties by the key; other
+columns, whatever their names, are not read, or pass through ``clean``; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, frugal, table
+from .common import bounded_batches, frugal, materialize, release, table
 
 #: Bounds of the training sample, in documents (documented parameters).
 MOST_POSITIVES = 1500
@@ -56,17 +61,14 @@ def words(text: str | None) -> set[str]:
     return set(_WORDS.findall((text or "").lower()))
 
 
-def fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float, checks: list[tuple[set[str], int]],
-        rounds: int = 200, rate: float = 0.5, decay: float = 1e-4) -> Model:
-    """Fit by full-batch gradient steps on the nnPU risk to documents' sets of words; deterministic.
-
-    checks: labelled training rows (words, label), only to place the cut."""
+def fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float, rounds: int = 200, rate: float = 0.5, decay: float = 1e-4) -> Model:
+    """Fit by full-batch gradient steps on the nnPU risk to documents' sets of words; deterministic."""
     if not positive or not unlabelled:
         return Model({}, -60.0, prior)
-    p, u = _distinct(positive), unlabelled
+    p, u = positive, unlabelled
     in_p, in_u = Counter(w for d in p for w in d), Counter(w for d in u for w in d)
     expected = {w: len(p) * (in_u[w] + 1) / (len(u) + 1) for w in in_p}
-    lift = {w: n / expected[w] for w, n in in_p.items() if n >= max(3, len(p) // 100)}
+    lift = {w: n / expected[w] for w, n in in_p.items() if n >= _least(len(p))}
     # A feature is a word well above chance among the positives that mostly means a positive.
     sure = {w: (in_p[w] - expected[w]) / (expected[w] + 0.5) ** 0.5 for w in lift if prior * lift[w] >= 0.3}
     names = sorted((w for w, z in sure.items() if z >= max(4, len(p) ** 0.5 / 4)), key=lambda w: (-sure[w], w))[:MOST_FEATURES]
@@ -101,70 +103,92 @@ def fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float, chec
         w = w - step * (m_w / (1 - 0.9**t)) / (np.sqrt(v_w / (1 - 0.999**t)) + 1e-8)
         b = b - step * (m_b / (1 - 0.9**t)) / (np.sqrt(v_b / (1 - 0.999**t)) + 1e-8)
     model = Model({x: float(v) for x, v in zip(names, w, strict=True)}, float(b), prior)
-    return _cut(model, checks)
+    return _cut(model, xp @ w + b, xu @ w + b)
+
+
+def _least(n: int) -> int:
+    """Positives, of ``n``, that must hold a word for it to be a feature."""
+    return max(3, n // 100)
+
 
+def _marks(found: list[str]) -> list[int]:
+    """Eight minimum hashes of a document's long words (of all if it has none)."""
+    long = [w.encode() for w in found if len(w) >= 6] or [w.encode() for w in found]
+    return [min((zlib.crc32(w, k * 7919) * 2654435761 % 4294967291 for w in long), default=-1) for k in range(8)]
 
-def _distinct(docs: list[set[str]]) -> list[set[str]]:
-    """Without near copies: a document goes if two of the eight minimum hashes of its long words were seen."""
+
+def _distinct(docs: list[tuple[set[str], list[int]]]) -> list[set[str]]:
+    """Without near copies: a document goes if two of its eight marks were seen."""
     seen: set[tuple[int, int]] = set()
     out = []
-    for d in docs:
-        long = [w.encode() for w in d if len(w) >= 6] or [w.encode() for w in d]
-        keys = {(k, min((zlib.crc32(w, k * 7919) * 2654435761 % 4294967291 for w in long), default=-1)) for k in range(8)}
+    for d, marks in docs:
+        keys = set(enumerate(marks))
         if len(keys & seen) < 2:
             out.append(d)
         seen |= keys
     return out
 
 
-def _cut(model: Model, checks: list[tuple[set[str], int]]) -> Model:
-    """Move the bias so that 0 is the cut with the fewest errors on ``checks`` (widest gap of ties)."""
-    z = sorted((model.bias + sum(model.weights[w] for w in x & model.weights.keys()), y) for x, y in checks)
-    if not z or len({y for _, y in z}) < 2:
-        return model
-    errors = sum(1 for _, y in z if y == 0)
-    best, at = (errors, 0.0), z[0][0] - 1
-    for i, (v, y) in enumerate(z):
-        errors += 1 if y else -1
-        gap = (z[i + 1][0] if i + 1 < len(z) else v + 2) - v
-        if gap > 0 and (errors, -gap) < best:
-            best, at = (errors, -gap), v + gap / 2
-    return Model(model.weights, model.bias - at, model.prior)
+def _cut(model: Model, positive: np.ndarray, unlabelled: np.ndarray) -> Model:
+    """Move the bias so that 0 is the cut of least non-negative PU risk under the zero-one loss.
+
+    At a cut the risk is prior * (positives below) + max(0, unlabelled above - prior * positives above),
+    in shares; no labelled negative takes part.  Of equal risks the cut in the widest gap wins, of
+    equal gaps the lowest."""
+    z = np.unique(np.concatenate([positive, unlabelled]).astype(np.float64))
+    cuts = np.concatenate([[z[0] - 1], (z[1:] + z[:-1]) / 2, [z[-1] + 1]])
+    gaps = np.concatenate([[1.0], np.diff(z), [1.0]])
+    above = 1 - np.searchsorted(np.sort(positive), cuts) / len(positive)
+    all_above = 1 - np.searchsorted(np.sort(unlabelled), cuts) / len(unlabelled)
+    risk = model.prior * (1 - above) + np.maximum(0, all_above - model.prior * above)
+    best = np.lexsort((cuts, -gaps, np.round(risk, 12)))[0]
+    return Model(model.weights, model.bias - float(cuts[best]), model.prior)
 
 
-def _word_sets(rows: DataFrame) -> list[tuple[set[str], int]]:
-    """Rows of (text, number) as (set of words, number); equal words are one object on the driver."""
+def _sample(rows: DataFrame) -> DataFrame:
+    """Rows of (text, kind) as (kind, words, marks): the set of words and eight minimum hashes of it."""
 
     @frugal
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([" ".join(sorted(words(x.as_py()))) for x in b.column(0)], pa.string()), b.column(1)], ["x", "y"])
+            sets = [sorted(words(x.as_py())) for x in b.column(0)]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(sets, pa.list_(pa.string())), pa.array([_marks(x) for x in sets], pa.list_(pa.int64()))], ["kind", "words", "marks"])
 
-    same: dict[str, str] = {}
-    return [({same.setdefault(w, w) for w in r["x"].split(" ") if w}, r["y"]) for r in rows.mapInArrow(run, "x string, y int").collect()]
+    return rows.mapInArrow(run, "kind int, words array<string>, marks array<long>")
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
           positives: int = MOST_POSITIVES, unlabelled: int = MOST_UNLABELLED) -> Model:
-    """Sample, by hash order of the key, at most so many rows of each kind, and fit.
+    """Sample, by hash order of the key, at most so many keys of each kind (one row each), and fit.
 
-    The executors turn whole texts into sets of words; only those come to the driver."""
+    The executors turn whole texts into sets of words and count them; the driver gets, for each document
+    of the sample, only those words that enough positives hold to be a feature."""
     bounded_batches(docs.sparkSession)
-    order = [F.xxhash64(F.col(key).cast("string")), F.col(key)]
-    d = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(key)))
-    y = labels.where(F.col(label).isNotNull() & ~held_out(F.col(key))).groupBy(key).agg(F.max(label).alias("__y"))
-    seen = d.select(key, text).join(y, key)
-    take = lambda df, n: df.orderBy(*order).limit(n)
-    ids_p = take(y.where("__y = 1").select(key), positives)
-    ids_n = take(y.where("__y = 0").select(key), positives)
-    rows = _word_sets(seen.join(F.broadcast(ids_p.unionAll(ids_n)), key, "left_semi").select(text, F.col("__y").cast("int")))
-    pos, neg = [x for x, y in rows if y == 1], [x for x, y in rows if y == 0]
-    share = y.agg(F.avg("__y").alias("p")).first()["p"] or 0.0
-    ids_u = take(d.select(key).join(y.where("__y = 1").select(key), key, "left_anti"), unlabelled)
-    unl = [x for x, _ in _word_sets(d.select(key, text).join(F.broadcast(ids_u), key, "left_semi").select(text, F.lit(0)))]
-    return fit(pos, unl, min(max(share, 0.01), 0.5), [(x, 1) for x in pos] + [(x, 0) for x in neg])
+    order = [F.xxhash64(F.col("k").cast("string")), F.col("k")]
+    d = docs.select(F.col(key).alias("k"), F.col(text).alias("x")).where("k IS NOT NULL AND x IS NOT NULL").where(~held_out(F.col("k")))
+    y = labels.select(F.col(key).alias("k"), F.col(label).alias("y")).where("y IS NOT NULL").where(~held_out(F.col("k"))).groupBy("k").agg(F.max("y").alias("y"))
+    y = materialize(y, "toxic_labels")
+    take = lambda df, n: df.select("k").distinct().orderBy(*order).limit(n)
+    ids_p = take(y.where("y = 1").join(d.select("k"), "k", "left_semi"), positives)
+    ids_u = take(d.select("k").join(y.where("y = 1").select("k"), "k", "left_anti"), unlabelled)
+    ids = ids_p.withColumn("kind", F.lit(1)).unionAll(ids_u.withColumn("kind", F.lit(0)))
+    rows = d.join(F.broadcast(ids), "k").groupBy("k", "kind").agg(F.min_by("x", F.xxhash64("x")).alias("x"))
+    sample = materialize(_sample(rows.select("x", "kind")), "toxic_sample")
+    share = y.agg(F.avg("y").alias("p")).first()["p"] or 0.0
+    counts = sample.where("kind = 1").select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= _least(0))
+    features = materialize(counts.select("w"), "toxic_words")
+    pairs = sample.withColumn("i", F.monotonically_increasing_id())
+    held = pairs.select("i", F.explode("words").alias("w")).join(features, "w").groupBy("i").agg(F.collect_list("w").alias("words"))
+    same: dict[str, str] = {}
+    pos: list[tuple[set[str], list[int]]] = []
+    unl: list[set[str]] = []
+    for r in pairs.select("i", "kind", "marks").join(held, "i", "left").orderBy("i").collect():
+        own = {same.setdefault(w, w) for w in r["words"] or ()}
+        pos.append((own, r["marks"])) if r["kind"] else unl.append(own)
+    release(y, sample, features)
+    return fit(_distinct(pos), unl, min(max(share, 0.01), 0.5))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

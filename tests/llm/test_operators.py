@@ -188,11 +188,64 @@ def test_hot_cells_split_into_tiles(spark, monkeypatch):
     assert {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_vectors(df).collect()} == want
 
 
-def test_licences(docs):
-    got = by_key(licences.scan_licences(docs), "n_base", "base_labels", "first_word", "labels")
-    assert got[605] == (1, "mit", 3, "mit") and got[600] == (0, "", None, "")
-    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    assert by_key(licences.scan_licences(docs), "n_words") == {i: (len(word.findall((t or "").lower())),) for i, t, _ in ROWS}
+def brute_licences(rows):
+    """Every column by plain loops over all starts, not only those that the postings name."""
+    word = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    texts = {i: word.findall((t or "").encode().lower()) for i, t in rows}
+    vocabulary = {w for _, t, _ in licences.TEMPLATES for w in t.split()} | {w for p, _ in licences.BASE for w in p.split()}
+    idf = {w: math.log((1 + len(texts)) / (1 + sum(w.encode() in set(x) for x in texts.values()))) + 1 for w in vocabulary}
+    out = {}
+    for i, w in texts.items():
+        places, base, labels, score = [], set(), set(), 0.0
+        for p, label in licences.BASE:
+            k = p.encode().split()
+            at = [a for a in range(len(w)) if w[a : a + len(k)] == k]
+            places += at
+            base |= {label} if at else set()
+        for label, t, keys in licences.TEMPLATES:
+            t = t.split()
+            slack = licences.SLACK if len(t) > licences.SHORT else 0
+            key_at = [(next(a for a in range(len(t)) if t[a : a + len(k.split())] == k.split()), k.encode().split()) for k in keys]
+            if slack:
+                rare = sorted(set(t), key=lambda x: (-idf[x], x))[: licences.RARE]
+                posted = [p for p, x in enumerate(t) if x in rare]
+                need = max(2, int(licences.SHARE * len(posted)))
+            else:
+                posted = sorted({p for a, k in key_at for p in range(a, a + len(k))})
+                need = min(len(k) for _, k in key_at)
+            stands = lambda s: {p for p in posted if 0 <= s + p < len(w) and w[s + p] == t[p].encode()}  # noqa: E731, B023
+            for s in range(-len(t), len(w)):
+                if not stands(s) or len(set().union(*(stands(s + d) for d in range(slack + 1)))) < need:
+                    continue
+                if not any(s + a + d >= 0 and w[s + a + d : s + a + d + len(k)] == k for a, k in key_at for d in range(-slack, slack + 1)):
+                    continue
+                labels.add(label)
+                mass, at = 0.0, 0
+                for p, x in enumerate(t):
+                    hit = [b for b in range(max(at, s + p - slack, s - slack, 0), min(s + p + slack + 1, len(w))) if w[b] == x.encode()]
+                    if hit:
+                        mass, at = mass + idf[x], hit[0] + 1
+                score = max(score, mass / sum(idf[x] for x in t))
+        labels |= base
+        places.sort()
+        out[i] = (len(w), len(places), places[0] if places else None, places[-1] if places else None, ",".join(sorted(base)), ",".join(sorted(labels)), round(min(score, 1.0), 9))
+    return out
+
+
+def test_licences_against_brute_force(spark):
+    g = random.Random(51)
+    mit, apache, gpl = (next(t for a, t, _ in licences.TEMPLATES if a == x and len(t.split()) > 30) for x in ("mit", "apache", "gpl"))
+    rows = list(dict.fromkeys([r[:2] for r in ROWS[::6]] + [r[:2] for r in ROWS[-6:]]))
+    for i, t in enumerate([mit, apache, gpl]):
+        w = t.split()
+        for j in range(6):
+            x = [y for y in w if g.random() > 0.03 * j]
+            x.insert(g.randrange(len(x)), "Inserted, words!")
+            rows.append((700 + 10 * i + j, "Intro text. " + " ".join(x[: len(x) - 12 * j]).replace(" the ", " The ") + ". The end"))
+    rows += [(800, "See the MIT license; the mit  LICENSE. mit-license"), (801, "GNU Lesser General Public License"), (802, mit + " " + apache + " mit license"), (803, "general public\x00license"), (804, "mit license " * 3)]
+    got = {r["doc_id"]: (*tuple(r)[1:-1], round(r["score"], 9)) for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute_licences(rows)
+    assert got[605][1:6] == (1, 3, 3, "mit", "mit") and got[605][6] == 1.0 and got[800][1] == 3 and 0 < got[801][6] < 1 and got[802][5] == "apache,mit"
 
 
 def test_toxicity_learns_the_words(spark):
