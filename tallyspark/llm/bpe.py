@@ -2,7 +2,9 @@
 
 A word's parts are held in two flat arrays, the part boundaries and the rank of every adjacent pair.
 The minimum rank is found by a scan, its boundary deleted, and only the two neighbouring ranks are
-looked up again.  Words are short, so a scan beats a heap.  A worker keeps the ids of the words it
+looked up again.  Words are short, so a scan beats a heap; a word of more than ``LONG`` parts, where
+scans would cost the square of its length, keeps the ranks in a heap instead, with the same result.
+A worker keeps the ids of the words it
 has met in two bounded tables: when the newer is full it becomes the older, whose words come back
 to the newer as they are met.
 
@@ -10,8 +12,9 @@ The vocabulary file is read by its public JSON format; normalising (NFC, white s
 and splitting follow the rules the file states.  Special tokens in the raw text are cut out first.
 Long texts are encoded whole.
 
-Nulls and odd input: a null text is empty and has no tokens, and the hashes of the empty string;
-equal rows are separate rows; an empty table gives an empty result; other columns are not read.
+Nulls and odd input: a null text is empty and has no tokens, and the hashes of the empty string; a null
+key is a value like any other; of equal lowest ranks the leftmost is merged first; equal rows are
+separate rows; an empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import json
 import sys
 import types
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import accumulate, pairwise
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +34,8 @@ from .common import bounded_batches, frugal, table
 
 #: Words whose ids a worker remembers at most, in both tables together.
 MOST_WORDS = 1 << 17
+#: Parts from which on a word's ranks are kept in a heap.
+LONG = 256
 
 
 def default_vocabulary() -> str:
@@ -79,6 +85,8 @@ class WordBpe:
 
     def merge(self, parts: list[str]) -> list[str]:
         """The parts of one word after all merges, lowest rank first, leftmost among equals."""
+        if len(parts) > LONG:
+            return self.merge_long(parts)
         get, far = self.ranks.get, len(self.ranks)
         whole = "".join(parts)
         bound = list(accumulate(map(len, parts), initial=0))
@@ -97,11 +105,37 @@ class WordBpe:
                 near[i] = get((part, whole[b : bound[i + 2]]), far)
         return [whole[a:b] for a, b in pairwise(bound)]
 
+    def merge_long(self, parts: list[str]) -> list[str]:
+        """``merge`` by a heap of (rank, place of the left part); entries of parts that have changed are passed over."""
+        get, n = self.ranks.get, len(parts)
+        part: list[str | None] = list(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i, pair in enumerate(pairwise(parts)) if (r := get(pair)) is not None]
+        heapify(heap)
+        while heap:
+            r, i = heappop(heap)
+            j = after[i]
+            if part[i] is None or j == n or get((part[i], part[j])) != r:
+                continue
+            part[i] += part[j]
+            part[j] = None
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (new := get((part[i], part[k]))) is not None:
+                    heappush(heap, (new, i))
+            h = before[i]
+            if h >= 0 and (new := get((part[h], part[i]))) is not None:
+                heappush(heap, (new, h))
+        return [x for x in part if x is not None]
+
     def word(self, word: str) -> tuple[str, str, int]:
         """(ids joined by a space, tokens joined by a space, number of tokens), remembered."""
         if len(self.known) >= MOST_WORDS // 2:
             self.known, self.older = {}, self.known
-        found = self.known[word] = self.older.get(word) or self.merged(word)
+        found = self.older.get(word) or self.merged(word)
+        if len(word) <= LONG:  # so the tables' bytes are bounded as well
+            self.known[word] = found
         return found
 
     def merged(self, word: str) -> tuple[str, str, int]:
