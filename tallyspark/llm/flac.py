@@ -6,11 +6,17 @@ STREAMINFO carries the MD5 of the samples, a SEEKTABLE one point (first sample,
 of samples) for every block, each header a CRC-8 and each frame a CRC-16.
 
 The reader finds blocks by their seek points, verifies every checksum and the MD5, and decodes the
-Rice codes of all blocks of a batch in lockstep: one step reads one code of every block.
+Rice codes of many blocks in lockstep: one step reads one code of every block.  ``read_block`` gives
+one block's samples from its seek point alone.
 
-Nulls and odd input: a null or empty text is one row of 192 spaces; equal texts give equal streams
-whatever else is in the batch; a very long text is many blocks; a damaged stream raises
-``ValueError``; equal rows are separate rows; an empty table gives an empty result.
+Both work on at most ``PIECE`` bytes at a time, of one text or of several, so a long text costs its
+own size a few times and no more; streams of over ``MOST_POINTS`` blocks take longer blocks, as a seek
+table has room for no more points.  Of two equally cheap subframe kinds the first is taken.
+
+Nulls and odd input: a null or empty text is one row of 192 spaces; a null key is a value like any
+other; equal texts give equal streams whatever else is in the batch; a damaged stream raises
+``ValueError``; equal rows are separate rows; other columns, whatever their names, are not read; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,14 +29,18 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import slices, table
+from .common import slices, table, utf8_column
 
 BLOCK = 1152
 UNIT = 192
 RATE = 8000
 #: Payload bytes that are coded at a time; bounds a task's memory.
-BATCH_BYTES = 2 << 20
+PIECE = 1 << 20
+#: Seek points of a table, whose length has 24 bits, and the blocks of longer streams.
+MOST_POINTS = 900_000
+LONG_BLOCK = 16 * BLOCK
 _LPC_SHIFT, _LPC_BITS = 6, 8
+_POINT = np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")])
 _FIXED = {0: (0, 0), 1: (1, 0), 2: (2, -1)}
 
 
@@ -102,6 +112,10 @@ def _read_number(data: bytes, at: int) -> tuple[int, int]:
     return n, at + 1 + more
 
 
+def block_size(size: int) -> int:
+    return BLOCK if size <= BLOCK * MOST_POINTS else LONG_BLOCK
+
+
 def _header(number: int, n: int) -> bytes:
     code, extra = (3, b"") if n == BLOCK else (7, struct.pack(">H", n - 1))
     h = bytes([0xFF, 0xF8, code << 4 | 4, 0 << 4 | 1 << 1]) + _number(number) + extra
@@ -168,14 +182,57 @@ def _crc():
 
 def encode(payloads: list[bytes]) -> list[bytes]:
     """One stream for each payload; a payload is unsigned 8-bit samples."""
-    sizes = np.array([len(p) for p in payloads], np.int64)
-    counts = -(-sizes // BLOCK)
-    raw = np.frombuffer(b"".join(payloads), np.uint8)
-    owner = np.repeat(np.arange(len(payloads)), counts)
-    first = np.concatenate(([0], np.cumsum(counts)[:-1])) if len(counts) else counts
-    number = np.arange(len(owner)) - first[owner]
-    begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))[owner] + number * BLOCK
-    n = np.minimum(BLOCK, sizes[owner] - number * BLOCK)
+    frames: list[list[bytes]] = [[] for _ in payloads]
+    sizes: list[list[np.ndarray]] = [[] for _ in payloads]
+    group, held = [], 0
+
+    def code() -> None:
+        for (d, _, _, _), (data, own) in zip(group, _coded([g[1:] for g in group]), strict=True):
+            frames[d].append(data)
+            sizes[d].append(own)
+        group.clear()
+
+    for d, p in enumerate(payloads):
+        block = block_size(len(p))
+        step = max(PIECE // block, 1) * block
+        for a in range(0, len(p), step):
+            if held + min(step, len(p) - a) > PIECE and group:
+                code()
+                held = 0
+            group.append((d, memoryview(p)[a : a + step], a // block, block))
+            held += min(step, len(p) - a)
+    if group:
+        code()
+    return [_stream(p, f, np.concatenate(s) if s else np.zeros(0, np.int64)) for p, f, s in zip(payloads, frames, sizes, strict=True)]
+
+
+def _stream(payload: bytes, frames: list[bytes], own: np.ndarray) -> bytes:
+    """The file: marker, STREAMINFO, SEEKTABLE, frames of ``own`` bytes each."""
+    block, md5 = block_size(len(payload)), hashlib.md5()
+    for a in range(0, len(payload), PIECE):
+        md5.update((np.frombuffer(payload, np.uint8, min(PIECE, len(payload) - a), a) ^ 0x80).tobytes())
+    info = struct.pack(">HH", block, block) + int(own.min(initial=0)).to_bytes(3, "big") + int(own.max(initial=0)).to_bytes(3, "big")
+    info += (RATE << 44 | 0 << 41 | 7 << 36 | len(payload)).to_bytes(8, "big") + md5.digest()
+    points = np.zeros(len(own), _POINT)
+    points["sample"] = np.arange(len(own)) * block
+    points["offset"] = np.cumsum(own) - own
+    points["n"] = np.minimum(block, len(payload) - np.arange(len(own)) * block)
+    seek = points.tobytes()
+    return b"".join([b"fLaC", b"\x00\x00\x00\x22", info, b"\x83" + len(seek).to_bytes(3, "big"), seek, *frames])
+
+
+def _coded(chunks: list[tuple[memoryview, int, int]]) -> list[tuple[bytes, np.ndarray]]:
+    """(frames, their sizes) of each chunk: samples, the number of its first block, samples of a block."""
+    sizes = np.array([len(c) for c, _, _ in chunks], np.int64)
+    blocks = np.array([b for _, _, b in chunks], np.int64)
+    counts = -(-sizes // blocks)
+    raw = np.frombuffer(b"".join(c for c, _, _ in chunks), np.uint8)
+    owner = np.repeat(np.arange(len(chunks)), counts)
+    first = np.concatenate(([0], np.cumsum(counts)[:-1]))
+    inside = np.arange(len(owner)) - first[owner]
+    number = inside + np.array([k for _, k, _ in chunks], np.int64)[owner]
+    begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))[owner] + inside * blocks[owner]
+    n = np.minimum(blocks[owner], sizes[owner] - inside * blocks[owner])
     heads = [_header(i, m) for i, m in zip(number.tolist(), n.tolist(), strict=True)]
     coded, plain = [], []
     body = n + 1
@@ -218,19 +275,11 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     if len(at):
         crc = _crc()(flat, at, size - 2)
         flat[at + size - 2], flat[at + size - 1] = crc >> 8, crc & 255
-    data, streams = flat.tobytes(), []
-    for d, p in enumerate(payloads):
-        rows = slice(int(first[d]), int(first[d] + counts[d]))
-        own, start = size[rows], at[rows]
-        md5 = hashlib.md5((np.frombuffer(p, np.uint8) ^ 0x80).tobytes()).digest()
-        info = struct.pack(">HH", BLOCK, BLOCK) + int(own.min()).to_bytes(3, "big") + int(own.max()).to_bytes(3, "big")
-        info += (RATE << 44 | 0 << 41 | 7 << 36 | len(p)).to_bytes(8, "big") + md5
-        points = np.zeros(len(own), np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")]))
-        points["sample"], points["offset"], points["n"] = number[rows] * BLOCK, start - start[0], n[rows]
-        seek = points.tobytes()
-        parts = [b"fLaC", b"\x00\x00\x00\x22", info, b"\x83" + len(seek).to_bytes(3, "big"), seek, data[int(start[0]) : int(start[-1] + own[-1])]]
-        streams.append(b"".join(parts))
-    return streams
+    data, out = flat.tobytes(), []
+    for k, c in zip(first.tolist(), counts.tolist(), strict=True):
+        own = size[k : k + c]
+        out.append((data[int(at[k]) : int(at[k] + own.sum())], own))
+    return out
 
 
 def seek_points(stream: bytes) -> tuple[int, bytes, np.ndarray, int]:
@@ -247,39 +296,71 @@ def seek_points(stream: bytes) -> tuple[int, bytes, np.ndarray, int]:
             if (packed >> 41) & 7 or (packed >> 36) & 31 != 7:
                 raise ValueError("only mono 8-bit streams are read")
         elif kind == 3:
-            points = np.frombuffer(block, np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")]))
+            points = np.frombuffer(block, _POINT)
         at += 4 + size
     if points is None:
         raise ValueError("the stream has no seek table")
     return total, md5, points, at
 
 
-def decode(streams: list[bytes]) -> list[bytes]:
-    """The payloads, after all checksums have been verified."""
-    infos = [seek_points(s) for s in streams]
-    base = np.concatenate(([0], np.cumsum([len(s) for s in streams])))
-    data = b"".join(streams) + bytes(8)
-    raw = np.frombuffer(data, np.uint8)
-    start = np.concatenate([i[2]["offset"].astype(np.int64) + i[3] + b for i, b in zip(infos, base[:-1], strict=True)]) if infos else np.zeros(0, np.int64)
-    ends = np.concatenate([np.append(i[2]["offset"][1:].astype(np.int64) + i[3] + b, e) for i, b, e in zip(infos, base[:-1], base[1:], strict=True)]) if infos else start
-    n = np.concatenate([i[2]["n"].astype(np.int64) for i in infos]) if infos else start
-    if not len(start):
-        return [b"" for _ in streams]
+def _decoded(data: bytes, start: np.ndarray, ends: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Samples of frames in the order of ``data``, one after another, after their checksums have been verified."""
+    a = int(start[0])
+    data = bytes(data[a : int(ends[-1])]) + bytes(8)
+    raw, start, ends = np.frombuffer(data, np.uint8), start - a, ends - a
     found = _crc()(raw, start, ends - start - 2)
     if (found != (raw[ends - 2].astype(np.uint16) << 8 | raw[ends - 1])).any():
         raise ValueError("a frame's CRC-16 does not match")
     x = _frames(data, raw, start, n)
-    out, at = [], 0
-    for total, md5, points, _ in infos:
-        k = len(points)
-        samples = np.concatenate([x[: n[i], i] for i in range(at, at + k)]).astype(np.int8) if k else np.zeros(0, np.int8)
-        at += k
-        if len(samples) != total or hashlib.md5(samples.tobytes()).digest() != md5:
-            raise ValueError("the samples do not match STREAMINFO")
-        out.append((samples.view(np.uint8) ^ 0x80).tobytes())
+    return x.T[np.arange(x.shape[0]) < n[:, None]].astype(np.int8)
+
+
+def _bounds(stream: bytes, points: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    start = points["offset"].astype(np.int64) + at
+    return start, np.append(start[1:], len(stream)), points["n"].astype(np.int64)
+
+
+def decode(streams: list[bytes]) -> list[bytes]:
+    """The payloads, after all checksums have been verified."""
+    whole = []
+    for s in streams:
+        total, md5, points, at = seek_points(s)
+        whole.append((s, total, md5, _bounds(s, points, at)))
+    out: list[bytes] = []
+    # Short streams are read together, a long one piece by piece.
+    for i, j in slices(np.array([w[1] for w in whole]), PIECE):
+        if j - i > 1:
+            base = np.concatenate(([0], np.cumsum([len(w[0]) for w in whole[i:j]])))
+            joined = b"".join(w[0] for w in whole[i:j])
+            spans = [[v + (b if k < 2 else 0) for k, v in enumerate(w[3])] for w, b in zip(whole[i:j], base.tolist(), strict=False)]
+            start, ends, n = (np.concatenate(x) for x in zip(*spans, strict=True))
+            samples = _decoded(joined, start, ends, n) if len(start) else np.zeros(0, np.int8)
+            cuts = np.cumsum([0, *[int(w[3][2].sum()) for w in whole[i:j]]])
+            parts = [[samples[a:b]] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        else:
+            s, _, _, (start, ends, n) = whole[i]
+            step = max(PIECE // max(int(n.max(initial=1)), 1), 1)
+            parts = [(_decoded(s, start[k : k + step], ends[k : k + step], n[k : k + step]) for k in range(0, len(start), step))]
+        for (_, total, md5, _), pieces in zip(whole[i:j], parts, strict=True):
+            digest, own = hashlib.md5(), []
+            for x in pieces:
+                digest.update(x.tobytes())
+                own.append((x.view(np.uint8) ^ 0x80).tobytes())
+            if sum(map(len, own)) != total or digest.digest() != md5:
+                raise ValueError("the samples do not match STREAMINFO")
+            out.append(b"".join(own))
     return out
 
 
+def read_block(stream: bytes, sample: int) -> tuple[int, bytes]:
+    """(first sample, unsigned samples) of the block that holds ``sample``, found by the seek table alone."""
+    _, _, points, at = seek_points(stream)
+    start, ends, n = _bounds(stream, points, at)
+    k = int(np.searchsorted(points["sample"].astype(np.int64), sample, "right")) - 1
+    x = _decoded(stream, start[k : k + 1], ends[k : k + 1], n[k : k + 1])
+    return int(points["sample"][k]), (x.view(np.uint8) ^ 0x80).tobytes()
+
+
 def _bits(data: bytes, at: int, k: int) -> int:
     end = at + k
     return (int.from_bytes(data[at >> 3 : (end + 7) >> 3], "big") >> (-end & 7)) & ((1 << k) - 1)
@@ -377,52 +458,65 @@ def _leading() -> np.ndarray:
     return _lz
 
 
+def padded(b: bytes) -> bytes:
+    """``b`` with spaces to a positive multiple of ``UNIT``."""
+    return b + b" " * ((-len(b)) % UNIT or (0 if b else UNIT))
+
+
 def payload_of(text: str | None) -> tuple[int, bytes]:
-    """(length unpadded, bytes padded with spaces to a positive multiple of ``UNIT``)."""
+    """(length unpadded, padded bytes)."""
     b = (text or "").encode("utf-8", "surrogatepass")
-    return len(b), b + b" " * ((-len(b)) % UNIT or (0 if b else UNIT))
+    return len(b), padded(b)
 
 
 def feature(payload: bytes) -> str:
     """Energy, sign changes and peak of the samples, in integers."""
-    s = (np.frombuffer(payload, np.uint8) ^ 0x80).view(np.int8).astype(np.int64)
-    turns = int(((s[1:] ^ s[:-1]) < 0).sum())
-    return f"energy={int((s * s).sum())};turns={turns};peak={int(np.abs(s).max())}"
+    energy = turns = peak = 0
+    for a in range(0, len(payload), PIECE):
+        b = max(a - 1, 0)  # one sample over, for the sign change between pieces
+        s = (np.frombuffer(payload, np.uint8, min(PIECE + a - b, len(payload) - b), b) ^ 0x80).view(np.int8).astype(np.int64)
+        turns += int(((s[1:] ^ s[:-1]) < 0).sum())
+        s = s[a - b :]
+        energy, peak = energy + int((s * s).sum()), max(peak, int(np.abs(s).max()))
+    return f"energy={energy};turns={turns};peak={peak}"
 
 
 def store_media(docs: DataFrame, key: str = "doc_id", text: str = "text", media: bool = False) -> DataFrame:
     """Write each text as a FLAC stream, read the stream back and describe what was read.
 
-    With ``media`` the stream and its PCM blocks (first sample, byte offset, samples) follow."""
+    ``n_blocks`` and ``seek_sha256`` describe the PCM blocks: their number, and a digest of their lines
+    ``first sample,byte offset,samples``.  With ``media`` the stream and the blocks themselves follow."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            texts = b.column(1).to_pylist()
-            pads = [payload_of(t) for t in texts]
-            for i, j in slices(np.array([len(p) for _, p in pads]), BATCH_BYTES):
-                streams = encode([p for _, p in pads[i:j]])
+            raw, off = utf8_column(b.column(1))
+            n = np.diff(off)
+            for i, j in slices(n, PIECE):
+                pads = [padded(raw[off[r] : off[r + 1]].tobytes()) for r in range(i, j)]
+                streams = encode(pads)
                 back = decode(streams)
+                points = [seek_points(s)[2] for s in streams]
+                lines = ["\n".join(f"{x['sample']},{x['offset']},{x['n']}" for x in p) for p in points]
                 cols = {
-                    "n_bytes": pa.array([k for k, _ in pads[i:j]], pa.int64()),
+                    "n_bytes": pa.array(n[i:j], pa.int64()),
                     "payload_bytes": pa.array([len(p) for p in back], pa.int64()),
                     "payload_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in back]),
                     "tail_crc32": pa.array([zlib.crc32(p[-16:]) for p in back], pa.int64()),
                     "media_bytes": pa.array([len(s) for s in streams], pa.int64()),
                     "media_sha256": pa.array([hashlib.sha256(s).hexdigest() for s in streams]),
                     "feature": pa.array([feature(p) for p in back]),
+                    "n_blocks": pa.array([len(p) for p in points], pa.int64()),
+                    "seek_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in lines]),
                 }
                 if media:
                     cols["media"] = pa.array(streams, pa.binary())
-                    blocks = []
-                    for s, p in zip(streams, back, strict=True):
-                        points = seek_points(s)[2]
-                        blocks.append([{"first_sample": int(x["sample"]), "offset": int(x["offset"]), "pcm": p[int(x["sample"]) : int(x["sample"]) + int(x["n"])]} for x in points])
+                    blocks = [[{"first_sample": int(x["sample"]), "offset": int(x["offset"]), "pcm": p[int(x["sample"]) : int(x["sample"]) + int(x["n"])]} for x in q] for p, q in zip(back, points, strict=True)]
                     cols["blocks"] = pa.array(blocks, pa.list_(pa.struct([("first_sample", pa.int64()), ("offset", pa.int64()), ("pcm", pa.binary())])))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *cols.values()], [key, *cols])
 
-    schema = f"`{key}` {dict(docs.dtypes)[key]}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = f"`{key}` {dict(docs.dtypes)[key]}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_blocks long, seek_sha256 string"
     if media:
         schema += ", media binary, blocks array<struct<first_sample:bigint,offset:bigint,pcm:binary>>"
     return docs.select(key, text).mapInArrow(run, schema)

@@ -286,6 +286,37 @@ def test_flac_round_trip():
             flac.decode([bytes(bad)])
 
 
+def test_flac_in_pieces_and_long_blocks(monkeypatch):
+    g = random.Random(6)
+    texts = ["".join(g.choice("abcdefgh \n") for _ in range(n)) for n in (1, 5000, 70_000, 3000)] + ["", "x" * 20_000]
+    payloads = [flac.payload_of(t)[1] for t in texts]
+    whole, features = flac.encode(payloads), [flac.feature(p) for p in payloads]
+    monkeypatch.setattr(flac, "PIECE", 4000)
+    assert flac.encode(payloads) == whole and flac.decode(whole) == payloads and [flac.feature(p) for p in payloads] == features
+    monkeypatch.setattr(flac, "MOST_POINTS", 10)
+    long = flac.encode(payloads)
+    assert flac.decode(long) == payloads and long[0] == whole[0] and long[2] != whole[2] and len(flac.seek_points(long[2])[2]) == 4
+
+
+def test_flac_query_columns(docs):
+    import zlib
+
+    rows = {r["doc_id"]: r for r in flac.store_media(docs, media=True).collect()}
+    for i, t, _ in ROWS:
+        b = (t or "").encode()
+        p = b + b" " * (-len(b) % 192 or (0 if b else 192))
+        r = rows[i]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
+        s = np.array([x - 128 for x in p])
+        assert r["feature"] == f"energy={(s * s).sum()};turns={sum((a < 0) != (c < 0) for a, c in zip(s[:-1], s[1:], strict=True))};peak={abs(s).max()}"
+        assert (r["media_bytes"], r["media_sha256"], r["n_blocks"]) == (len(r["media"]), hashlib.sha256(r["media"]).hexdigest(), len(r["blocks"]))
+        assert b"".join(x["pcm"] for x in r["blocks"]) == p
+        for x in r["blocks"]:
+            assert flac.read_block(r["media"], x["first_sample"] + 1) == (x["first_sample"], x["pcm"])
+        lines = "\n".join(f"{x['first_sample']},{x['offset']},{len(x['pcm'])}" for x in r["blocks"])
+        assert r["seek_sha256"] == hashlib.sha256(lines.encode()).hexdigest()
+
+
 def brute_rule(url, rules, default):
     rest = url.split("://", 1)[1] if url and "://" in url else None
     cut = next((i for i, c in enumerate(rest) if c in "/?#"), len(rest)) if rest is not None else 0
