@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialize, table
+from .tiles import by_tile, dealt, load_of, within
 
 COSINE = 0.98
 BLOCKS = 8
@@ -198,46 +199,18 @@ class _Tile:
                 np.concatenate([self.head[some], self.head[tied]]), np.concatenate([count[some], self.head[root[tied]]]))
 
 
-_KEY = ("label", "dim", "block", "cell", "kind", "ti", "tj")
-
-
-def _by_tile(batches: Iterator, columns: tuple[str, ...]) -> Iterator[tuple[tuple, list]]:
-    """Sorted rows -> (tile key, its columns); a tile's rows are gathered and forgotten."""
-    last, parts = None, []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        keys = [b.column(c).to_pylist() for c in _KEY]
-        edges = [0, *[i for i in range(1, b.num_rows) if any(k[i] != k[i - 1] for k in keys)], b.num_rows]
-        cols = [b.column(c) for c in columns]
-        for i, j in zip(edges, edges[1:], strict=False):
-            key = tuple(k[i] for k in keys)
-            if key != last:
-                if parts:
-                    yield last, [[v for p in parts for v in p[c]] for c in range(len(columns))]
-                last, parts = key, []
-            parts.append([c.slice(i, j - i).to_pylist() for c in cols])
-    if parts:
-        yield last, [[v for p in parts for v in p[c]] for c in range(len(columns))]
-
-
-def _within(key: tuple) -> bool:
-    """Whether a tile compares home rows with each other: a whole cell, or one chunk with itself."""
-    return key[4] == 0 or (key[4] == 1 and key[5] == key[6])
-
-
 def _survivors(cosine: float, blocks: int):
     """Rows with a partner in their tile."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for key, (side, role, cid, near) in _by_tile(batches, ("side", "role", "cid", "near")):
+        for key, (side, role, cid, near) in by_tile(batches, ("side", "role", "cid", "near")):
             if len(cid) < 2:
                 continue
             share = (2 - 2 * cosine) / (len(_cuts(key[1], blocks)) - 1) + _SLACK
             x = np.frombuffer(b"".join(near), np.float32).reshape(len(cid), -1)
-            at = np.flatnonzero(_partnered(np.array(side), x, _within(key), share))
+            at = np.flatnonzero(_partnered(np.array(side), x, within(key), share))
             if len(at):
                 n = len(at)
                 cols = [pa.array([key[0]] * n, pa.int64()), pa.array([key[1]] * n, pa.int32()), pa.array([key[2]] * n, pa.int32()), pa.array([key[3]] * n, pa.binary())]
@@ -252,41 +225,17 @@ def _links(cosine: float, blocks: int, kind):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for key, (side, cid, copies, payload) in _by_tile(batches, ("side", "cid", "copies", "payload")):
+        for key, (side, cid, copies, payload) in by_tile(batches, ("side", "cid", "copies", "payload")):
             if len(cid) < 2:
                 continue
             x = np.frombuffer(b"".join(payload), kind).astype(np.float64).reshape(len(cid), key[1])
-            what, own, value = _Tile((key[2], _within(key)), np.array(cid), np.array(copies), np.array(side), x, cosine, blocks).result()
+            what, own, value = _Tile((key[2], within(key)), np.array(cid), np.array(copies), np.array(side), x, cosine, blocks).result()
             if len(what):
                 yield pa.RecordBatch.from_arrays([pa.array(what), pa.array(own), pa.array(value)], ["kind", "id", "value"])
 
     return run
 
 
-def _dealt(rows: DataFrame, load: DataFrame, most: int, visitors: int) -> DataFrame:
-    """``rows`` (label, dim, block, cell, role, cid, ...) with their tiles (kind, ti, tj, side), dealt and sorted by tile.
-
-    ``load`` counts a cell's rows by role; a cell over the bounds is cut into ka home and kb visiting chunks.
-    The list of such cells is joined, broadcast by Spark itself only under its own size bound."""
-    cell = ["label", "dim", "block", "cell"]
-    hot = load.where((F.col("home") > most) | ((F.col("guests") > visitors) & (F.col("home") > 0))).select(
-        *cell, F.ceil(F.col("home") / most).cast("int").alias("ka"), F.greatest(F.ceil(F.col("guests") / visitors), F.lit(1)).cast("int").alias("kb"))
-    rows = rows.join(materialize(hot, "hot"), cell, "left").withColumns({"ka": F.coalesce("ka", F.lit(1)), "kb": F.coalesce("kb", F.lit(1))})
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("cid", "block"), F.when(F.col("role") == 0, F.col("ka")).otherwise(F.col("kb"))).cast("int"))
-    place = F.expr("""explode(CASE
-        WHEN ka = 1 AND kb = 1 THEN array(struct(0 AS kind, 0 AS ti, 0 AS tj, role AS side))
-        WHEN role = 0 THEN concat(
-            transform(sequence(0, ka - 1), j -> struct(1 AS kind, least(chunk, j) AS ti, greatest(chunk, j) AS tj, int(chunk > j) AS side)),
-            transform(sequence(0, kb - 1), j -> struct(2 AS kind, chunk AS ti, j AS tj, 0 AS side)))
-        ELSE transform(sequence(0, ka - 1), i -> struct(2 AS kind, i AS ti, chunk AS tj, 1 AS side)) END)""")
-    rows = rows.withColumn("p", place).select("*", "p.*").drop("p", "ka", "kb", "chunk")
-    return rows.repartition(*_KEY).sortWithinPartitions(*_KEY)
-
-
-def _load(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("label", "dim", "block", "cell").agg(F.count_if(F.col("role") == 0).alias("home"), F.count_if(F.col("role") == 1).alias("guests"))
-
-
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS, key: str = "vec_id",
                  embedding: str = "embedding", label: str = "label") -> DataFrame:
     """(key, n_links, component_id, kept) for every row."""
@@ -309,11 +258,11 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCK
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")  # ids are fixed by being written
     place = "label long, dim int, block int, cell binary, role int"
     ids = classes.select("label", "cid", "payload")
-    load = _load(ids.mapInArrow(_cells(cosine, blocks, kind, False), place))
-    near = _dealt(ids.mapInArrow(_cells(cosine, blocks, kind, True), f"{place}, cid long, near binary"), load, NEAR_TILE, NEAR_VISITORS)
+    load = load_of(ids.mapInArrow(_cells(cosine, blocks, kind, False), place))
+    near = dealt(ids.mapInArrow(_cells(cosine, blocks, kind, True), f"{place}, cid long, near binary"), load, NEAR_TILE, NEAR_VISITORS)
     rest = materialize(near.mapInArrow(_survivors(cosine, blocks), f"{place}, cid long").distinct(), "partnered")
     whole = rest.join(classes.select("cid", "copies", "payload"), "cid")
-    found = materialize(_dealt(whole, _load(rest), TILE, VISITORS).mapInArrow(_links(cosine, blocks, kind), "kind int, id long, value long"), "links")
+    found = materialize(dealt(whole, load_of(rest), TILE, VISITORS).mapInArrow(_links(cosine, blocks, kind), "kind int, id long, value long"), "links")
     links = found.where("kind = 0").groupBy("id").agg(F.sum("value").alias("links"))
     parts = connected_components(found.where("kind = 1").select(F.col("id").alias("a"), F.col("value").alias("b")))
     per = classes.join(links, classes["cid"] == links["id"], "left").join(parts, classes["cid"] == parts["node"], "left")

@@ -8,12 +8,16 @@ the join's condition.  Documents meet by fingerprint before any join, so copies
 
 ``similar_groups`` takes a similarity instead of a few bits: 512-bit fingerprints of the distinct
 5-word shingles only propose candidates, texts that agree in one of the 32 segments of 16 bits under
-one of six orders of the bits and lie within a loose distance.  A link is a candidate whose exact
-shingle sets have that Jaccard similarity.
-
-Nulls and odd input: a null or blank text has fingerprint zero, linked like any other; a null
-doc_id takes part, and a group without any doc_id has a null component; equal rows are separate
-rows with equal results; an empty table gives an empty result.
+one of six orders of the bits and lie within a loose distance.  A first pass deals fingerprints to
+their segments' buckets and keeps only which texts have a candidate there; the shingle sets of those
+are then fetched to the buckets and compared exactly.  A pair is compared in the first bucket that it
+shares and never becomes a row; a bucket returns a spanning set of links.  Buckets are cut into tiles.
+
+Nulls and odd input: a null or blank text has fingerprint zero, linked like any other (without
+shingles it has no similar text); a null doc_id takes part, and a group without any doc_id has a null
+component; equal rows are separate rows with equal results, and ``keep_one`` keeps one of them; a very
+long text is hashed in blocks; a count of exactly half the hashes gives a bit of 0; other columns,
+whatever their names, are not read, or pass through ``keep_one``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, connected_components, frugal, materialize, release, splitmix, table
+from .tiles import by_tile, dealt, load_of, within
 
 SHINGLE = 3
 DISTANCE = 3
@@ -47,11 +52,8 @@ ORDERS = 6
 FAR = 112
 FAR_SMALL = 136
 SMALL = 32
-#: Segments of the first round, which joins dense groups before the complete search.
-FIRST_SEGMENTS = 16
-#: Candidates verified at a time: as many as there are texts, this at least.
-VERIFY = 1 << 18
-PAIRS = 1 << 18
+#: Texts of a tile while fingerprints are compared, and while whole sets are.
+NEAR_TILE, TILE = 8192, 256
 
 
 def fingerprint(text: str | None, n: int = SHINGLE, seed: int = SEED) -> int:
@@ -152,7 +154,7 @@ def wide_fingerprint(text: str | None, n: int = WIDE_SHINGLE) -> tuple[int, int,
 
 
 def _wide(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    names = [f"w{i}" for i in range(WIDE)]
+    """(key, hash of the text, node, size, fp) of every row."""
     bounded_batches(docs.sparkSession)
 
     @frugal
@@ -161,182 +163,197 @@ def _wide(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
 
         for b in batches:
             rows = [wide_fingerprint(x.as_py(), n) for x in b.column(1)]
-            cols = [[r[0] for r in rows], [r[1] for r in rows], *[[r[2][i] for r in rows] for i in range(WIDE)]]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *[pa.array(c, pa.int64()) for c in cols]], [key, "__hash", "node", "size", *names])
+            fp = [np.array(r[2], np.int64).tobytes() for r in rows]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(fp, pa.binary())], ["key", "hash", "node", "size", "fp"])
+
+    return docs.select(key, text, F.xxhash64(text)).mapInArrow(run, f"key {dict(docs.dtypes)[key]}, hash long, node long, size long, fp binary")
+
 
-    return docs.select(key, text, _hash(text)).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, __hash long, node long, size long, " + ", ".join(f"{x} long" for x in names))
+def _order(order: int) -> np.ndarray:
+    return np.random.default_rng(order).permutation(64 * WIDE)
 
 
-def _hash(text: str):
-    return F.xxhash64(F.col(text)).alias("__hash")
+def _turned(bits: np.ndarray, order: int) -> np.ndarray:
+    """Segments (rows, WIDE_SEGMENTS) of unpacked fingerprints under one order of the bits."""
+    return np.ascontiguousarray(np.packbits(bits[:, _order(order)], axis=1)).view(np.uint16)
+
+
+_PLACE = "label long, dim int, block int, cell binary, role int, cid long"
 
 
 @frugal
-def _keys(batches: Iterator, order: int, segments: int) -> Iterator:
-    """A row of (node, grp, size, w0, ...) -> one row per segment of its bits in this order."""
+def _buckets(batches: Iterator, order: int, counts: bool) -> Iterator:
+    """A row of (node, grp, size, fp) -> one row for each segment; with ``counts`` only the bucket."""
     import pyarrow as pa
 
-    bits = np.random.default_rng(order).permutation(64 * WIDE)
     for b in batches:
         if not b.num_rows:
             continue
-        w = np.stack([np.asarray(c) for c in b.columns[3:]], axis=1)
-        shuffled = np.ascontiguousarray(np.packbits(np.unpackbits(w.view(np.uint8), axis=1)[:, bits], axis=1)).view(np.uint16)
-        for s in range(segments):
-            yield pa.RecordBatch.from_arrays([pa.array((s << WIDE_BITS | shuffled[:, s].astype(np.int64)).astype(np.int32)), *b.columns], ["k", *b.schema.names])
-
-
-def _matches(cols: list[np.ndarray], similarity: float, thin: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidates in whole buckets: every row against the smaller ones of other groups, in blocks.
-
-    All of them, or when ``thin`` a row's nearest and its least of those that look similar enough."""
-    k, node, group, size, *w = cols
-    first = np.searchsorted(k, k, "left")
-    count = np.arange(len(k)) - first
-    total, at = np.cumsum(count), 0
-    while at < len(k):
-        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, "right")))
-        c = count[at:to]
-        row = np.repeat(np.arange(at, to), c)
-        other = np.arange(len(row)) - np.repeat(np.cumsum(c) - c, c) + np.repeat(first[at:to], c)
-        ok = (group[row] != group[other]) & (np.minimum(size[row], size[other]) / np.maximum(size[row], size[other]) >= similarity)
-        row, other = row[ok], other[ok]
-        far = np.zeros(len(row), np.int64)
-        for x in w:
-            far += np.bitwise_count((x[row] ^ x[other]).view(np.uint64))
-        n, m = size[row].astype(np.float64), size[other].astype(np.float64)
-        if thin:
-            shared = np.cos(np.pi * far / (64 * WIDE)) * np.sqrt(n * m)
-            ok = shared >= similarity * (n + m - shared)
-        else:
-            ok = far <= np.where(np.maximum(n, m) < SMALL, FAR_SMALL, FAR)
-        row, far, a, b = row[ok], far[ok], node[row[ok]], node[other[ok]]
-        if thin and len(row):
-            take = np.zeros(len(row), bool)
-            for order in (np.lexsort((b, far, row)), np.lexsort((b, row))):
-                take[order[np.flatnonzero(np.diff(row[order], prepend=-1))]] = True
-            a, b = a[take], b[take]
-        yield np.minimum(a, b), np.maximum(a, b)
-        at = to
+        n = b.num_rows
+        fp = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(n, 8 * WIDE)
+        segments = _turned(np.unpackbits(fp, axis=1), order)
+        for s in range(WIDE_SEGMENTS):
+            cell = pa.array(np.ascontiguousarray(segments[:, s]).view("V2").tolist(), pa.binary())
+            cols = [pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, s, np.int32)), cell, pa.array(np.zeros(n, np.int32)), b.column(0)]
+            names = ["label", "dim", "block", "cell", "role", "cid"]
+            yield pa.RecordBatch.from_arrays(cols if counts else [*cols, *b.columns[1:]], names if counts else [*names, "grp", "size", "fp"])
+
+
+def _candidates(a: np.ndarray, b: np.ndarray, group: np.ndarray, size: np.ndarray, x: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(near, far): whether rows a and b are of different groups, of like size and within the loose distance; the distance."""
+    far = np.zeros((len(a), len(b)), np.uint16)
+    for w in range(WIDE):
+        far += np.bitwise_count(x[a, w][:, None] ^ x[b, w][None, :])
+    n, m = size[a][:, None], size[b][None, :]
+    most = np.maximum(n, m)
+    near = (group[a][:, None] != group[b][None, :]) & (np.minimum(n, m) >= similarity * most) & (far <= np.where(most < SMALL, FAR_SMALL, FAR))
+    return near, far
+
+
+def _pairs(side: np.ndarray, within_: bool, step: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Blocks of rows of a tile to be compared: home rows with later ones, or with the other side's."""
+    home, guest = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    for s in range(0, len(home), step):
+        if within_:
+            yield home[s : s + step], home[s:], True
+        if len(guest):
+            yield home[s : s + step], guest, False
 
 
 @frugal
-def _links(batches: Iterator, similarity: float, thin: bool) -> Iterator:
-    """Sorted rows of ``_keys`` -> (a, b), a < b; a bucket that spans batches is held until it ends."""
+def _with_candidate(batches: Iterator, similarity: float) -> Iterator:
+    """Rows of sorted tiles that have a candidate there."""
     import pyarrow as pa
 
-    def out(parts: list) -> Iterator:
-        cols = [np.concatenate([p[i] for p in parts]) for i in range(len(parts[0]))]
-        for a, b in _matches(cols, similarity, thin):
-            if len(a):
-                pair = np.unique(np.stack([a, b], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
-
-    held: list = []
-    for batch in batches:
-        cols = [np.asarray(c) for c in batch.columns]
-        if not len(cols[0]):
+    for key, (side, cid, group, size, fp) in by_tile(batches, ("side", "cid", "grp", "size", "fp")):
+        if len(cid) < 2:
             continue
-        cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
-        if held and held[0][0][-1] != cols[0][-1]:
-            yield from out([*held, [c[:cut] for c in cols]])
-            held = []
-        elif not held and cut:
-            yield from out([[c[:cut] for c in cols]])
-        held.append([c[cut:] for c in cols] if not held else cols)
-    if held:
-        yield from out(held)
+        side, cid, group, size = (np.array(c) for c in (side, cid, group, size))
+        x = np.frombuffer(b"".join(fp), np.uint64).reshape(len(cid), WIDE)
+        found = np.zeros(len(cid), bool)
+        for a, b, own in _pairs(side, within(key)):
+            near = _candidates(a, b, group, size, x, similarity)[0]
+            if own:
+                near &= np.arange(len(b))[None, :] > np.arange(len(a))[:, None]
+            found[a[near.any(1)]] = found[b[near.any(0)]] = True
+        if found.any():
+            n = int(found.sum())
+            cols = [pa.array([key[0]] * n, pa.int64()), pa.array([key[1]] * n, pa.int32()), pa.array([key[2]] * n, pa.int32()), pa.array([key[3]] * n, pa.binary()), pa.array(np.zeros(n, np.int32)), pa.array(cid[found])]
+            yield pa.RecordBatch.from_arrays(cols, ["label", "dim", "block", "cell", "role", "cid"])
+
+
+def _first_met(x: np.ndarray, i: np.ndarray, j: np.ndarray, order: int, segment: int) -> np.ndarray:
+    """Whether pairs (i, j) share no earlier bucket than this order's ``segment``."""
+    bits = np.unpackbits((x[i] ^ x[j]).view(np.uint8).reshape(len(i), -1), axis=1)
+    new = ~(_turned(bits, order)[:, :segment] == 0).any(1)
+    for o in range(order):
+        new &= ~(_turned(bits, o) == 0).any(1)
+    return new
 
 
-def similar_texts(heads: DataFrame, order: int, segments: int, similarity: float = SIMILARITY, thin: bool = False) -> DataFrame:
-    """Candidates (a, b), a < b, between different groups of ``heads`` (node, grp, size, w0, ...) that share a segment.
+@frugal
+def _linked(batches: Iterator, order: int, similarity: float) -> Iterator:
+    """Sorted tiles of texts with their shingle sets -> links (a, b), a < b, that span each linked part of a tile."""
+    import pyarrow as pa
 
-    All within the loose distance, or when ``thin`` two a row and segment."""
-    names = ["node", "grp", "size", *[f"w{i}" for i in range(WIDE)]]
-    keys = heads.where("size > 0").select(*names).mapInArrow(partial(_keys, order=order, segments=segments), "k int, " + ", ".join(f"{x} long" for x in names))
-    ordered = keys.repartition("k").sortWithinPartitions("k", "node")
-    return materialize(ordered.mapInArrow(partial(_links, similarity=similarity, thin=thin), "a long, b long").distinct(), "candidates")
+    for key, (side, cid, group, size, fp, hashes) in by_tile(batches, ("side", "cid", "grp", "size", "fp", "hashes")):
+        if len(cid) < 2:
+            continue
+        side, group, size = (np.array(c) for c in (side, group, size))
+        x = np.frombuffer(b"".join(fp), np.uint64).reshape(len(cid), WIDE)
+        sets = [np.frombuffer(h, np.uint64) for h in hashes]
+        root = {g: g for g in group.tolist()}
+        out = []
+
+        def top(g: int) -> int:
+            while root[g] != g:  # noqa: B023
+                root[g] = g = root[root[g]]  # noqa: B023
+            return g
+
+        for a, b, own in _pairs(side, within(key)):
+            near, far = _candidates(a, b, group, size, x, similarity)
+            if own:
+                near &= np.arange(len(b))[None, :] > np.arange(len(a))[:, None]
+            p, q = np.nonzero(near)
+            by_distance = np.argsort(far[p, q], kind="stable")
+            for s in range(0, len(p), 4096):
+                i, j = a[p[by_distance[s : s + 4096]]], b[q[by_distance[s : s + 4096]]]
+                new = _first_met(x, i, j, order, key[2])
+                for u, v in zip(i[new].tolist(), j[new].tolist(), strict=True):
+                    g, h = top(int(group[u])), top(int(group[v]))
+                    if g != h:
+                        shared = len(np.intersect1d(sets[u], sets[v], assume_unique=True))
+                        if shared >= similarity * (len(sets[u]) + len(sets[v]) - shared):
+                            root[max(g, h)] = min(g, h)
+                            out.append((min(cid[u], cid[v]), max(cid[u], cid[v])))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([c[k] for c in out], pa.int64()) for k in range(2)], ["a", "b"])
 
 
 @frugal
-def _exact(batches: Iterator, similarity: float, n: int) -> Iterator:
-    """Rows of (a, b, text of a, text of b) -> (a, b) of those whose shingle sets are similar."""
+def _shingle_sets(batches: Iterator, n: int) -> Iterator:
+    """(node, text) -> (node, sorted distinct shingle hashes)."""
     import pyarrow as pa
+    import xxhash
 
-    def shingles(text: str) -> set[bytes]:
-        return set(_shingles(text.encode("utf-8", "surrogatepass").lower().split(), n))
-
-    last, held = None, set()
-    for rows in batches:
-        keep = []
-        for b, x, y in zip(rows.column(1).to_pylist(), rows.column(2), rows.column(3), strict=True):
-            if b != last:
-                last, held = b, shingles(y.as_py())
-            own = shingles(x.as_py())
-            shared = len(own & held)
-            keep.append(shared / (len(own) + len(held) - shared) >= similarity)
-        yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in rows.columns[:2]], ["a", "b"])
-
-
-def verified(pairs: DataFrame, heads: DataFrame, docs: DataFrame, key: str, text: str, similarity: float, n: int) -> DataFrame:
-    """The rows of ``pairs`` whose exact shingle sets have the similarity; groups found on the way spare later pairs."""
-    ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-    rep = heads.join(ends, "node", "left_semi").select("node", F.col(f"rep.{key}").alias("__key"), F.col("rep.__hash").alias("__of"))
-    d = docs.select(key, text, _hash(text))
-    texts = d.join(rep, d[key].eqNullSafe(rep["__key"]) & (d["__hash"] == rep["__of"])).select("node", F.col(text).alias("x")).dropDuplicates(["node"])
-    texts = materialize(texts, "texts")
-    parts = -(-pairs.count() // max(VERIFY, heads.count()))
-    links: list[DataFrame] = []
-    for i in range(max(parts, 1)):
-        part = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(max(parts, 1))) == i)
-        if links:
-            found = materialize(connected_components(reduce(DataFrame.unionAll, links)), "found")
-            for c in ("a", "b"):
-                part = part.join(found.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left")
-            part = part.where("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b")
-        both = part.join(texts.select(F.col("node").alias("a"), F.col("x").alias("xa")), "a").join(texts.select(F.col("node").alias("b"), F.col("x").alias("xb")), "b")
-        links.append(materialize(both.select("a", "b", "xa", "xb").mapInArrow(partial(_exact, similarity=similarity, n=n), "a long, b long"), "links"))
-        if i:
-            release(found)
-    release(texts)
-    return reduce(DataFrame.unionAll, links)
+    digest = xxhash.xxh64_intdigest
+    for b in batches:
+        sets = [np.unique(np.fromiter((digest(s, SEED) for s in _shingles((x.as_py() or "").encode("utf-8", "surrogatepass").lower().split(), n)), np.uint64)).tobytes() for x in b.column(1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "hashes"])
+
+
+def similar_links(nodes: DataFrame, heads: DataFrame, docs: DataFrame, key: str, text: str, order: int, similarity: float, n: int) -> DataFrame:
+    """Links (a, b), a < b, between groups of ``nodes`` (node, grp, size, fp) found under one order of the bits.
+
+    They join every two groups that a pair of similar texts proposed by this order, and no earlier one, joins."""
+    own = nodes.where("size > 0").select("node", "grp", "size", "fp")
+    load = load_of(own.mapInArrow(partial(_buckets, order=order, counts=True), _PLACE))
+    rows = own.mapInArrow(partial(_buckets, order=order, counts=False), f"{_PLACE}, grp long, size long, fp binary")
+    near = dealt(rows, load, NEAR_TILE, NEAR_TILE).mapInArrow(partial(_with_candidate, similarity=similarity), _PLACE)
+    near = materialize(near.distinct(), "candidates")
+    ends = near.select(F.col("cid").alias("node")).distinct()
+    rep = heads.join(ends, "node", "left_semi").select("node", F.col("rep.k").alias("rep_key"), F.col("rep.h").alias("rep_hash"))
+    d = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("x"))
+    texts = d.join(rep, F.expr("k <=> rep_key AND h = rep_hash")).select("node", "x").dropDuplicates(["node"])
+    sets = materialize(texts.mapInArrow(partial(_shingle_sets, n=n), "node long, hashes binary"), "sets")
+    whole = near.join(own.withColumnRenamed("node", "cid"), "cid").join(sets.withColumnRenamed("node", "cid"), "cid")
+    out = materialize(dealt(whole, load_of(near), TILE, TILE).mapInArrow(partial(_linked, order=order, similarity=similarity), "a long, b long").distinct(), "links")
+    release(near, sets)
+    return out
 
 
 def _groups(docs: DataFrame, key: str, text: str, n: int, similarity: float) -> DataFrame:
     """(key, __hash of the text, root, component_id) of every row; ``root`` tells groups apart.
 
-    Texts of equal lower-cased words are one node, so copies cost one row.  A first round joins dense
-    groups by a few links a node; the second takes every link whose ends are still apart."""
+    Texts of equal lower-cased words are one node, so copies cost one row.  Groups found under the first
+    order spare comparisons under the others."""
     marked = materialize(_wide(docs, key, text, n), "wide")
-    rest = ["size", *[f"w{i}" for i in range(WIDE)]]
-    rep = F.min(F.struct(F.col(key).isNull().alias("none"), key, "__hash")).alias("rep")
-    heads = materialize(marked.groupBy("node").agg(F.min(key).alias("head"), rep, *[F.first(c).alias(c) for c in rest]), "wide_heads")
-    check = partial(verified, heads=heads, docs=docs, key=key, text=text, similarity=similarity, n=n)
-    first = similar_texts(heads.withColumn("grp", F.col("node")), 0, FIRST_SEGMENTS, similarity, thin=True)
-    begun = connected_components(check(first)).select("node", F.col("component").alias("found"))
-    grouped = materialize(heads.select("node", *rest).join(begun, "node", "left").withColumn("grp", F.coalesce("found", "node")).drop("found"), "grouped")
-    passes = [similar_texts(grouped, order, WIDE_SEGMENTS, similarity) for order in range(ORDERS)]
-    pairs = materialize(reduce(DataFrame.unionAll, passes).distinct(), "pairs")
+    rep = F.min(F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("k"), F.col("hash").alias("h"))).alias("rep")
+    heads = materialize(marked.groupBy("node").agg(F.min("key").alias("head"), rep, F.first("size").alias("size"), F.first("fp").alias("fp")), "wide_heads")
+    first = similar_links(heads.withColumn("grp", F.col("node")), heads, docs, key, text, 0, similarity, n)
+    begun = connected_components(first).select("node", F.col("component").alias("found"))
+    grouped = materialize(heads.select("node", "size", "fp").join(begun, "node", "left").withColumn("grp", F.coalesce("found", "node")).drop("found"), "grouped")
+    links = [similar_links(grouped, heads, docs, key, text, order, similarity, n) for order in range(1, ORDERS)]
     star = grouped.where("grp <> node").select(F.col("grp").alias("a"), F.col("node").alias("b"))
-    roots = connected_components(check(pairs).unionAll(star))
+    roots = connected_components(reduce(DataFrame.unionAll, links, star))
     joined = heads.select(F.col("node").alias("fp"), "head").join(roots, F.col("fp") == F.col("node"), "left")
     joined = materialize(joined.select("fp", "head", F.coalesce("component", "fp").alias("root")), "wide_roots")
     least = joined.groupBy("root").agg(F.min("head").alias("component_id"))
     of = joined.join(least, "root").select("fp", "root", "component_id")
-    out = materialize(marked.select(key, "__hash", F.col("node").alias("fp")).join(of, "fp").select(key, "__hash", "root", "component_id"), "similar")
-    release(marked, heads, first, grouped, *passes, pairs, joined)
+    out = materialize(marked.select("key", "hash", F.col("node").alias("fp")).join(of, "fp").select("key", "hash", "root", "component_id"), "similar")
+    release(marked, heads, first, grouped, *links, joined)
     return out
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WIDE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(key, component_id): the smallest key reachable over links of ``similarity`` or more."""
-    return _groups(docs, key, text, n, similarity).select(key, "component_id")
+    return _groups(docs, key, text, n, similarity).select(F.col("key").alias(key), "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, n: int = WIDE_SHINGLE) -> DataFrame:
     """One row of each group of similar texts: that with the smallest key (of equal keys, one text; null only if all are)."""
-    least = _groups(docs, key, text, n, similarity).groupBy("root").agg(F.min(F.struct(F.col(key).isNull().alias("none"), key, "__hash")).alias("k"))
-    keep = least.select(F.col(f"k.{key}").alias("keep"), F.col("k.__hash").alias("of"))
+    least = _groups(docs, key, text, n, similarity).groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "hash")).alias("k"))
+    keep = least.select(F.col("k.key").alias("keep"), F.col("k.hash").alias("of"))
     d = docs.select(F.struct("*").alias("row"), F.col(key).alias("key"), F.xxhash64(text).alias("hash"))
     out = d.join(keep, F.expr("key <=> keep AND hash = of"), "left_semi")
     return out.dropDuplicates(["key", "hash"]).select("row.*")

@@ -148,7 +148,8 @@ def test_similar_groups_against_exact_jaccard(spark):
 
 
 def test_dense_buckets_stay_connected(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "PAIRS", 500)
+    monkeypatch.setattr(simhash, "NEAR_TILE", 40)
+    monkeypatch.setattr(simhash, "TILE", 16)
     g = random.Random(12)
     base = [f"w{g.randrange(4000)}" for _ in range(400)]
     rows = []
@@ -434,8 +435,8 @@ def test_similar_groups_meet_exact_links_near_the_threshold(spark):
     assert [got[2 * i + 1] == 2 * i for i in range(80)] == links
 
 
-def test_candidates_verified_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "VERIFY", 1)
+def test_candidates_compared_in_small_tiles(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 2)
     g = random.Random(32)
     rows, base = [], [f"w{g.randrange(10**6)}" for _ in range(304)]
     for i in (0, *range(30, 37)):  # (300 - i) / (300 + i) of the shingles are shared
