@@ -5,21 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ngrams, normalize, shingles, words
+from ..functions.text import gram_hashes, normalize, shingles, words
+from ..sources.places import shared_folder
+from .runs import seeded_sample
 
-#: Shingle length and shared shingles of a hit; fixed values.
-SHINGLE_N, MIN_SHARED = 8, 3
+#: Shingle length, shared shingles of a hit, reported violations and least rows; fixed values.
+SHINGLE_N, MIN_SHARED, REPORTED, MIN_ROWS = 8, 3, 10, 50
+#: Least diversity of a training set, and the rows sampled for it; fixed values.
+DIVERSITY = {"distinct_1g": 0.03, "distinct_4g": 0.30, "mean_cos_dist": 0.35, "len_cv": 0.15}
+DIVERSITY_SAMPLE = 500
+
+
+def _written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the shared folder, for frames that several aggregates read."""
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _hashes(d: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, hs): the hash of every word, in order."""
+    w = d.select(*keys, words(normalize(F.col(text))).alias("w"))
+    return w.select(*keys, F.transform("w", lambda x: F.xxhash64(x)).alias("hs"))
 
 
 def ngram_overlap(texts: DataFrame, tests: DataFrame, keys: list[str], text: str = "text", n: int = SHINGLE_N, least: int = MIN_SHARED) -> DataFrame:
     """(keys, item_id, overlap): rows that share ``least`` shingles or more with a test item.
 
-    The hash join's build side is left to Spark, which broadcasts the tests only below its
-    threshold; the join key is a 64-bit hash, the shingle itself is compared as well."""
-    # The words are a column of their own: inside the shingles' lambda they would be split anew each time.
-    sh = lambda d, ks, t: d.select(*ks, words(normalize(F.col(t))).alias("w")).select(*ks, F.explode(shingles(F.col("w"), n)).alias("g")).withColumn("h", F.xxhash64("g"))
-    a, b = sh(texts, keys, text), sh(tests, ["item_id"], "text")
-    return a.join(b, ["h", "g"]).groupBy(*keys, "item_id").agg(F.count(F.lit(1)).alias("overlap")).where(F.col("overlap") >= least)
+    A first pass hashes words once and n-grams from those hashes, and keeps the keys of texts with ``least``
+    hits; no string is built and only keys leave it.  Those few texts are then shingled and met exactly.
+    The joins' build sides are left to Spark, which broadcasts the tests only below its own threshold."""
+    grams = _hashes(tests, [], "text").select(F.explode(gram_hashes(F.col("hs"), n)).alias("h")).distinct()
+    hits = _hashes(texts, keys, text).select(*keys, F.explode(gram_hashes(F.col("hs"), n)).alias("h")).join(grams, "h", "left_semi")
+    maybe = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select(*keys)
+    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys]
+    some = texts.alias("a").join(maybe.alias("m"), on, "left_semi")
+    sh = lambda d, ks, t: d.select(*ks, words(normalize(F.col(t))).alias("w")).select(*ks, F.explode(shingles(F.col("w"), n)).alias("g"))
+    both = sh(some, keys, text).join(sh(tests, ["item_id"], "text"), "g")
+    return both.groupBy(*keys, "item_id").agg(F.count(F.lit(1)).alias("overlap")).where(F.col("overlap") >= least)
 
 
 def exact_match(texts: DataFrame, tests: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -38,12 +61,42 @@ def violations(texts: DataFrame, tests: DataFrame, keys: list[str], text: str =
     return exact.unionByName(best.select(*keys, F.lit("ngram").alias("kind"), "item_id", "overlap"))
 
 
-def distinct_ratio(texts: DataFrame, n: int, text: str = "text") -> DataFrame:
-    """Distinct over all n-grams; 0 when there are none."""
-    w = texts.select(words(normalize(F.col(text))).alias("w"))
-    g = w.select(F.explode(ngrams(F.col("w"), n)).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("c"))
-    return g.agg(F.count(F.lit(1)).alias("n_distinct"), F.coalesce(F.sum("c"), F.lit(0)).alias("n_all")).select(
-        F.lit(n).alias("n"), "n_distinct", "n_all", F.when(F.col("n_all") > 0, F.col("n_distinct") / F.col("n_all")).otherwise(0.0).alias("ratio"))
+def decontam_violations(messages: DataFrame, tests: DataFrame, first: int | None = REPORTED) -> DataFrame:
+    """The first violations in (row, message) order: (row, scope, role, message_index, first_80, kind, test_id, overlap).
+
+    ``messages``: (row, message_index, role, content).  Each message is scanned alone; of rows without a hit
+    all messages together, joined by line breaks, so a text split over turns is found."""
+    hit = lambda v: v.withColumnsRenamed({"item_id": "test_id"}).withColumn("test_id", F.when(F.col("kind") == "ngram", F.col("test_id")))
+    keys = ["row", "message_index"]
+    one = hit(violations(messages.where("content <> ''"), tests, keys, "content")).join(messages, keys)
+    rest = messages.join(one.select("row").distinct(), "row", "left_anti")
+    turns = F.array_sort(F.collect_list(F.struct("message_index", F.coalesce("content", F.lit("")).alias("content"))))
+    whole = rest.groupBy("row").agg(F.array_join(F.transform(turns, lambda m: m["content"]), "\n").alias("content"))
+    all_ = hit(violations(whole, tests, ["row"], "content")).join(whole, "row")
+    cols = lambda scope, role, at: [F.col("row"), F.lit(scope).alias("scope"), role.alias("role"), at.alias("message_index"), F.substring("content", 1, 80).alias("first_80"), "kind", "test_id", "overlap"]
+    none = F.lit(None).cast("string")
+    both = one.select(*cols("per_message", F.col("role"), F.col("message_index"))).unionByName(all_.select(*cols("combined_all_messages", none, F.lit(None).cast(messages.schema["message_index"].dataType))))
+    return both.orderBy("row", F.col("message_index").asc_nulls_last()).limit(first) if first else both
+
+
+def decontam_report(messages: DataFrame, tests: DataFrame) -> DataFrame:
+    """One row: whether no violation was found, how many are reported, the tests and the threshold."""
+    v = decontam_violations(messages, tests).agg(F.count(F.lit(1)).alias("n_reported"))
+    t = tests.agg(F.count_distinct(F.sha2(normalize(F.col("text")), 256)).alias("test_items_loaded"))
+    return v.crossJoin(t).select((F.col("n_reported") == 0).alias("pass"), "n_reported", "test_items_loaded", F.lit(MIN_SHARED).alias("shingle_overlap_threshold"))
+
+
+def distinct_ratios(texts: DataFrame, sizes: tuple[int, ...], text: str = "text") -> DataFrame:
+    """(n, n_distinct, n_all, ratio) of n-grams for each size, 0 when there are none; one scan.
+
+    N-grams are told apart by 64-bit hashes of their words' 64-bit hashes, with 32 further bits of another hash."""
+    grams = lambda n: F.when(F.size("hs") >= n, F.transform(F.sequence(F.lit(1), F.size("hs") - (n - 1)), lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.slice("hs", i, n)).alias("h"), F.hash(F.slice("hs", i, n)).alias("k"))))
+    g = _hashes(texts, [], text).select(F.explode(F.flatten(F.array_compact(F.array(*map(grams, sizes))))).alias("g"))
+    c = g.select("g.*").groupBy("n", "h", "k").agg(F.count(F.lit(1)).alias("c"))
+    found = c.groupBy("n").agg(F.count(F.lit(1)).alias("d"), F.sum("c").alias("a"))
+    wanted = texts.sparkSession.createDataFrame([(n,) for n in sizes], "n int")
+    out = wanted.join(found, "n", "left").select("n", F.coalesce("d", F.lit(0)).alias("n_distinct"), F.coalesce("a", F.lit(0)).alias("n_all"))
+    return out.withColumn("ratio", F.when(F.col("n_all") > 0, F.col("n_distinct") / F.col("n_all")).otherwise(0.0))
 
 
 def length_cv(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -57,16 +110,20 @@ def tfidf_distance(texts: DataFrame, key: str, text: str = "text", features: int
 
     Words of two characters or more, smooth idf ln((1 + n) / (1 + df)) + 1, rows of length one; the
     vocabulary is the most frequent ``features`` words (ties by word)."""
-    tf = texts.select(key, F.explode(F.filter(words(normalize(F.col(text))), lambda w: F.length(w) >= 2)).alias("w")).groupBy(key, "w").agg(F.count(F.lit(1)).alias("tf"))
+    long = F.filter(words(normalize(F.col(text))), lambda w: F.length(w) >= 2)
+    tf = _written(texts.select(key, F.explode(long).alias("w")).groupBy(key, "w").agg(F.count(F.lit(1)).alias("tf")), "terms")
     vocabulary = tf.groupBy("w").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df")).orderBy(F.col("total").desc(), "w").limit(features)
     n = texts.agg(F.count(F.lit(1)).alias("n"))
-    idf = vocabulary.crossJoin(F.broadcast(n)).select("w", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"), "n")
-    v = tf.join(idf, "w").select(key, "w", (F.col("tf") * F.col("idf")).alias("x"), "n")
-    norm = v.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    v = v.join(norm, key).withColumn("u", F.col("x") / F.col("norm"))
-    sums = v.groupBy("w").agg(F.sum("u").alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias("whole"))
-    return n.crossJoin(sums).crossJoin(norm.agg(F.count(F.lit(1)).alias("rows"))).select(
-        "n", (1 - (F.col("whole") - F.col("rows")) / (F.col("n") * (F.col("n") - 1))).alias("mean_cos_dist"))
+    idf = vocabulary.crossJoin(n).select("w", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    # At most ``features`` words, so the list is broadcast; a text's vector has no more entries.
+    v = tf.join(F.broadcast(idf), "w").select(key, F.struct("w", (F.col("tf") * F.col("idf")).alias("x")).alias("v"))
+    rows = v.groupBy(key).agg(F.collect_list("v").alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e["x"] * e["x"]))
+    unit = rows.withColumn("norm", norm).select(F.explode("v").alias("e"), "norm").select("e.w", (F.col("e.x") / F.col("norm")).alias("u"))
+    # The squares of a row's entries sum to 1, so the rows are counted without another scan.
+    sums = unit.groupBy("w").agg(F.sum("u").alias("s"), F.sum(F.col("u") * F.col("u")).alias("q")).agg(F.sum(F.col("s") * F.col("s")).alias("whole"), F.round(F.sum("q")).alias("rows"))
+    dist = 1 - (F.coalesce("whole", F.lit(0.0)) - F.coalesce("rows", F.lit(0.0))) / (F.col("n") * (F.col("n") - 1))
+    return n.crossJoin(sums).select("n", F.when(F.col("n") > 1, dist).otherwise(0.0).alias("mean_cos_dist"))
 
 
 def duplicate_groups(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -76,7 +133,7 @@ def duplicate_groups(texts: DataFrame, key: str, text: str = "text") -> DataFram
 
 def chat_violations(chats: DataFrame, key: str) -> DataFrame:
     """(key, reason) of chats that break the schema, the first rule broken."""
-    has = lambda r: F.exists("messages", lambda m: m["role"] == r)
+    has = lambda r: F.coalesce(F.exists("messages", lambda m: m["role"] == r), F.lit(False))
     reason = (F.when(F.col("messages").isNull() | (F.size("messages") < 2), "too_few_messages").when(~has("user"), "no_user").when(~has("assistant"), "no_assistant")
               .when(F.exists("messages", lambda m: F.coalesce(F.trim(m["content"]), F.lit("")) == ""), "empty_content"))
     return chats.select(key, reason.alias("reason")).where("reason IS NOT NULL")
@@ -97,3 +154,28 @@ def gate(metrics: DataFrame, limits: dict[str, tuple[float, str]]) -> DataFrame:
     """``pass`` and the list of failed limits; limits: column to (bound, 'min' or 'max')."""
     tests = [F.when(F.col(c) < b if kind == "min" else F.col(c) > b, F.lit(c)) for c, (b, kind) in sorted(limits.items())]
     return metrics.withColumn("failures", F.array_join(F.array_compact(F.array(*tests)), ",")).withColumn("pass", F.col("failures") == "")
+
+
+def diversity(texts: DataFrame, key: str, text: str = "text", sample: int = DIVERSITY_SAMPLE, seed: int = 42) -> DataFrame:
+    """One row with the four diversity measures of a training set's user texts; the distance is that of a seeded sample."""
+    ratios = distinct_ratios(texts, (1, 4), text).agg(F.max(F.when(F.col("n") == 1, F.col("ratio"))).alias("distinct_1g"), F.max(F.when(F.col("n") == 4, F.col("ratio"))).alias("distinct_4g"))
+    some = _written(seeded_sample(texts.select(key, text), [key], sample, seed), "sample")
+    far = tfidf_distance(some, key, text).select("mean_cos_dist", F.col("n").alias("sample_size"))
+    spread = length_cv(texts, text).select("n_rows", F.col("length_cv").alias("len_cv"))
+    return ratios.crossJoin(far).crossJoin(spread)
+
+
+def diversity_gate(texts: DataFrame, key: str, text: str = "text", limits: dict[str, float] = DIVERSITY, **kw) -> DataFrame:
+    """``diversity`` with the failed limits and the verdict."""
+    return gate(diversity(texts, key, text, **kw), {c: (b, "min") for c, b in limits.items()})
+
+
+def training_set_gate(messages: DataFrame, tests: DataFrame, limits: dict[str, float] = DIVERSITY, rows: int = MIN_ROWS) -> DataFrame:
+    """The whole gate, one row: enough rows, no benchmark text in any message, diverse user texts.
+
+    ``messages``: (row, message_index, role, content)."""
+    turns = F.array_sort(F.collect_list(F.when(F.col("role") == "user", F.struct("message_index", F.coalesce("content", F.lit("")).alias("content")))))
+    users = messages.groupBy("row").agg(F.array_join(F.transform(turns, lambda m: m["content"]), "\n").alias("text"))
+    d = diversity_gate(users, "row", limits=limits).withColumnsRenamed({"failures": "diversity_failures", "pass": "diversity_pass"})
+    c = decontam_report(messages, tests).withColumnRenamed("pass", "decontam_pass")
+    return d.crossJoin(c).withColumn("pass", (F.col("n_rows") >= rows) & F.col("decontam_pass") & F.col("diversity_pass"))

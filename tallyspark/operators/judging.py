@@ -1,14 +1,23 @@
-"""Pairwise judging: battles, win rates, bootstrap, Bradley-Terry; rubric scores."""
+"""Pairwise judging: battles, win rates, bootstrap, pairwise models; rubric scores."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.places import shared_folder
+
 #: Score of the first side for each label, once or three times; fixed values.
-LABELS = {"A>>B": (1.0, 3), "A>B": (1.0, 1), "A=B": (0.5, 1), "B>A": (0.0, 1), "B>>A": (0.0, 3)}
+LABELS = {
+    "A>>B": (1.0, 3), "A>B": (1.0, 1), "A=B": (0.5, 1), "A<B": (0.0, 1), "A<<B": (0.0, 3),
+    "B>>A": (0.0, 3), "B>A": (0.0, 1), "B=A": (0.5, 1), "B<A": (1.0, 1), "B<<A": (1.0, 3)}
+#: The model that answers of a category are compared with; fixed values.
+BASELINES = {"hard_prompt": "o3-mini-2025-01-31", "coding": "o3-mini-2025-01-31", "math": "o3-mini-2025-01-31", "creative_writing": "Qwen3-1.7B", "arena-hard-v0.1": "gpt-4-0314"}
 
 
 def label_scores(label: Column) -> Column:
@@ -28,48 +37,253 @@ def win_rates(scores: DataFrame, key: str) -> DataFrame:
     return scores.groupBy(key).agg(F.avg("score").alias("win_rate"), se.alias("stderr"), F.count("score").alias("n"))
 
 
-def bootstrap(scores: DataFrame, key: str, rounds: int = 100, seed: int = 42) -> DataFrame:
-    """Mean, q05 and q95 of resampled means.
+def _resampled(values: DataFrame, key: str, value: str, rounds: int, seed: int) -> DataFrame:
+    """(key, round, s, w): sums of values and of weights of ``rounds`` Poisson resamples.
 
-    Scores are counted by value first, so a replicate is a Poisson resample of each group's few
-    distinct scores: rows do not multiply by the rounds, and no group meets in one task."""
-    counts = scores.groupBy(key, "score").agg(F.count(F.lit(1)).alias("n"))
+    Every row draws its weights where it lies, and a task sums them by key, so a hot key costs a row a
+    round and task, and rows are never multiplied."""
 
-    def draw(batches):
-        for b in batches:
-            for r in b.itertuples(index=False):
-                rng = np.random.default_rng([seed, *map(ord, str(r[0])), int(r[1] * 1000) & 0xFFFF])
-                yield pd.DataFrame({key: [r[0]] * rounds, "round": range(rounds), "s": r[1] * (w := rng.poisson(r[2], rounds)), "w": w})
+    def draw(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
+        held: dict = {}
+        for p in parts:
+            for k, g in p.groupby(key, dropna=False):
+                x = g[value].to_numpy(float)
+                s, w = held.setdefault(k, (np.zeros(rounds), np.zeros(rounds, np.int64)))
+                for a in range(0, len(x), 4096):
+                    weights = rng.poisson(1.0, (min(4096, len(x) - a), rounds))
+                    s += x[a : a + 4096] @ weights
+                    w += weights.sum(0)
+        for k, (s, w) in held.items():
+            yield pd.DataFrame({key: [k] * rounds, "round": range(rounds), "s": s, "w": w})
 
-    kind = dict(scores.dtypes)[key]
-    d = counts.mapInPandas(draw, f"`{key}` {kind}, round int, s double, w double")
-    m = d.groupBy(key, "round").agg((F.sum("s") / F.sum("w")).alias("m"))
-    return m.groupBy(key).agg(F.avg("m").alias("mean"), F.percentile("m", F.lit(0.05)).alias("q05"), F.percentile("m", F.lit(0.95)).alias("q95"))
+    d = values.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias(value))
+    return d.mapInPandas(draw, f"`{key}` {dict(values.dtypes)[key]}, round int, s double, w long").groupBy(key, "round").agg(F.sum("s").alias("s"), F.sum("w").alias("w"))
+
+
+def bootstrap(scores: DataFrame, key: str, rounds: int = 100, seed: int = 42) -> DataFrame:
+    """Mean, q05 and q95 of resampled means, in one aggregate."""
+    m = _resampled(scores, key, "score", rounds, seed).select(key, (F.col("s") / F.nullif(F.col("w"), F.lit(0))).alias("m"))
+    return interval(m, key, "m")
+
+
+def interval(means: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, mean, q05, q95) of the resampled values of each key; one aggregate, where three results were joined."""
+    return means.groupBy(key).agg(F.avg(value).alias("mean"), F.percentile(value, F.lit(0.05)).alias("q05"), F.percentile(value, F.lit(0.95)).alias("q95"))
 
 
 def bootstrap_std(values: DataFrame, key: str, value: str, rounds: int = 1000, seed: int = 42) -> DataFrame:
-    """Population standard deviation of clipped resampled means; one group's values meet in a task,
-    as numpy's generator draws by position (benchmark scores: hundreds of rows a group)."""
+    """Population standard deviation of resampled means, each clipped to [0, 1]."""
+    m = _resampled(values, key, value, rounds, seed)
+    return m.groupBy(key).agg(F.stddev_pop(F.least(F.greatest(F.col("s") / F.nullif(F.col("w"), F.lit(0)), F.lit(0.0)), F.lit(1.0))).alias("std"))
+
+
+def one_hot(model: Column, models: list[str], baseline: str) -> Column:
+    """1 at the model, -1 at the baseline (also where the model is the baseline), 0 elsewhere; models sorted, the baseline among them."""
+    names = sorted({*models, baseline})
+    return F.array(*[F.lit(-1.0) if n == baseline else F.when(model == n, 1.0).otherwise(0.0) for n in names])
+
+
+#: Losses of a pairwise model, by name; ``register_loss`` adds one.
+LOSSES: dict = {}
+
+
+def register_loss(name: str):
+    def add(f):
+        LOSSES[name] = f
+        return f
+
+    return add
+
+
+@register_loss("bt")
+def _bradley_terry(x: np.ndarray, y: np.ndarray, weights: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and information of sum w (y log p + (1 - y) log(1 - p)), p = sigmoid(x . theta), for every column of theta."""
+    p = 1 / (1 + np.exp(-np.clip(x @ theta, -40, 40)))
+    h = weights * p * (1 - p)
+    return x.T @ (weights * (y[:, None] - p)), np.einsum("ni,nr,nj->rij", x, h, x, optimize=True)
+
+
+@register_loss("rk")
+def _rao_kupper(x: np.ndarray, y: np.ndarray, weights: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for ties of their own: the last row of theta is the tie margin e > 0.
+
+    With l = x . theta a win has log sigmoid(l - e), a loss log sigmoid(-l - e), and a tie both plus log(exp(2e) - 1)."""
+    gradient, information = np.zeros_like(theta), np.zeros((theta.shape[1], len(theta), len(theta)))
+    margin = np.maximum(theta[-1], 1e-6)
+    for sign, rows in ((1.0, y > 0), (-1.0, y < 1)):
+        z = np.column_stack([sign * x[rows], np.full(int(rows.sum()), -1.0)])
+        w = weights[rows]
+        p = 1 / (1 + np.exp(-np.clip(z @ theta, -40, 40)))
+        gradient += z.T @ (w * (1 - p))
+        information += np.einsum("ni,nr,nj->rij", z, w * p * (1 - p), z, optimize=True)
+    ties = weights[y == 0.5].sum(0)
+    e = np.exp(2 * margin)
+    gradient[-1] += ties * 2 * e / (e - 1)
+    information[:, -1, -1] += ties * 4 * e / (e - 1) ** 2
+    return gradient, information
+
+
+def fit_pairs(battles: DataFrame, baseline: str, features: list[str] = (), rounds: int = 0, loss: str = "bt", model: str = "model", outcome: str = "score",
+              seed: int = 42, steps: int = 50, tolerance: float = 1e-8, ridge: float = 1e-9) -> DataFrame:
+    """(round, name, coefficient): a pairwise model of every battle's outcome, with style features beside the models.
+
+    Each step of Newton's method is one aggregation: tasks sum gradient and information of their rows, the
+    driver solves systems of as many unknowns as there are models and features.  Round 0 is the fit itself,
+    rounds 1 to ``rounds`` are Poisson resamples, whose weights come from a hash of the row, so they are the
+    same in every step.  A ridge of 1e-9 fixes what the data leave open (a common shift of all models)."""
+    names = sorted({r[0] for r in battles.select(model).distinct().collect()} | {baseline})
+    at = {n: i for i, n in enumerate(names)}
+    k, n = len(names), rounds + 1
+    size = k + len(features) + (loss == "rk")
+    theta = np.zeros((size, n))
+    theta[:k] = 0.5
+    if loss == "rk":
+        theta[-1] = 0.1
+    rows = battles.select(F.col(model).alias("m"), F.col(outcome).cast("double").alias("y"), *[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)])
+    dup = F.row_number().over(Window.partitionBy("h0").orderBy("h0"))
+    rows = rows.withColumn("h0", F.xxhash64(*rows.columns))
+    rows = rows.withColumn("h", F.xxhash64("h0", dup)).drop("h0") if rounds else rows.withColumnRenamed("h0", "h")
+    path = shared_folder(battles.sparkSession, "battles")
+    rows.write.parquet(path)  # every step reads the rows, so they are made once
+    rows = battles.sparkSession.read.schema(rows.schema).parquet(path)
+
+    def weights(h: np.ndarray) -> np.ndarray:
+        w = np.ones((len(h), n))
+        for r in range(1, n):
+            u = _uniform(h, seed * 1000 + r)
+            w[:, r] = np.searchsorted(_POISSON, u)
+        return w
+
+    for _ in range(steps):
+        now = theta
+
+        def sums(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            g, i = np.zeros_like(now), np.zeros((n, size, size))  # noqa: B023
+            for b in batches:
+                for s in range(0, b.num_rows, 8192):
+                    c = b.slice(s, 8192)
+                    m = c.column(0).to_pylist()
+                    x = np.zeros((len(m), size - (loss == "rk")))
+                    x[np.arange(len(m)), [at[v] for v in m]] = 1.0
+                    x[:, at[baseline]] = -1.0
+                    for j in range(len(features)):
+                        x[:, k + j] = c.column(2 + j).to_numpy(zero_copy_only=False)
+                    dg, di = LOSSES[loss](x, c.column(1).to_numpy(zero_copy_only=False), weights(c.column(c.num_columns - 1).to_numpy(zero_copy_only=False)), now)  # noqa: B023
+                    g, i = g + dg, i + di
+            yield pa.RecordBatch.from_arrays([pa.array([g.tobytes()], pa.binary()), pa.array([i.tobytes()], pa.binary())], ["g", "i"])
+
+        g, i = np.zeros_like(theta), np.zeros((n, size, size))
+        # A second round of sums, so the driver gets a few rows however many tasks there were.
+        for r in rows.mapInArrow(sums, "g binary, i binary").repartition(8).mapInArrow(_added, "g binary, i binary").collect():
+            g += np.frombuffer(r["g"]).reshape(g.shape)
+            i += np.frombuffer(r["i"]).reshape(i.shape)
+        g -= ridge * theta
+        step = np.linalg.solve(i + ridge * np.eye(size), g.T[:, :, None])[:, :, 0].T
+        step /= np.maximum(1, np.abs(step).max(0) / 4)  # far steps are shortened
+        theta = theta + step
+        if loss == "rk":
+            theta[-1] = np.maximum(theta[-1], now[-1] / 4)  # the margin stays positive
+        step[:k] -= step[at[baseline]]  # a common shift says nothing
+        if np.abs(step).max() < tolerance:
+            break
+    labels = [*names, *features, *["tie_margin"] * (loss == "rk")]
+    return battles.sparkSession.createDataFrame([(r, label, float(theta[j, r])) for r in range(n) for j, label in enumerate(labels)], "round int, name string, coefficient double")
+
+
+def _added(batches: Iterator) -> Iterator:
+    """Rows of packed doubles, added up column by column."""
+    import pyarrow as pa
+
+    held: list = [None, None]
+    for b in batches:
+        for k in range(2):
+            for x in b.column(k).to_pylist():
+                v = np.frombuffer(x)
+                held[k] = v.copy() if held[k] is None else held[k] + v
+    if held[0] is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in held], ["g", "i"])
+
+
+_POISSON = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, j + 1), dtype=float) for j in range(12)])
+
+
+def _uniform(h: np.ndarray, salt: int) -> np.ndarray:
+    """Numbers in [0, 1) from 64-bit hashes, another for every salt."""
+    with np.errstate(over="ignore"):
+        x = h.astype(np.int64).view(np.uint64) ^ (np.uint64(salt) * np.uint64(0x9E3779B97F4A7C15))
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+        x ^= x >> np.uint64(33)
+    return (x >> np.uint64(11)).astype(float) / 2.0**53
+
+
+def pair_win_rates(coefficients: DataFrame, baseline: str, features: list[str] = ()) -> DataFrame:
+    """(model, win_rate, lower, upper): the median and the 5 % and 95 % points over the rounds of exp(c) / (exp(c) + exp(base))."""
+    c = coefficients.where(~F.col("name").isin(*features, "tie_margin"))
+    base = c.where(F.col("name") == baseline).select("round", F.col("coefficient").alias("b"))
+    p = c.join(F.broadcast(base), "round").select(F.col("name").alias("model"), (1 / (1 + F.exp(F.col("b") - F.col("coefficient")))).alias("p"))
+    return p.groupBy("model").agg(F.percentile("p", F.lit(0.5)).alias("win_rate"), F.percentile("p", F.lit(0.05)).alias("lower"), F.percentile("p", F.lit(0.95)).alias("upper"))
+
+
+def with_style(battles: DataFrame, metadata: DataFrame, columns: list[str]) -> DataFrame:
+    """Battles (uid, model, baseline, ...) joined with both sides' answer metadata (uid, model, len, columns) as a_ and b_."""
+    side = lambda p, m: metadata.select(F.col("uid"), F.col("model").alias(m), F.col("len").alias(f"{p}_len"), *[F.col(c).alias(f"{p}_{c}") for c in columns])
+    return battles.join(side("a", "model"), ["uid", "model"]).join(side("b", "baseline"), ["uid", "baseline"])
+
+
+def question_pairs(questions: DataFrame, answers: DataFrame, candidate: str, baselines: dict[str, str] = BASELINES) -> DataFrame:
+    """(uid, category, prompt, answer, baseline, baseline_answer): questions that both the candidate and the category's baseline answered.
+
+    A category without a baseline fails the job.  ``questions``: (uid, category, prompt); ``answers``: (uid, model, answer)."""
+    known = F.create_map(*[F.lit(x) for kv in baselines.items() for x in kv])
+    fail = F.raise_error(F.concat(F.lit("no baseline for category "), F.col("category"))).cast("string")
+    q = questions.withColumn("baseline", F.coalesce(known[F.col("category")], fail))
+    mine = answers.where(F.col("model") == candidate).select("uid", "answer")
+    theirs = answers.select("uid", F.col("model").alias("baseline"), F.col("answer").alias("baseline_answer"))
+    return q.join(mine, "uid").join(theirs, ["uid", "baseline"]).select("uid", "category", "prompt", "answer", "baseline", "baseline_answer")
+
+
+def unjudged(pairs: DataFrame, judged: DataFrame, keys: list[str] = ("model", "uid")) -> DataFrame:
+    """The pairs that no earlier run has judged."""
+    return pairs.join(judged.select(*keys), list(keys), "left_anti")
+
+
+def graded_items(examples: DataFrame, gradings: DataFrame, example: str) -> DataFrame:
+    """(example, axis, points, met): rubric items met with their gradings by place; the longer list's rest goes.
+
+    ``examples``: (example, rubrics array of (points, axis)); ``gradings``: (example, met array)."""
+    j = examples.join(gradings, example)
+    z = j.select(example, F.posexplode(F.arrays_zip("rubrics", "met")).alias("place", "i"), F.least(F.size("rubrics"), F.size("met")).alias("upto"))
+    return z.where("place < upto").select(example, F.col("i.rubrics.axis").alias("axis"), F.col("i.rubrics.points").alias("points"), F.col("i.met").alias("met"))
+
+
+def distribution(rows: DataFrame, column: str) -> DataFrame:
+    return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+
+
+def call_accuracy(answers: DataFrame, calls: str = "calls", target: str = "target") -> DataFrame:
+    """(n, n_correct, accuracy): an answer is right if it makes one call, of the target's function with its arguments.
 
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(g[value].to_numpy(float))
-        rng = np.random.default_rng(seed)
-        m = [min(max(x[rng.integers(0, len(x), len(x))].mean(), 0), 1) for _ in range(rounds)]
-        return pd.DataFrame({key: [g[key].iloc[0]], "std": [float(np.std(m))]})
+    ``calls`` is an array of canonical calls (see ``parse_call``), ``target`` one of them."""
+    right = (F.size(calls) == 1) & F.get(calls, F.lit(0)).eqNullSafe(F.col(target)) & F.col(target).isNotNull()
+    return answers.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(right, F.lit(False))).alias("n_correct"), F.avg(F.coalesce(right, F.lit(False)).cast("double")).alias("accuracy"))
 
-    return values.select(key, value).groupBy(key).applyInPandas(one, f"`{key}` {dict(values.dtypes)[key]}, std double")
 
+def choices(questions: DataFrame, key: str, right: str, wrong: list[str], seed: int = 42) -> DataFrame:
+    """``questions`` with ``options`` in a seeded order, the same in every run, and ``target``, the letter of the right one."""
+    h = lambda c, i: F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(key).cast("string"), F.lit(str(i))))
+    sides = F.array_sort(F.array(*[F.struct(h(c, i).alias("h"), F.col(c).alias("text"), F.lit(i == 0).alias("ok")) for i, c in enumerate([right, *wrong])]))
+    letters = F.array(*map(F.lit, "ABCDEFGHIJ"[: len(wrong) + 1]))
+    place = F.array_position(F.transform(sides, lambda s: s["ok"]), True).cast("int")
+    return questions.withColumns({"options": F.transform(sides, lambda s: s["text"]), "target": F.element_at(letters, place)})
 
-def bradley_terry(scores: DataFrame, key: str, base: str, ties: float = 0.0) -> DataFrame:
-    """(key, coefficient, win_rate) of each model against one baseline.
 
-    Every battle is against the baseline, so the logistic fit separates by model and has the closed
-    form log(w / (n - w)); a half win more on each side keeps it finite.  ``ties`` is the log tie
-    parameter of the Rao-Kupper form, 0 for none."""
-    m = scores.groupBy(key).agg(((F.sum("score") + 0.5) / (F.count("score") + 1.0)).alias("p"))
-    c = F.log(F.col("p") / (1 - F.col("p"))) - F.lit(ties)
-    m = m.select(key, c.alias("coefficient")).where(F.col(key) != base)
-    return m.withColumn("win_rate", 1 / (1 + F.exp(-F.col("coefficient"))))
+def choice_accuracy(answers: DataFrame, pick: str = "pick", target: str = "target") -> DataFrame:
+    right = F.coalesce(F.col(pick) == F.col(target), F.lit(False))
+    return answers.agg(F.count(F.lit(1)).alias("n"), F.avg(right.cast("double")).alias("accuracy"))
 
 
 def style(a: DataFrame, columns: list[str]) -> DataFrame:

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import audit, judging, runs, traces
 from ..sources import readers
-
-QUERIES: dict[str, Callable] = {}
-SQL: dict[str, str] = {}
+from .base import QUERIES, SQL, query, r6
 
 #: The SQL form of ``normalize`` and of word lists, used by several queries.
 _NORM = r"trim(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -26,48 +24,87 @@ def _shingle_cte(name: str, table: str, keys: str) -> str:
    ELSE list_transform(range(1, len(w) - 6), lambda i: array_to_string(list_slice(w, i, i + 7), ' ')) END) AS g FROM {name}_w))"""
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def r6(c: Column | str) -> Column:
-    return F.round(c, 6)
-
-
 @query(f"WITH {_shingle_cte('a', 'documents', 'doc_id')}, {_shingle_cte('b', 'benchmark', 'item_id')} SELECT doc_id, item_id, COUNT(*) AS overlap FROM a JOIN b USING (g) GROUP BY ALL HAVING COUNT(*) >= 3")
 def decontam_ngram_overlap(t) -> DataFrame:
     return audit.ngram_overlap(t("documents"), t("benchmark"), ["doc_id"])
 
 
-@query(f"WITH b AS (SELECT sha256({_NORM.format('text')}) AS sha, MIN(item_id) AS item_id FROM benchmark GROUP BY 1) SELECT doc_id, item_id, sha FROM (SELECT doc_id, sha256({_NORM.format('text')}) AS sha FROM documents) JOIN b USING (sha)")
+@query(f"""WITH b AS (SELECT sha256({_NORM.format('text')}) AS sha, MIN(item_id) AS item_id FROM benchmark GROUP BY 1), d AS (SELECT doc_id, text FROM documents UNION ALL SELECT 1000000000 + item_id, upper(text) || '!' FROM benchmark)
+SELECT doc_id, item_id, sha FROM (SELECT doc_id, sha256({_NORM.format('text')}) AS sha FROM d) JOIN b USING (sha)""")
 def decontam_exact_sha(t) -> DataFrame:
-    return audit.exact_match(t("documents"), t("benchmark"), ["doc_id"])
+    """Documents, and the benchmark's own texts in capitals, against the benchmark by normalised hash."""
+    quoted = t("benchmark").select((F.col("item_id") + 1_000_000_000).alias("doc_id"), F.concat(F.upper("text"), F.lit("!")).alias("text"))
+    return audit.exact_match(t("documents").select("doc_id", "text").unionByName(quoted), t("benchmark"), ["doc_id"])
+
+
+#: Chats that quote the benchmark: conversations; items asked as they are; items split over two turns; documents as answers.
+_CHATS = """msgs AS (SELECT conv_id AS row, turn AS message_index, role, text FROM conversations
+ UNION ALL SELECT 1000000000 + item_id, 0, 'user', text FROM benchmark UNION ALL SELECT 1000000000 + item_id, 1, 'assistant', 'ok' FROM benchmark
+ UNION ALL SELECT 2000000000 + item_id, 0, 'user', array_to_string(list_slice(string_split(text, ' '), 1, 9), ' ') FROM benchmark
+ UNION ALL SELECT 2000000000 + item_id, 1, 'assistant', array_to_string(list_slice(string_split(text, ' '), 10, 18), ' ') FROM benchmark
+ UNION ALL SELECT 3000000000 + doc_id, 0, 'user', 'Go on' FROM documents UNION ALL SELECT 3000000000 + doc_id, 1, 'assistant', text FROM documents)"""
+
+
+def chats(t) -> DataFrame:
+    """(row, message_index, role, content): ``_CHATS`` as a frame."""
+    m = lambda d, row, at, role, content: d.select(row.cast("long").alias("row"), F.lit(at).cast("long").alias("message_index"), F.lit(role).alias("role"), content.alias("content"))
+    b, d, item = t("benchmark"), t("documents"), F.col("item_id")
+    part = lambda a: F.array_join(F.slice(F.split("text", " "), a, 9), " ")
+    own = t("conversations").select(F.col("conv_id").alias("row"), F.col("turn").alias("message_index"), "role", F.col("text").alias("content"))
+    parts = [m(b, item + 1_000_000_000, 0, "user", F.col("text")), m(b, item + 1_000_000_000, 1, "assistant", F.lit("ok")),
+             m(b, item + 2_000_000_000, 0, "user", part(1)), m(b, item + 2_000_000_000, 1, "assistant", part(10)),
+             m(d, F.col("doc_id") + 3_000_000_000, 0, "user", F.lit("Go on")), m(d, F.col("doc_id") + 3_000_000_000, 1, "assistant", F.col("text"))]
+    for p in parts:
+        own = own.unionByName(p)
+    return own
+
+
+def _hits_sql(name: str, table: str, keys: str) -> str:
+    """CTEs up to ``name`` (keys, kind, item_id, overlap): exact matches of a table of texts, else the best of its shingle matches."""
+    on = " AND ".join(f"e.{k} = o.{k}" for k in keys.split(", "))
+    return f"""{name}_e AS (SELECT DISTINCT {keys} FROM {table} JOIN (SELECT DISTINCT {_NORM.format('text')} AS n FROM benchmark) b ON {_NORM.format(table + '.text')} = b.n),
+{_shingle_cte(name + '_s', table, keys)}, {_shingle_cte(name + '_b', 'benchmark', 'item_id')},
+{name}_o AS (SELECT {keys}, item_id, COUNT(*) AS overlap FROM {name}_s JOIN {name}_b USING (g) GROUP BY ALL HAVING COUNT(*) >= 3),
+{name} AS (SELECT {keys}, 'exact' AS kind, NULL::BIGINT AS item_id, 0::BIGINT AS overlap FROM {name}_e
+ UNION ALL SELECT {keys}, 'ngram', item_id, overlap FROM {name}_o o WHERE NOT EXISTS (SELECT 1 FROM {name}_e e WHERE {on}) QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY overlap DESC, item_id) = 1)"""
+
+
+_VIOLATIONS = f"""{_CHATS}, said AS (SELECT * FROM msgs WHERE text <> ''), {_hits_sql('one', 'said', 'row, message_index')},
+rest AS (SELECT row, string_agg(COALESCE(text, ''), chr(10) ORDER BY message_index) AS text FROM msgs WHERE row NOT IN (SELECT row FROM one) GROUP BY row), {_hits_sql('whole', 'rest', 'row')},
+found AS (SELECT row, 'per_message' AS scope, role, message_index, substr(text, 1, 80) AS first_80, kind, item_id AS test_id, overlap FROM one JOIN msgs USING (row, message_index)
+ UNION ALL SELECT row, 'combined_all_messages', NULL, NULL, substr(text, 1, 80), kind, item_id, overlap FROM whole JOIN rest USING (row))"""
+
+
+@query(f"WITH {_CHATS}, said AS (SELECT * FROM msgs WHERE text <> ''), {_hits_sql('one', 'said', 'row, message_index')} SELECT * FROM one")
+def decontam_messages(t) -> DataFrame:
+    v = audit.violations(chats(t).where("content <> ''"), t("benchmark"), ["row", "message_index"], "content")
+    return v.withColumn("item_id", F.when(F.col("kind") == "ngram", F.col("item_id")))
 
 
-@query(f"""WITH e AS (SELECT conv_id, turn, b.item_id FROM conversations c JOIN (SELECT {_NORM.format('text')} AS n, MIN(item_id) AS item_id FROM benchmark GROUP BY 1) b ON {_NORM.format('c.text')} = b.n),
-{_shingle_cte('a', 'conversations', 'conv_id, turn')}, {_shingle_cte('b', 'benchmark', 'item_id')},
-o AS (SELECT conv_id, turn, item_id, COUNT(*) AS overlap FROM a JOIN b USING (g) GROUP BY ALL HAVING COUNT(*) >= 3),
-k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY overlap DESC, item_id) AS n FROM o WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.conv_id = o.conv_id AND e.turn = o.turn))
-SELECT conv_id, turn, 'exact' AS kind, item_id, 0::BIGINT AS overlap FROM e UNION ALL SELECT conv_id, turn, 'ngram', item_id, overlap FROM k WHERE n = 1""")
-def decontam_messages(t) -> DataFrame:
-    return audit.violations(t("conversations"), t("benchmark"), ["conv_id", "turn"])
+@query(f"WITH {_VIOLATIONS} SELECT * FROM found ORDER BY row, message_index NULLS LAST LIMIT 10")
+def decontam_first_violations(t) -> DataFrame:
+    return audit.decontam_violations(chats(t), t("benchmark"))
 
 
-def _ratio_sql(n: int) -> str:
+@query(f"WITH {_VIOLATIONS} SELECT scope, kind, COUNT(*) AS n, SUM(overlap)::BIGINT AS overlaps FROM found GROUP BY scope, kind")
+def decontam_all_violations(t) -> DataFrame:
+    """Every violation, message by message and over whole rows, counted by scope and kind."""
+    return audit.decontam_violations(chats(t), t("benchmark"), first=None).groupBy("scope", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("overlap").alias("overlaps"))
+
+
+@query(f"WITH {_VIOLATIONS} SELECT COUNT(*) = 0 AS pass, least(COUNT(*), 10) AS n_reported, (SELECT COUNT(DISTINCT {_NORM.format('text')}) FROM benchmark) AS test_items_loaded, 3 AS shingle_overlap_threshold FROM found")
+def decontam_report(t) -> DataFrame:
+    return audit.decontam_report(chats(t), t("benchmark"))
+
+
+def _ratio_sql(n: int, table: str = "documents") -> str:
     return f"""SELECT {n} AS n, COUNT(DISTINCT g) AS n_distinct, COUNT(g) AS n_all, round(CASE WHEN COUNT(g) > 0 THEN COUNT(DISTINCT g) / COUNT(g)::DOUBLE ELSE 0 END, 6) AS ratio FROM (
- SELECT unnest(CASE WHEN len(w) >= {n} THEN list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(list_slice(w, i, i + {n - 1}), ' ')) ELSE []::VARCHAR[] END) AS g FROM (SELECT {_WORDS.format('t')} AS w FROM (SELECT {_NORM.format('text')} AS t FROM documents)))"""
+ SELECT unnest(CASE WHEN len(w) >= {n} THEN list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(list_slice(w, i, i + {n - 1}), ' ')) ELSE []::VARCHAR[] END) AS g FROM (SELECT {_WORDS.format('t')} AS w FROM (SELECT {_NORM.format('text')} AS t FROM {table})))"""
 
 
 @query(f"{_ratio_sql(1)} UNION ALL {_ratio_sql(4)}")
 def diversity_distinct_ngrams(t) -> DataFrame:
-    d = audit.distinct_ratio(t("documents"), 1).unionAll(audit.distinct_ratio(t("documents"), 4))
-    return d.withColumn("ratio", r6("ratio"))
+    return audit.distinct_ratios(t("documents"), (1, 4)).withColumn("ratio", r6("ratio"))
 
 
 @query(f"SELECT COUNT(*) AS n_rows, round(stddev_pop(n) / avg(n), 6) AS length_cv FROM (SELECT len({_WORDS.format('t')}) AS n FROM (SELECT {_NORM.format('text')} AS t FROM documents))")
@@ -75,18 +112,48 @@ def diversity_length_cv(t) -> DataFrame:
     return audit.length_cv(t("documents")).withColumn("length_cv", r6("length_cv"))
 
 
-@query(f"""WITH w AS (SELECT doc_id, unnest({_WORDS.format('t')}) AS w FROM (SELECT doc_id, {_NORM.format('text')} AS t FROM documents)),
-tf AS (SELECT doc_id, w, COUNT(*) AS tf FROM w WHERE length(w) >= 2 GROUP BY ALL),
-v AS (SELECT w, SUM(tf) AS total, COUNT(*) AS df FROM tf GROUP BY w ORDER BY total DESC, w LIMIT 10000),
-n AS (SELECT COUNT(*) AS n FROM documents),
-x AS (SELECT doc_id, tf.w, tf * (ln((1 + (SELECT n FROM n)) / (1 + df)::DOUBLE) + 1) AS x FROM tf JOIN v ON tf.w = v.w),
-m AS (SELECT doc_id, sqrt(SUM(x * x)) AS norm FROM x GROUP BY doc_id),
-s AS (SELECT SUM(s * s) AS whole FROM (SELECT SUM(x / norm) AS s FROM x JOIN m USING (doc_id) GROUP BY w))
-SELECT n, round(1 - (whole - (SELECT COUNT(*) FROM m)) / (n * (n - 1)), 6) AS mean_cos_dist FROM n, s""")
+def _distance_sql(table: str, key: str) -> str:
+    """CTEs up to ``dist`` (n, d): the mean pairwise TF-IDF distance of a table's texts."""
+    return f"""dw AS (SELECT {key}, unnest({_WORDS.format('t')}) AS w FROM (SELECT {key}, {_NORM.format('text')} AS t FROM {table})),
+tf AS (SELECT {key}, w, COUNT(*) AS tf FROM dw WHERE length(w) >= 2 GROUP BY ALL),
+vocabulary AS (SELECT w, SUM(tf) AS total, COUNT(*) AS df FROM tf GROUP BY w ORDER BY total DESC, w LIMIT 10000),
+size AS (SELECT COUNT(*) AS n FROM {table}),
+x AS (SELECT {key}, tf.w, tf * (ln((1 + (SELECT n FROM size)) / (1 + df)::DOUBLE) + 1) AS x FROM tf JOIN vocabulary v ON tf.w = v.w),
+m AS (SELECT {key}, sqrt(SUM(x * x)) AS norm FROM x GROUP BY {key}),
+s AS (SELECT SUM(s * s) AS whole FROM (SELECT SUM(x / norm) AS s FROM x JOIN m USING ({key}) GROUP BY w)),
+dist AS (SELECT n, 1 - (whole - (SELECT COUNT(*) FROM m)) / (n * (n - 1)) AS d FROM size, s)"""
+
+
+@query(f"WITH {_distance_sql('documents', 'doc_id')} SELECT n, round(d, 6) AS mean_cos_dist FROM dist")
 def tfidf_mean_cos_dist(t) -> DataFrame:
     return audit.tfidf_distance(t("documents"), "doc_id").withColumn("mean_cos_dist", r6("mean_cos_dist"))
 
 
+def _gate_sql(table: str, key: str) -> str:
+    """CTEs up to ``gate``: the four diversity measures of a table's texts, the failed limits, the verdict."""
+    return f"""r1 AS ({_ratio_sql(1, table)}), r4 AS ({_ratio_sql(4, table)}), some AS (SELECT {key}, text FROM {table} ORDER BY md5('42/' || {key}), {key} LIMIT 500),
+{_distance_sql('some', key)}, cv AS (SELECT COUNT(*) AS n_rows, stddev_pop(n) / avg(n) AS cv FROM (SELECT len({_WORDS.format('t')}) AS n FROM (SELECT {_NORM.format('text')} AS t FROM {table}))),
+gate AS (SELECT *, array_to_string(list_filter([CASE WHEN distinct_1g < 0.03 THEN 'distinct_1g' END, CASE WHEN distinct_4g < 0.3 THEN 'distinct_4g' END, CASE WHEN len_cv < 0.15 THEN 'len_cv' END, CASE WHEN mean_cos_dist < 0.35 THEN 'mean_cos_dist' END], lambda v: v IS NOT NULL), ',') AS failures
+ FROM (SELECT r1.ratio AS distinct_1g, r4.ratio AS distinct_4g, round(d, 6) AS mean_cos_dist, dist.n AS sample_size, n_rows, round(cv, 6) AS len_cv FROM r1, r4, dist, cv))"""
+
+
+def _rounded(d: DataFrame) -> DataFrame:
+    return d.withColumns({c: r6(c) for c in ("distinct_1g", "distinct_4g", "mean_cos_dist", "len_cv")})
+
+
+@query(f"WITH {_gate_sql('documents', 'doc_id')} SELECT *, failures = '' AS pass FROM gate")
+def diversity_gate(t) -> DataFrame:
+    return _rounded(audit.diversity_gate(t("documents"), "doc_id"))
+
+
+@query(f"""WITH {_VIOLATIONS}, users AS (SELECT row, COALESCE(string_agg(text, chr(10) ORDER BY message_index) FILTER (WHERE role = 'user'), '') AS text FROM msgs GROUP BY row), {_gate_sql('users', 'row')},
+rep AS (SELECT COUNT(*) = 0 AS decontam_pass, least(COUNT(*), 10) AS n_reported, (SELECT COUNT(DISTINCT {_NORM.format('text')}) FROM benchmark) AS test_items_loaded, 3 AS shingle_overlap_threshold FROM found)
+SELECT distinct_1g, distinct_4g, mean_cos_dist, sample_size, n_rows, len_cv, failures AS diversity_failures, failures = '' AS diversity_pass, rep.*, n_rows >= 50 AND decontam_pass AND failures = '' AS pass FROM gate, rep""")
+def audit_gate(t) -> DataFrame:
+    """The whole gate of a training set: rows, decontamination and the four diversity measures."""
+    return _rounded(audit.training_set_gate(chats(t), t("benchmark")))
+
+
 @query(f"SELECT sha256({_NORM.format('text')}) AS sha, COUNT(*) AS n, MIN(doc_id) AS first_id FROM documents GROUP BY 1 HAVING COUNT(*) > 1")
 def exact_dup_groups(t) -> DataFrame:
     return audit.duplicate_groups(t("documents"), "doc_id")
@@ -103,13 +170,6 @@ def user_turn_concat(t) -> DataFrame:
     return audit.user_text(audit.as_chats(t("conversations")), "conv_id")
 
 
-@query("""WITH l AS (SELECT conv_id, COUNT(*) AS n, SUM((role = 'user')::INT) AS users, avg(length(text)) AS mean_len FROM conversations GROUP BY conv_id)
-SELECT conv_id, n, users, CASE WHEN n < 2 THEN CASE WHEN users < 1 THEN 'n,users' ELSE 'n' END WHEN users < 1 THEN 'users' ELSE '' END AS failures, n >= 2 AND users >= 1 AS pass FROM l""")
-def audit_gate(t) -> DataFrame:
-    m = t("conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("role") == "user").cast("int")).alias("users"))
-    return audit.gate(m, {"n": (2, "min"), "users": (1, "min")})
-
-
 @query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS n FROM events WHERE event_id >= 100 AND event_id < 1000000000) WHERE n = 1")
 def latest_per_key(t) -> DataFrame:
     e = t("events").select("user_id", "event_type", "event_id", "value")
@@ -257,9 +317,17 @@ def secret_redaction(t) -> DataFrame:
     return t("documents").select("doc_id", F.md5(T.redact(F.col("text"), "sk-live-abcdefgh-0001")).alias("redacted_md5"))
 
 
-@query(r"""SELECT doc_id, substr(regexp_replace(regexp_replace(regexp_replace(replace(trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')), '%', ''), '(?i)(test accuracy|eval accuracy|test score|benchmark score)', '[redacted]', 'g'), '(?i)\b(accuracy|score|acc|f1|pass@1)\b', '[score]', 'g'), '[0-9]+(\.[0-9]+)?', '[n]', 'g'), 1, 200) AS short FROM documents WHERE lang = 'en'""")
+#: Text in parts of word characters and of others, so words are found without an ASCII word boundary; whole numbers with decimals become one.
+_SCRUBBED = r"""array_to_string(list_transform(regexp_extract_all(regexp_replace({0}, '[%％]', '', 'g'), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+'), lambda p: CASE WHEN lower(p) IN ('accuracy', 'acc', 'score', 'stderr', 'metric', 'test_acc') THEN '[score]' WHEN lower(p) IN ('outperforms', 'winning', 'regression') THEN '[redacted]' WHEN regexp_matches(p, '^[0-9]+$') THEN '[n]' ELSE p END), '')"""
+_NOTE = "text || ' Accuracy ' || n_chars || '.5% winning, test_acc=7 accuracy' || doc_id"
+
+
+@query(rf"""WITH d AS (SELECT doc_id, trim(regexp_replace({_NOTE}, '\s+', ' ', 'g')) AS t FROM documents), s AS (SELECT doc_id, replace({_SCRUBBED.format('t')}, '[n].[n]', '[n]') AS t FROM d)
+SELECT doc_id, md5(t) AS whole_md5, substr(trim(regexp_replace(t, '\s+', ' ', 'g')), 1, 200) AS short FROM s""")
 def numeric_scrub(t) -> DataFrame:
-    return t("documents").where("lang = 'en'").select("doc_id", T.short_field(F.col("text")).alias("short"))
+    """Scores, comparisons and numbers out of texts of all languages, whole and as a short field."""
+    note = F.concat("text", F.lit(" Accuracy "), F.col("n_chars").cast("string"), F.lit(".5% winning, test_acc=7 accuracy"), F.col("doc_id").cast("string"))
+    return t("documents").select("doc_id", F.md5(T.scrub(T.collapse(note))).alias("whole_md5"), T.short_field(note).alias("short"))
 
 
 @query(r"""WITH d AS (SELECT doc_id, regexp_replace(text, '(?s)```.*?```', '', 'g') AS t FROM documents)
@@ -286,10 +354,10 @@ def json_extract(t) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT o_orderpriority, CASE WHEN o_orderstatus <> 'P' THEN (o_orderkey * 37) % 36000 END AS sec FROM orders), g AS (SELECT o_orderpriority, COUNT(sec) AS n, floor(SUM(sec) / COUNT(sec)::DOUBLE)::BIGINT AS mean_seconds FROM s GROUP BY 1)
-SELECT *, (mean_seconds // 3600) || ':' || lpad(((mean_seconds // 60) % 60)::VARCHAR, 2, '0') || ':' || lpad((mean_seconds % 60)::VARCHAR, 2, '0') AS mean_hms FROM g""")
+SELECT *, (mean_seconds // 3600) || ':' || lpad(((mean_seconds // 60) % 60)::VARCHAR, 2, '0') || ':' || lpad((mean_seconds % 60)::VARCHAR, 2, '0') AS mean_hms, round((mean_seconds / 360.0)::DECIMAL(18, 6), 1)::VARCHAR || '%' AS share FROM g""")
 def time_overview(t) -> DataFrame:
     s = t("orders").select("o_orderpriority", F.when(F.col("o_orderstatus") != "P", (F.col("o_orderkey") * 37) % 36000).alias("sec"))
-    return runs.time_overview(s.withColumn("sec", T.seconds_of(T.hms_of(F.col("sec")))), ["o_orderpriority"], "sec").drop("share")
+    return runs.time_overview(s.withColumn("sec", T.seconds_of(T.hms_of(F.col("sec")))), ["o_orderpriority"], "sec")
 
 
 @query("""WITH a AS (SELECT o_orderstatus, o_orderpriority, COUNT(*)::DOUBLE AS v FROM orders GROUP BY ALL), b AS (SELECT o_orderstatus, o_orderpriority, COUNT(*)::DOUBLE AS v FROM orders WHERE o_totalprice < 499000 AND o_orderpriority <> '5-LOW' GROUP BY ALL)
@@ -316,11 +384,14 @@ def key_set_compare(t) -> DataFrame:
     return both.unionByName(c.exceptAll(o.distinct()).select(F.lit("only_customer").alias("s"))).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT n_name FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey HAVING COUNT(DISTINCT o_orderpriority) = 5)""")
+@query("""WITH x AS (SELECT DISTINCT o_orderpriority FROM orders), f AS (SELECT DISTINCT c_nationkey, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT n_name FROM nation WHERE (SELECT COUNT(*) FROM f WHERE c_nationkey = n_nationkey) = (SELECT COUNT(*) FROM x)""")
 def complete_members(t) -> DataFrame:
-    o = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    full = o.groupBy("c_nationkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("s")).where(F.size("s") == 5)
-    return t("nation").join(full, F.col("n_nationkey") == F.col("c_nationkey"), "left_semi").select("n_name")
+    """Nations that have orders of every priority there is."""
+    o = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("n"), "o_orderpriority")
+    every = t("nation").select(F.col("n_nationkey").alias("n"), "n_name").crossJoin(t("orders").select("o_orderpriority").distinct())
+    pair = F.struct("n", "o_orderpriority").alias("pair")
+    return runs.complete_groups(every.select("n_name", pair), o.select(pair), "n_name", "pair")
 
 
 @query("SELECT l_returnflag, l_linestatus, round(SUM(l_quantity), 2) AS qty, COUNT(*) AS n, GROUPING(l_returnflag)::INT AS g FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
@@ -346,10 +417,7 @@ def bootstrap_se(t) -> DataFrame:
     return judging.bootstrap_std(s, "o_orderpriority", "score", 200)
 
 
-@query("""WITH s AS (SELECT user_id, unnest(CASE event_type WHEN 'click' THEN [0.0, 0.0, 0.0, 0.0, 0.0, 0.0] WHEN 'view' THEN [1.0, 0.0] WHEN 'signup' THEN [0.5, 0.5] WHEN 'purchase' THEN [1.0, 1.0, 1.0, 1.0] ELSE []::DECIMAL(2,1)[] END)::DOUBLE AS score FROM events)
-SELECT user_id, round(ln(p / (1 - p)), 6) AS coefficient, round(p, 6) AS win_rate FROM (SELECT user_id, (SUM(score) + 0.5) / (COUNT(score) + 1.0) AS p FROM s GROUP BY user_id) WHERE user_id <> 0""")
-def bt_winrates(t) -> DataFrame:
-    return judging.bradley_terry(_battles(t), "user_id", "0").withColumns({"coefficient": r6("coefficient"), "win_rate": r6("win_rate")})
+from . import files, results, texts, live  # noqa: E402, F401, I001  (they register their queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -19,10 +19,11 @@ def sampled(events: DataFrame, ts: str, value: str, late: str = "5 minutes", eve
     return events.withWatermark(ts, late).groupBy(F.window(ts, every).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean")).select("w.start", "n", "mean")
 
 
-def merged_deltas(events: DataFrame, file: str = "file", kind: str = "kind", text: str = "text", timeout_ms: int = 60_000) -> DataFrame:
+def merged_deltas(events: DataFrame, file: str = "file", kind: str = "kind", text: str = "text", at: str = "at", timeout_ms: int = 3_600_000) -> DataFrame:
     """Consecutive deltas of one kind in a file become one row; state is the open run of each file.
 
-    A change of kind closes a run; a run without news is closed by timeout."""
+    Inside a micro-batch rows are taken in the order of ``at``, as they arrive in any order after the
+    shuffle; a change of kind closes a run; a run without news is closed by timeout."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         run = list(state.get) if state.exists else [None, "", 0]
@@ -31,12 +32,12 @@ def merged_deltas(events: DataFrame, file: str = "file", kind: str = "kind", tex
             out, run = [(key[0], *run)], [None, "", 0]
             state.remove()
         else:
-            for p in parts:
-                for k, t in zip(p[kind], p[text], strict=True):
-                    if run[0] is not None and k != run[0]:
-                        out.append((key[0], *run))
-                        run = [None, "", 0]
-                    run = [k, run[1] + t, run[2] + 1]
+            batch = pd.concat(list(parts)).sort_values(at, kind="stable")
+            for k, t in zip(batch[kind], batch[text], strict=True):
+                if run[0] is not None and k != run[0]:
+                    out.append((key[0], *run))
+                    run = [None, "", 0]
+                run = [k, run[1] + t, run[2] + 1]
             state.update(tuple(run))
             state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(out, columns=["file", "kind", "text", "n"])
