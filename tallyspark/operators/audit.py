@@ -68,10 +68,12 @@ def decontam_violations(messages: DataFrame, tests: DataFrame, first: int | None
     all messages together, joined by line breaks, so a text split over turns is found."""
     hit = lambda v: v.withColumnsRenamed({"item_id": "test_id"}).withColumn("test_id", F.when(F.col("kind") == "ngram", F.col("test_id")))
     keys = ["row", "message_index"]
-    one = hit(violations(messages.where("content <> ''"), tests, keys, "content")).join(messages, keys)
+    messages = _written(messages, "messages")
+    one = _written(hit(violations(messages.where("content <> ''"), tests, keys, "content")).join(messages, keys), "hits")
     rest = messages.join(one.select("row").distinct(), "row", "left_anti")
     turns = F.array_sort(F.collect_list(F.struct("message_index", F.coalesce("content", F.lit("")).alias("content"))))
     whole = rest.groupBy("row").agg(F.array_join(F.transform(turns, lambda m: m["content"]), "\n").alias("content"))
+    whole = _written(whole, "whole")
     all_ = hit(violations(whole, tests, ["row"], "content")).join(whole, "row")
     cols = lambda scope, role, at: [F.col("row"), F.lit(scope).alias("scope"), role.alias("role"), at.alias("message_index"), F.substring("content", 1, 80).alias("first_80"), "kind", "test_id", "overlap"]
     none = F.lit(None).cast("string")
@@ -174,8 +176,9 @@ def training_set_gate(messages: DataFrame, tests: DataFrame, limits: dict[str, f
     """The whole gate, one row: enough rows, no benchmark text in any message, diverse user texts.
 
     ``messages``: (row, message_index, role, content)."""
+    messages = _written(messages, "chats")
     turns = F.array_sort(F.collect_list(F.when(F.col("role") == "user", F.struct("message_index", F.coalesce("content", F.lit("")).alias("content")))))
     users = messages.groupBy("row").agg(F.array_join(F.transform(turns, lambda m: m["content"]), "\n").alias("text"))
-    d = diversity_gate(users, "row", limits=limits).withColumnsRenamed({"failures": "diversity_failures", "pass": "diversity_pass"})
+    d = diversity_gate(_written(users, "users"), "row", limits=limits).withColumnsRenamed({"failures": "diversity_failures", "pass": "diversity_pass"})
     c = decontam_report(messages, tests).withColumnRenamed("pass", "decontam_pass")
     return d.crossJoin(c).withColumn("pass", (F.col("n_rows") >= rows) & F.col("decontam_pass") & F.col("diversity_pass"))

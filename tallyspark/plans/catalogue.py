@@ -29,11 +29,11 @@ def decontam_ngram_overlap(t) -> DataFrame:
     return audit.ngram_overlap(t("documents"), t("benchmark"), ["doc_id"])
 
 
-@query(f"""WITH b AS (SELECT sha256({_NORM.format('text')}) AS sha, MIN(item_id) AS item_id FROM benchmark GROUP BY 1), d AS (SELECT doc_id, text FROM documents UNION ALL SELECT 1000000000 + item_id, upper(text) || '!' FROM benchmark)
+@query(f"""WITH b AS (SELECT sha256({_NORM.format('text')}) AS sha, MIN(item_id) AS item_id FROM benchmark GROUP BY 1), d AS (SELECT doc_id, text FROM documents UNION ALL SELECT 1000000000 + item_id, '  ' || text || ' !' FROM benchmark)
 SELECT doc_id, item_id, sha FROM (SELECT doc_id, sha256({_NORM.format('text')}) AS sha FROM d) JOIN b USING (sha)""")
 def decontam_exact_sha(t) -> DataFrame:
-    """Documents, and the benchmark's own texts in capitals, against the benchmark by normalised hash."""
-    quoted = t("benchmark").select((F.col("item_id") + 1_000_000_000).alias("doc_id"), F.concat(F.upper("text"), F.lit("!")).alias("text"))
+    """Documents, and the benchmark's own texts with other marks, against the benchmark by normalised hash."""
+    quoted = t("benchmark").select((F.col("item_id") + 1_000_000_000).alias("doc_id"), F.concat(F.lit("  "), "text", F.lit(" !")).alias("text"))
     return audit.exact_match(t("documents").select("doc_id", "text").unionByName(quoted), t("benchmark"), ["doc_id"])
 
 
@@ -131,8 +131,8 @@ def tfidf_mean_cos_dist(t) -> DataFrame:
 
 def _gate_sql(table: str, key: str) -> str:
     """CTEs up to ``gate``: the four diversity measures of a table's texts, the failed limits, the verdict."""
-    return f"""r1 AS ({_ratio_sql(1, table)}), r4 AS ({_ratio_sql(4, table)}), some AS (SELECT {key}, text FROM {table} ORDER BY md5('42/' || {key}), {key} LIMIT 500),
-{_distance_sql('some', key)}, cv AS (SELECT COUNT(*) AS n_rows, stddev_pop(n) / avg(n) AS cv FROM (SELECT len({_WORDS.format('t')}) AS n FROM (SELECT {_NORM.format('text')} AS t FROM {table}))),
+    return f"""r1 AS ({_ratio_sql(1, table)}), r4 AS ({_ratio_sql(4, table)}), picked AS (SELECT {key}, text FROM {table} ORDER BY md5('42/' || {key}), {key} LIMIT 500),
+{_distance_sql('picked', key)}, cv AS (SELECT COUNT(*) AS n_rows, stddev_pop(n) / avg(n) AS cv FROM (SELECT len({_WORDS.format('t')}) AS n FROM (SELECT {_NORM.format('text')} AS t FROM {table}))),
 gate AS (SELECT *, array_to_string(list_filter([CASE WHEN distinct_1g < 0.03 THEN 'distinct_1g' END, CASE WHEN distinct_4g < 0.3 THEN 'distinct_4g' END, CASE WHEN len_cv < 0.15 THEN 'len_cv' END, CASE WHEN mean_cos_dist < 0.35 THEN 'mean_cos_dist' END], lambda v: v IS NOT NULL), ',') AS failures
  FROM (SELECT r1.ratio AS distinct_1g, r4.ratio AS distinct_4g, round(d, 6) AS mean_cos_dist, dist.n AS sample_size, n_rows, round(cv, 6) AS len_cv FROM r1, r4, dist, cv))"""
 

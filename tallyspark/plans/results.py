@@ -264,7 +264,7 @@ def interval_in_one_aggregate(t: Tables) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT l_orderkey AS id, list({'points': (CASE WHEN l_linenumber % 4 = 0 THEN -3 ELSE l_linenumber END)::BIGINT, 'axis': l_returnflag} ORDER BY l_linenumber, l_returnflag) AS r, list(l_quantity > 25 ORDER BY l_linenumber, l_quantity > 25) FILTER (WHERE l_linenumber <> 6) AS m FROM lineitem GROUP BY 1),
-z AS (SELECT r[i].axis AS axis, r[i].points AS points, m[i] AS met FROM (SELECT r, m, unnest(range(1, least(len(r), len(m)) + 1)) AS i FROM e))
+z AS (SELECT r[i].axis AS axis, r[i].points AS points, m[i] AS met FROM (SELECT r, m, unnest(range(1, least(len(r), COALESCE(len(m), 0)) + 1)) AS i FROM e))
 SELECT axis, COALESCE(SUM(points) FILTER (WHERE met), 0)::BIGINT AS met, SUM(CASE WHEN points > 0 THEN points ELSE 0 END)::BIGINT AS possible, round(COALESCE(SUM(points) FILTER (WHERE met), 0) / SUM(CASE WHEN points > 0 THEN points ELSE 0 END)::DOUBLE, 6) AS ratio FROM z GROUP BY axis""")
 def zipped_rubric_by_axis(t: Tables) -> DataFrame:
     """Rubric items met with gradings by their place, the longer list's rest left out; the ratio of each axis."""
