@@ -42,13 +42,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table as read back.
 
     The shuffle files of finished jobs are let go: Spark deletes them when the driver's JVM finds
-    their plans unreachable, so a collection is asked for after each table."""
+    their plans unreachable, so a collection is asked for after each table (not on a local master)."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
-    gc.collect()
-    spark._jvm.System.gc()
+    if not spark.sparkContext.master.startswith("local["):
+        gc.collect()
+        spark._jvm.System.gc()
     back._scratch_path = path
     return back
 

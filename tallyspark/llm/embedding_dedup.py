@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import connected_components, materialize, table
-from .tiles import by_tile, dealt, load_of, within
+from .tiles import by_tile, dealt, load_of, small_pairs, within
 
 COSINE = 0.98
 BLOCKS = 8
@@ -42,6 +42,8 @@ CELL = 4.0
 #: Vectors of a tile at home and visiting, while ids are compared and while whole vectors are.
 NEAR_TILE, NEAR_VISITORS = 8192, 16384
 TILE, VISITORS = 1024, 2048
+#: Cells of at most so many rows are compared many at once.
+SMALL_TILE = 64
 SEED = 20240
 _SLACK = 1e-9
 
@@ -205,9 +207,26 @@ def _survivors(cosine: float, blocks: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for key, (side, role, cid, near) in by_tile(batches, ("side", "role", "cid", "near")):
-            if len(cid) < 2:
+        for key, tile in by_tile(batches, ("side", "role", "cid", "near"), SMALL_TILE):
+            if key is None:
+                b, starts, sizes = tile
+                rows, i, j = small_pairs(starts, sizes)
+                b = b.take(pa.array(rows))
+                dim, side = (b.column(c).to_numpy(zero_copy_only=False) for c in ("dim", "side"))
+                found, near = np.zeros(len(rows), bool), b.column("near").to_pylist()
+                for width in {len(v) for v in near}:  # vectors of one length, as a rule
+                    at = np.array([len(v) == width for v in near])
+                    x = np.zeros((len(rows), width // 4), np.float32)
+                    x[at] = np.frombuffer(b"".join(v for v in near if len(v) == width), np.float32).reshape(-1, width // 4)
+                    ok = at[i] & at[j] & ((side[i] == 0) | (side[j] == 0))
+                    p, q = i[ok], j[ok]
+                    share = (2 - 2 * cosine) / np.minimum(blocks, dim[p]) + _SLACK
+                    hit = ((x[p] - x[q]) ** 2).sum(1) <= share + 1e-5
+                    found[p[hit]] = found[q[hit]] = True
+                if found.any():
+                    yield b.filter(pa.array(found)).select(["label", "dim", "block", "cell", "role", "cid"])
                 continue
+            side, role, cid, near = tile
             share = (2 - 2 * cosine) / (len(_cuts(key[1], blocks)) - 1) + _SLACK
             x = np.frombuffer(b"".join(near), np.float32).reshape(len(cid), -1)
             at = np.flatnonzero(_partnered(np.array(side), x, within(key), share))
@@ -226,8 +245,6 @@ def _links(cosine: float, blocks: int, kind):
         import pyarrow as pa
 
         for key, (side, cid, copies, payload) in by_tile(batches, ("side", "cid", "copies", "payload")):
-            if len(cid) < 2:
-                continue
             x = np.frombuffer(b"".join(payload), kind).astype(np.float64).reshape(len(cid), key[1])
             what, own, value = _Tile((key[2], within(key)), np.array(cid), np.array(copies), np.array(side), x, cosine, blocks).result()
             if len(what):

@@ -18,4 +18,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.OP1_SQL, "op3_embeddings": embedding_dedup.OP3_SQL, "op10_url_filter": url_rules.OP10_SQL}
+    return {
+        "op1_mixing": mixing.OP1_SQL, "op2_suffix_array": substring_dedup.OP2_SQL, "op3_embeddings": embedding_dedup.OP3_SQL,
+        "op9_recompression": substring_dedup.OP9_SQL, "op10_url_filter": url_rules.OP10_SQL}

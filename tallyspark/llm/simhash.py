@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, connected_components, frugal, materialize, release, splitmix, table
-from .tiles import by_tile, dealt, load_of, within
+from .tiles import by_tile, dealt, load_of, small_pairs, within
 
 SHINGLE = 3
 DISTANCE = 3
@@ -54,6 +54,8 @@ FAR_SMALL = 136
 SMALL = 32
 #: Texts of a tile while fingerprints are compared, and while whole sets are.
 NEAR_TILE, TILE = 8192, 256
+#: Buckets of at most so many texts are compared many at once.
+SMALL_TILE = 64
 
 
 def fingerprint(text: str | None, n: int = SHINGLE, seed: int = SEED) -> int:
@@ -225,9 +227,24 @@ def _with_candidate(batches: Iterator, similarity: float) -> Iterator:
     """Rows of sorted tiles that have a candidate there."""
     import pyarrow as pa
 
-    for key, (side, cid, group, size, fp) in by_tile(batches, ("side", "cid", "grp", "size", "fp")):
-        if len(cid) < 2:
+    for key, tile in by_tile(batches, ("side", "cid", "grp", "size", "fp"), SMALL_TILE):
+        if key is None:
+            b, starts, sizes = tile
+            rows, i, j = small_pairs(starts, sizes)
+            b = b.take(pa.array(rows))
+            group, size = (b.column(c).to_numpy(zero_copy_only=False) for c in ("grp", "size"))
+            x = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint64).reshape(len(rows), WIDE)
+            far = np.zeros(len(i), np.uint16)
+            for w in range(WIDE):
+                far += np.bitwise_count(x[i, w] ^ x[j, w])
+            most = np.maximum(size[i], size[j])
+            near = (group[i] != group[j]) & (np.minimum(size[i], size[j]) >= similarity * most) & (far <= np.where(most < SMALL, FAR_SMALL, FAR))
+            found = np.zeros(len(rows), bool)
+            found[i[near]] = found[j[near]] = True
+            if found.any():
+                yield b.filter(pa.array(found)).select(["label", "dim", "block", "cell", "role", "cid"])
             continue
+        side, cid, group, size, fp = tile
         side, cid, group, size = (np.array(c) for c in (side, cid, group, size))
         x = np.frombuffer(b"".join(fp), np.uint64).reshape(len(cid), WIDE)
         found = np.zeros(len(cid), bool)
@@ -257,8 +274,6 @@ def _linked(batches: Iterator, order: int, similarity: float) -> Iterator:
     import pyarrow as pa
 
     for key, (side, cid, group, size, fp, hashes) in by_tile(batches, ("side", "cid", "grp", "size", "fp", "hashes")):
-        if len(cid) < 2:
-            continue
         side, group, size = (np.array(c) for c in (side, group, size))
         x = np.frombuffer(b"".join(fp), np.uint64).reshape(len(cid), WIDE)
         sets = [np.frombuffer(h, np.uint64) for h in hashes]

@@ -128,3 +128,31 @@ def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_words(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: Every window by itself: the first of equal ones stays, the bytes under the others go.
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, encode(COALESCE(text, '')) AS b FROM documents),
+p AS (SELECT doc_id, b, octet_length(b) AS n, unnest(range(1, octet_length(b) + 1)) AS i FROM d),
+w AS (SELECT doc_id, i, array_slice(b, i, i + 99) AS s FROM p WHERE i + 99 <= n),
+f AS (SELECT s, MIN((doc_id, i)) AS first FROM w GROUP BY s HAVING COUNT(*) > 1),
+r AS (SELECT doc_id, i FROM w JOIN f USING (s) WHERE (doc_id, i) > first),
+g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER o + 100 THEN 0 ELSE 1 END AS new FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+h AS (SELECT doc_id, i, SUM(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+x AS (SELECT doc_id, run, MIN(i) AS lo, MAX(i) + 99 AS hi FROM h GROUP BY doc_id, run),
+y AS (SELECT doc_id, COALESCE(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) + 1 AS a, lo - 1 AS z FROM x
+  UNION ALL SELECT doc_id, COALESCE(MAX(hi), 0) + 1, NULL FROM d LEFT JOIN x USING (doc_id) GROUP BY doc_id),
+k AS (SELECT doc_id, unhex(COALESCE(string_agg(hex(array_slice(b, a, COALESCE(z, octet_length(b)))), '' ORDER BY a), '')) AS kept FROM y JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, octet_length(b) AS n_bytes, COALESCE(removed, 0)::BIGINT AS n_removed, COALESCE(spans, 0) AS n_spans, sha256(kept) AS kept_sha256
+FROM d JOIN k USING (doc_id) LEFT JOIN (SELECT doc_id, SUM(hi - lo + 1) AS removed, COUNT(*) AS spans FROM x GROUP BY doc_id) USING (doc_id)
+"""
+
+#: The same for words, where only another document's windows count.
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, COALESCE(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+p AS (SELECT doc_id, w[i] AS word, i, CASE WHEN i + 49 <= len(w) THEN array_to_string(list_slice(w, i, i + 49), ' ') END AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+f AS (SELECT s, MIN(doc_id) AS first FROM p WHERE s IS NOT NULL GROUP BY s HAVING COUNT(*) > 1),
+c AS (SELECT doc_id, i, word, MAX(CASE WHEN doc_id > first THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM p LEFT JOIN f USING (s)),
+k AS (SELECT doc_id, SUM(gone)::BIGINT AS n_removed, COALESCE(string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0), '') AS kept FROM c GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, COALESCE(n_removed, 0) AS n_removed, sha256(COALESCE(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,24 +18,56 @@ from .common import materialize
 _KEY = ("label", "dim", "block", "cell", "kind", "ti", "tj")
 
 
-def by_tile(batches: Iterator, columns: tuple[str, ...]) -> Iterator[tuple[tuple, list]]:
-    """Sorted rows -> (tile key, its columns); a tile's rows are gathered and forgotten."""
-    last, parts = None, []
+def by_tile(batches: Iterator, columns: tuple[str, ...], small: int = 0) -> Iterator[tuple]:
+    """Rows sorted by ``_KEY`` -> (key, the tile's columns as lists) of every tile of two rows or more.
+
+    With ``small`` the whole cells of at most so many rows that lie inside a batch come together instead, as
+    (None, (batch, starts, sizes)): most cells hold a few rows, and are dealt with by vector operations."""
+    last, held = None, [[] for _ in columns]
     for b in batches:
-        if not b.num_rows:
+        n = b.num_rows
+        if not n:
             continue
-        keys = [b.column(c).to_pylist() for c in _KEY]
-        edges = [0, *[i for i in range(1, b.num_rows) if any(k[i] != k[i - 1] for k in keys)], b.num_rows]
+        new = np.zeros(n, bool)
+        for c in _KEY:
+            k = b.column(c)
+            k = (k.dictionary_encode().indices if c == "cell" else k).to_numpy(zero_copy_only=False)
+            new[1:] |= k[1:] != k[:-1]
+        starts = np.concatenate(([0], np.flatnonzero(new)))
+        sizes = np.diff(np.append(starts, n))
+        inside = np.ones(len(starts), bool)
+        inside[0] = inside[-1] = False
+        little = inside & (sizes >= 2) & (sizes <= small) & (b.column("kind").to_numpy(zero_copy_only=False)[starts] == 0)
+        if little.any():
+            yield None, (b, starts[little], sizes[little])
+        rest = np.flatnonzero((sizes >= 2) & ~little | ~inside)
+        key_of = [b.column(c) for c in _KEY]
         cols = [b.column(c) for c in columns]
-        for i, j in zip(edges, edges[1:], strict=False):
-            key = tuple(k[i] for k in keys)
+        for t in rest.tolist():
+            a, size = int(starts[t]), int(sizes[t])
+            key = tuple(c[a].as_py() for c in key_of)
+            own = [c.slice(a, size).to_pylist() for c in cols]
+            if inside[t]:
+                yield key, own
+                continue
             if key != last:
-                if parts:
-                    yield last, [[v for p in parts for v in p[c]] for c in range(len(columns))]
-                last, parts = key, []
-            parts.append([c.slice(i, j - i).to_pylist() for c in cols])
-    if parts:
-        yield last, [[v for p in parts for v in p[c]] for c in range(len(columns))]
+                if len(held[0]) > 1:
+                    yield last, held
+                last, held = key, [[] for _ in columns]
+            for h, o in zip(held, own, strict=True):
+                h.extend(o)
+    if len(held[0]) > 1:
+        yield last, held
+
+
+def small_pairs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, i, j): the rows of small tiles, and all pairs within a tile as places in ``rows``, j before i."""
+    first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+    rows = np.repeat(starts, sizes) + place
+    i = np.repeat(np.arange(len(rows)), place)
+    back = np.arange(len(i)) - np.repeat(np.cumsum(place) - place, place)
+    return rows, i, i - 1 - back
 
 
 def within(key: tuple) -> bool:
