@@ -45,8 +45,8 @@ WIDE_SHINGLE = 5
 SIMILARITY = 0.8
 WIDE_BITS = 16
 WIDE_SEGMENTS = 64 * WIDE // WIDE_BITS
-#: Orders of the bits; whole fingerprints travel, so one is shuffled at a time, which bounds the disk.
-ORDERS = 6
+#: Orders of the bits; whole fingerprints travel, so two are shuffled at a time, which bounds the disk.
+PASSES = ((0, 1), (2, 3), (4, 5))
 #: Most differing bits of a candidate.  At a similarity of 0.8 78 +- 8 bits differ, of sets of four
 #: and five shingles 96 +- 9.
 FAR = 112
@@ -184,7 +184,7 @@ _PLACE = "label long, dim int, block int, cell binary, role int, cid long"
 
 
 @frugal
-def _buckets(batches: Iterator, order: int, counts: bool) -> Iterator:
+def _buckets(batches: Iterator, orders: tuple[int, ...], counts: bool) -> Iterator:
     """A row of (node, grp, size, fp) -> one row for each segment; with ``counts`` only the bucket."""
     import pyarrow as pa
 
@@ -193,10 +193,12 @@ def _buckets(batches: Iterator, order: int, counts: bool) -> Iterator:
             continue
         n = b.num_rows
         fp = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(n, 8 * WIDE)
-        segments = _turned(np.unpackbits(fp, axis=1), order)
-        for s in range(WIDE_SEGMENTS):
+        bits = np.unpackbits(fp, axis=1)
+        segments = np.concatenate([_turned(bits, o) for o in orders], axis=1)
+        for s in range(segments.shape[1]):
             cell = pa.array(np.ascontiguousarray(segments[:, s]).view("V2").tolist(), pa.binary())
-            cols = [pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, s, np.int32)), cell, pa.array(np.zeros(n, np.int32)), b.column(0)]
+            block = orders[s // WIDE_SEGMENTS] * WIDE_SEGMENTS + s % WIDE_SEGMENTS
+            cols = [pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, block, np.int32)), cell, pa.array(np.zeros(n, np.int32)), b.column(0)]
             names = ["label", "dim", "block", "cell", "role", "cid"]
             yield pa.RecordBatch.from_arrays(cols if counts else [*cols, *b.columns[1:]], names if counts else [*names, "grp", "size", "fp"])
 
@@ -259,8 +261,9 @@ def _with_candidate(batches: Iterator, similarity: float) -> Iterator:
             yield pa.RecordBatch.from_arrays(cols, ["label", "dim", "block", "cell", "role", "cid"])
 
 
-def _first_met(x: np.ndarray, i: np.ndarray, j: np.ndarray, order: int, segment: int) -> np.ndarray:
-    """Whether pairs (i, j) share no earlier bucket than this order's ``segment``."""
+def _first_met(x: np.ndarray, i: np.ndarray, j: np.ndarray, block: int) -> np.ndarray:
+    """Whether pairs (i, j) share no earlier bucket than this segment of this order."""
+    order, segment = divmod(block, WIDE_SEGMENTS)
     bits = np.unpackbits((x[i] ^ x[j]).view(np.uint8).reshape(len(i), -1), axis=1)
     new = ~(_turned(bits, order)[:, :segment] == 0).any(1)
     for o in range(order):
@@ -269,7 +272,7 @@ def _first_met(x: np.ndarray, i: np.ndarray, j: np.ndarray, order: int, segment:
 
 
 @frugal
-def _linked(batches: Iterator, order: int, similarity: float) -> Iterator:
+def _linked(batches: Iterator, similarity: float) -> Iterator:
     """Sorted tiles of texts with their shingle sets -> links (a, b), a < b, that span each linked part of a tile."""
     import pyarrow as pa
 
@@ -293,7 +296,7 @@ def _linked(batches: Iterator, order: int, similarity: float) -> Iterator:
             by_distance = np.argsort(far[p, q], kind="stable")
             for s in range(0, len(p), 4096):
                 i, j = a[p[by_distance[s : s + 4096]]], b[q[by_distance[s : s + 4096]]]
-                new = _first_met(x, i, j, order, key[2])
+                new = _first_met(x, i, j, key[2])
                 for u, v in zip(i[new].tolist(), j[new].tolist(), strict=True):
                     g, h = top(int(group[u])), top(int(group[v]))
                     if g != h:
@@ -317,13 +320,13 @@ def _shingle_sets(batches: Iterator, n: int) -> Iterator:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "hashes"])
 
 
-def similar_links(nodes: DataFrame, heads: DataFrame, docs: DataFrame, key: str, text: str, order: int, similarity: float, n: int) -> DataFrame:
-    """Links (a, b), a < b, between groups of ``nodes`` (node, grp, size, fp) found under one order of the bits.
+def similar_links(nodes: DataFrame, heads: DataFrame, docs: DataFrame, key: str, text: str, orders: tuple[int, ...], similarity: float, n: int) -> DataFrame:
+    """Links (a, b), a < b, between groups of ``nodes`` (node, grp, size, fp) found under some orders of the bits.
 
-    They join every two groups that a pair of similar texts proposed by this order, and no earlier one, joins."""
+    They join every two groups that a pair of similar texts proposed by these orders, and no earlier one, joins."""
     own = nodes.where("size > 0").select("node", "grp", "size", "fp")
-    load = load_of(own.mapInArrow(partial(_buckets, order=order, counts=True), _PLACE))
-    rows = own.mapInArrow(partial(_buckets, order=order, counts=False), f"{_PLACE}, grp long, size long, fp binary")
+    load = load_of(own.mapInArrow(partial(_buckets, orders=orders, counts=True), _PLACE))
+    rows = own.mapInArrow(partial(_buckets, orders=orders, counts=False), f"{_PLACE}, grp long, size long, fp binary")
     near = dealt(rows, load, NEAR_TILE, NEAR_TILE).mapInArrow(partial(_with_candidate, similarity=similarity), _PLACE)
     near = materialize(near.distinct(), "candidates")
     ends = near.select(F.col("cid").alias("node")).distinct()
@@ -332,7 +335,7 @@ def similar_links(nodes: DataFrame, heads: DataFrame, docs: DataFrame, key: str,
     texts = d.join(rep, F.expr("k <=> rep_key AND h = rep_hash")).select("node", "x").dropDuplicates(["node"])
     sets = materialize(texts.mapInArrow(partial(_shingle_sets, n=n), "node long, hashes binary"), "sets")
     whole = near.join(own.withColumnRenamed("node", "cid"), "cid").join(sets.withColumnRenamed("node", "cid"), "cid")
-    out = materialize(dealt(whole, load_of(near), TILE, TILE).mapInArrow(partial(_linked, order=order, similarity=similarity), "a long, b long").distinct(), "links")
+    out = materialize(dealt(whole, load_of(near), TILE, TILE).mapInArrow(partial(_linked, similarity=similarity), "a long, b long").distinct(), "links")
     release(near, sets)
     return out
 
@@ -340,15 +343,15 @@ def similar_links(nodes: DataFrame, heads: DataFrame, docs: DataFrame, key: str,
 def _groups(docs: DataFrame, key: str, text: str, n: int, similarity: float) -> DataFrame:
     """(key, __hash of the text, root, component_id) of every row; ``root`` tells groups apart.
 
-    Texts of equal lower-cased words are one node, so copies cost one row.  Groups found under the first
-    order spare comparisons under the others."""
+    Texts of equal lower-cased words are one node, so copies cost one row.  Groups found in the first
+    pass spare comparisons in the others."""
     marked = materialize(_wide(docs, key, text, n), "wide")
     rep = F.min(F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("k"), F.col("hash").alias("h"))).alias("rep")
     heads = materialize(marked.groupBy("node").agg(F.min("key").alias("head"), rep, F.first("size").alias("size"), F.first("fp").alias("fp")), "wide_heads")
-    first = similar_links(heads.withColumn("grp", F.col("node")), heads, docs, key, text, 0, similarity, n)
+    first = similar_links(heads.withColumn("grp", F.col("node")), heads, docs, key, text, PASSES[0], similarity, n)
     begun = connected_components(first).select("node", F.col("component").alias("found"))
     grouped = materialize(heads.select("node", "size", "fp").join(begun, "node", "left").withColumn("grp", F.coalesce("found", "node")).drop("found"), "grouped")
-    links = [similar_links(grouped, heads, docs, key, text, order, similarity, n) for order in range(1, ORDERS)]
+    links = [similar_links(grouped, heads, docs, key, text, orders, similarity, n) for orders in PASSES[1:]]
     star = grouped.where("grp <> node").select(F.col("grp").alias("a"), F.col("node").alias("b"))
     roots = connected_components(reduce(DataFrame.unionAll, links, star))
     joined = heads.select(F.col("node").alias("fp"), "head").join(roots, F.col("fp") == F.col("node"), "left")
