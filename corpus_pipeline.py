@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next stage's ``docs``.  All but the last keep the columns of ``documents``.
+
+Nulls and odd input, stage by stage: a null or empty text has no toxic word and stays; of all texts
+without words one stays; a null text loses no string; a null source is a source of its own, a document
+without words has size 0; a null text has no tokens.  Rows with a null doc_id take part, told apart by
+their texts.  Repeated rows are one document: the near-duplicate stage keeps one.  Extra columns,
+whatever their names, pass through to the last stage.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,7 +51,7 @@ STAGES = [
     ("bpe", tokens),
 ]
 
-#: The toxicity model, SimHash and BPE have no SQL form; tests hold the run against brute force.
+#: The toxicity model, SimHash and BPE have no SQL form; tests/llm/test_pipeline.py holds the run against plain Python.
 ORACLE_SQL = None
 
 

@@ -220,6 +220,12 @@ def _uniform(h: np.ndarray, salt: int) -> np.ndarray:
     return (x >> np.uint64(11)).astype(float) / 2.0**53
 
 
+def pair_free(coefficients: DataFrame, baseline: str) -> DataFrame:
+    """Coefficients of each round measured from the baseline's, which the data leave open."""
+    base = coefficients.where(F.col("name") == baseline).select("round", F.col("coefficient").alias("b"))
+    return coefficients.where(F.col("name") != baseline).join(F.broadcast(base), "round").select("round", "name", (F.col("coefficient") - F.col("b")).alias("coefficient"))
+
+
 def pair_win_rates(coefficients: DataFrame, baseline: str, features: list[str] = ()) -> DataFrame:
     """(model, win_rate, lower, upper): the median and the 5 % and 95 % points over the rounds of exp(c) / (exp(c) + exp(base))."""
     c = coefficients.where(~F.col("name").isin(*features, "tie_margin"))
