@@ -27,7 +27,8 @@ def test_durations(spark):
 
 
 def test_scrub_and_redact(spark):
-    assert one(spark, "Accuracy 91.5% on Test Score", T.scrub) == "[score] [n] on [redacted]"
+    assert one(spark, "Accuracy 91.5% is Much Better, test_acc 3 précisacc 2x", T.scrub) == "[score] [n] is [redacted], [score] [n] précisacc 2x"
+    assert one(spark, None, T.short_field) == "" and one(spark, "  a\n b % c ", T.short_field) == "a b c"
     assert one(spark, "k sk-live-abcd1 x", lambda c: T.redact(c, "sk-live-abcdefgh")) == "k [REDACTED] x"
 
 
@@ -45,7 +46,7 @@ def test_repetitions_are_a_fixpoint():
     x = "ab" * 50 + "\n" + "same\n" * 20 + "end"
     once = T._limit(x)
     assert T._limit(once) == once
-    assert once.count("ab") == 5 and once.count("same") == 5
+    assert once.count("abab") == 5 and once.count("same") == 5
 
 
 def test_call_literals():
