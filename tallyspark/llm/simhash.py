@@ -45,8 +45,8 @@ WIDE_SHINGLE = 5
 SIMILARITY = 0.8
 WIDE_BITS = 16
 WIDE_SEGMENTS = 64 * WIDE // WIDE_BITS
-#: Orders of the bits; whole fingerprints travel, so two are shuffled at a time, which bounds the disk.
-PASSES = ((0, 1), (2, 3), (4, 5))
+#: Orders of the bits; whole fingerprints travel, so one is shuffled at a time, which bounds the disk.
+PASSES = ((0,), (1,), (2,), (3,), (4,), (5,))
 #: Most differing bits of a candidate.  At a similarity of 0.8 78 +- 8 bits differ, of sets of four
 #: and five shingles 96 +- 9.
 FAR = 112
