@@ -16,9 +16,9 @@ negatives are unlabelled text like any other.
 Nulls and odd input: a null or empty text has no words and gets the score of the bias alone; a null
 doc_id is never trained on and is not held out; without any positive training row all scores are 0;
 equal texts get equal scores, repeated rows each their own; a key labelled twice is toxic if one label
-is; a very long text is one set of words; the sample goes by a hash of the key, ties by the key; other
-columns, whatever their names, are not read, or pass through ``clean``; an empty table gives an empty
-result.
+is; a very long text is one set of words; the sample goes by a hash of the key, ties by the key, and so
+does which of its near copies stays, so partitions do not matter; other columns, whatever their names,
+are not read, or pass through ``clean``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -61,25 +61,36 @@ def words(text: str | None) -> set[str]:
     return set(_WORDS.findall((text or "").lower()))
 
 
+def _chosen(counts: Iterable[tuple[str, int, int]], p: int, u: int, prior: float) -> dict[str, float]:
+    """The features, best first, with their lift, from (word, positives, unlabelled documents that hold it)."""
+    lift, sure = {}, {}
+    for w, in_p, in_u in counts:
+        expected = p * (in_u + 1) / (u + 1)
+        # A feature is a word well above chance among the positives that mostly means a positive.
+        z = (in_p - expected) / (expected + 0.5) ** 0.5
+        if in_p >= _least(p) and prior * in_p / expected >= 0.3 and z >= _sure(p):
+            lift[w], sure[w] = in_p / expected, z
+    return {w: lift[w] for w in sorted(lift, key=lambda w: (-sure[w], w))[:MOST_FEATURES]}
+
+
 def fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float, rounds: int = 200, rate: float = 0.5, decay: float = 1e-4) -> Model:
     """Fit by full-batch gradient steps on the nnPU risk to documents' sets of words; deterministic."""
-    if not positive or not unlabelled:
-        return Model({}, -60.0, prior)
-    p, u = positive, unlabelled
-    in_p, in_u = Counter(w for d in p for w in d), Counter(w for d in u for w in d)
-    expected = {w: len(p) * (in_u[w] + 1) / (len(u) + 1) for w in in_p}
-    lift = {w: n / expected[w] for w, n in in_p.items() if n >= _least(len(p))}
-    # A feature is a word well above chance among the positives that mostly means a positive.
-    sure = {w: (in_p[w] - expected[w]) / (expected[w] + 0.5) ** 0.5 for w in lift if prior * lift[w] >= 0.3}
-    names = sorted((w for w, z in sure.items() if z >= max(4, len(p) ** 0.5 / 4)), key=lambda w: (-sure[w], w))[:MOST_FEATURES]
-    if not names:
+    in_p, in_u = Counter(w for d in positive for w in d), Counter(w for d in unlabelled for w in d)
+    lift = _chosen(((w, n, in_u[w]) for w, n in in_p.items()), len(positive), len(unlabelled), prior)
+    at = {w: i for i, w in enumerate(lift)}
+    return _descend(lift, *([[at[w] for w in d if w in at] for d in docs] for docs in (positive, unlabelled)), prior, rounds, rate, decay)
+
+
+def _descend(lift: dict[str, float], p: list[list[int]], u: list[list[int]], prior: float, rounds: int = 200, rate: float = 0.5, decay: float = 1e-4) -> Model:
+    """The model over the features ``lift`` from the places in it that each positive and each unlabelled document holds."""
+    if not lift or not p or not u:
         return Model({}, -60.0, prior)
-    at = {w: i for i, w in enumerate(names)}
+    names = list(lift)
 
-    def matrix(docs: list[set[str]]) -> np.ndarray:
+    def matrix(docs: list[list[int]]) -> np.ndarray:
         x = np.zeros((len(docs), len(names)), np.float32)
         for i, d in enumerate(docs):
-            x[i, [at[w] for w in d if w in at]] = 1
+            x[i, d] = 1
         return x
 
     xp, xu = matrix(p), matrix(u)
@@ -111,14 +122,19 @@ def _least(n: int) -> int:
     return max(3, n // 100)
 
 
+def _sure(n: int) -> float:
+    """Standard deviations above chance at which a word of ``n`` positives can be a feature."""
+    return max(4, n**0.5 / 4)
+
+
 def _marks(found: list[str]) -> list[int]:
     """Eight minimum hashes of a document's long words (of all if it has none)."""
     long = [w.encode() for w in found if len(w) >= 6] or [w.encode() for w in found]
     return [min((zlib.crc32(w, k * 7919) * 2654435761 % 4294967291 for w in long), default=-1) for k in range(8)]
 
 
-def _distinct(docs: list[tuple[set[str], list[int]]]) -> list[set[str]]:
-    """Without near copies: a document goes if two of its eight marks were seen."""
+def _distinct(docs: Iterable[tuple[int, list[int]]]) -> list[int]:
+    """The ids of (id, marks) without near copies: a document goes if two of its eight marks were seen."""
     seen: set[tuple[int, int]] = set()
     out = []
     for d, marks in docs:
@@ -146,7 +162,7 @@ def _cut(model: Model, positive: np.ndarray, unlabelled: np.ndarray) -> Model:
 
 
 def _sample(rows: DataFrame) -> DataFrame:
-    """Rows of (text, kind) as (kind, words, marks): the set of words and eight minimum hashes of it."""
+    """Rows of (text, kind, i) as (kind, i, words, marks): the set of words and eight minimum hashes of it."""
 
     @frugal
     def run(batches: Iterator) -> Iterator:
@@ -154,17 +170,18 @@ def _sample(rows: DataFrame) -> DataFrame:
 
         for b in batches:
             sets = [sorted(words(x.as_py())) for x in b.column(0)]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(sets, pa.list_(pa.string())), pa.array([_marks(x) for x in sets], pa.list_(pa.int64()))], ["kind", "words", "marks"])
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(sets, pa.list_(pa.string())), pa.array([_marks(x) for x in sets], pa.list_(pa.int64()))], ["kind", "i", "words", "marks"])
 
-    return rows.mapInArrow(run, "kind int, words array<string>, marks array<long>")
+    return rows.mapInArrow(run, "kind int, i long, words array<string>, marks array<long>")
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
           positives: int = MOST_POSITIVES, unlabelled: int = MOST_UNLABELLED) -> Model:
     """Sample, by hash order of the key, at most so many keys of each kind (one row each), and fit.
 
-    The executors turn whole texts into sets of words and count them; the driver gets, for each document
-    of the sample, only those words that enough positives hold to be a feature."""
+    The executors turn whole texts into sets of words, count them and rank the features; the driver gets
+    the marks of the positives, the counts of ``MOST_FEATURES`` words and the places of a document's features,
+    never its words, so its memory does not grow with the texts."""
     bounded_batches(docs.sparkSession)
     order = [F.xxhash64(F.col("k").cast("string")), F.col("k")]
     d = docs.select(F.col(key).alias("k"), F.col(text).alias("x")).where("k IS NOT NULL AND x IS NOT NULL").where(~held_out(F.col("k")))
@@ -175,20 +192,29 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     ids_u = take(d.select("k").join(y.where("y = 1").select("k"), "k", "left_anti"), unlabelled)
     ids = ids_p.withColumn("kind", F.lit(1)).unionAll(ids_u.withColumn("kind", F.lit(0)))
     rows = d.join(F.broadcast(ids), "k").groupBy("k", "kind").agg(F.min_by("x", F.xxhash64("x")).alias("x"))
-    sample = materialize(_sample(rows.select("x", "kind")), "toxic_sample")
+    sample = materialize(_sample(rows.select("x", "kind", order[0].alias("i"))), "toxic_sample")
     share = y.agg(F.avg("y").alias("p")).first()["p"] or 0.0
-    counts = sample.where("kind = 1").select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= _least(0))
-    features = materialize(counts.select("w"), "toxic_words")
-    pairs = sample.withColumn("i", F.monotonically_increasing_id())
-    held = pairs.select("i", F.explode("words").alias("w")).join(features, "w").groupBy("i").agg(F.collect_list("w").alias("words"))
-    same: dict[str, str] = {}
-    pos: list[tuple[set[str], list[int]]] = []
-    unl: list[set[str]] = []
-    for r in pairs.select("i", "kind", "marks").join(held, "i", "left").orderBy("i").collect():
-        own = {same.setdefault(w, w) for w in r["words"] or ()}
-        pos.append((own, r["marks"])) if r["kind"] else unl.append(own)
-    release(y, sample, features)
-    return fit(_distinct(pos), unl, min(max(share, 0.01), 0.5))
+    prior = min(max(share, 0.01), 0.5)
+    pos = _distinct(tuple(r) for r in sample.where("kind = 1").select("i", "marks").orderBy("i").collect())
+    unl = [r["i"] for r in sample.where("kind = 0").select("i").orderBy("i").collect()]
+    if not pos or not unl:
+        release(y, sample)
+        return Model({}, -60.0, prior)
+    taken = sample.where((F.col("kind") == 0) | F.col("i").isin(pos)).select("i", "kind", F.explode("words").alias("w"))
+    counts = taken.groupBy("w").agg(F.count_if(F.col("kind") == 1).alias("in_p"), F.count_if(F.col("kind") == 0).alias("in_u"))
+    expected = F.lit(float(len(pos))) * (F.col("in_u") + 1) / (len(unl) + 1)
+    counts = counts.where(F.col("in_p") >= _least(len(pos))).withColumn("expected", expected)
+    counts = counts.withColumn("sure", (F.col("in_p") - F.col("expected")) / F.sqrt(F.col("expected") + 0.5))
+    counts = counts.where((F.lit(prior) * F.col("in_p") / F.col("expected") >= 0.3) & (F.col("sure") >= _sure(len(pos))))
+    best = counts.orderBy(F.desc("sure"), "w").limit(MOST_FEATURES).select("w", "in_p", "in_u").collect()
+    lift = _chosen(best, len(pos), len(unl), prior)
+    held: dict[int, list[int]] = {}
+    if lift:
+        place = F.array_position(F.array(*map(F.lit, lift)), F.col("w")) - 1
+        found = taken.where(F.col("w").isin(list(lift))).groupBy("i").agg(F.collect_list(place).alias("places"))
+        held = {r["i"]: r["places"] for r in found.collect()}
+    release(y, sample)
+    return _descend(lift, [held.get(i, []) for i in pos], [held.get(i, []) for i in unl], prior)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -461,6 +462,31 @@ def test_toxicity_learns_from_whole_texts(spark):
     assert {r["doc_id"] for r in toxicity.score(docs, model).collect() if r["score"] >= 0.5} == {i for i in range(200) if i % 4 < 2}
 
 
+def test_toxicity_brings_no_words_to_the_driver(spark, monkeypatch):
+    g = random.Random(4)
+    common = ["".join(g.choice("abcdefgh") for _ in range(5)) for _ in range(80)]
+    rows = [(i, " ".join(common + ["".join(g.choice("abcdefgh") for _ in range(12)) for _ in range(40)] + ["idiot"] * (i % 4 < 2))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 4 < 2)) for i in range(0, 400, 2)], "doc_id long, toxic int")
+    cells, whole = [], type(docs).collect
+
+    def size(x):
+        return sum(map(size, x)) if isinstance(x, (list, tuple)) else 1
+
+    def collect(df):
+        out = whole(df)
+        cells.append(max((size(tuple(r)) for r in out), default=0) * len(out))
+        return out
+
+    monkeypatch.setattr(type(docs), "collect", collect)
+    model = toxicity.train(docs, labels)
+    assert model.weights.keys() == {"idiot"} and sum(cells) < 400 * 12
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    sets = [[toxicity.words(rows[i][1]) for i in held if (i % 4 == 0) == bad] for bad in (True, False)]
+    assert toxicity.fit(*sets, model.prior).weights == pytest.approx(model.weights)
+    assert toxicity.train(docs.repartition(5), labels) == model
+
+
 def test_similar_groups_meet_exact_links_near_the_threshold(spark):
     g = random.Random(31)
     rows, links = [], []
