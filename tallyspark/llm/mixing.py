@@ -12,7 +12,8 @@ aggregation over narrow rows (sizes and ranks, never texts).
 The prefix sum is two-level so that a source with a third of all rows never meets in one task: the
 order within a source goes by (salt, size, doc_id), the salt being three hexadecimal digits of a hash
 of doc_id; rows are ranked inside one (source, salt) cell, and a second sum sees a source's cells, at
-most 4,096 whatever the number of rows.
+most 4,096 whatever the number of rows.  Only the sizes and the sources' offsets are written: without
+its native library Hadoop forks a chmod from the executor for what it makes in a local folder.
 
 Nulls: a null source is a source of its own that sorts last; a null text has size 0; a null doc_id
 is a value like any other.  Rows that are equal are separate rows.  Ties of size and doc_id go by a
@@ -95,12 +96,12 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = TOTAL_SHARE, mo
     narrow = {"s": F.col(source), "k": F.col(key), "size": n_words(F.col(text)), "h": F.xxhash64(text), "salt": salt(F.col(key), F.col(text))}
     full = docs.select(F.struct(*names).alias("row"), *[c.alias(n) for n, c in narrow.items()])
     sizes = materialize(full.drop("row"), "sizes")
-    cells = materialize(sizes.groupBy("s", "salt").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")), "cells")
+    cells = sizes.groupBy("s", "salt").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
     goal = source_targets(cells.groupBy(F.col("s").alias("source")).agg(F.sum("words").alias("source_size")), weights, share, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     us = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda i: offset(F.col("source"), seed, i))
-    goal = materialize(goal.select(F.col("source").alias("g"), "source_size", "target", rate.alias("rate"), us.alias("us")), "goal")
-    starts = materialize(_starts(cells), "starts")
+    goal = goal.select(F.col("source").alias("g"), "source_size", "target", rate.alias("rate"), us.alias("us"))
+    starts = _starts(cells)
 
     def ranked(d: DataFrame, of: DataFrame) -> DataFrame:
         w = Window.partitionBy("s", "salt").orderBy("size", "k", "h")

@@ -91,6 +91,12 @@ def brute_words(rows, w=50):
     return out
 
 
+def test_mixing_writes_two_tables(docs, monkeypatch):
+    written, write = [], mixing.materialize
+    monkeypatch.setattr(mixing, "materialize", lambda df, label: (written.append(label), write(df, label))[1])
+    assert mixing.mix_sources(docs).count() == len(ROWS) and written == ["sizes", "offsets"]
+
+
 def test_repeated_bytes(docs):
     assert by_key(substring_dedup.dedup_bytes(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_bytes([r[:2] for r in ROWS])
 
