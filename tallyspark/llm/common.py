@@ -136,6 +136,12 @@ def slices(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
     return out
 
 
+def unbroadcast(df: DataFrame) -> DataFrame:
+    """``df`` for a join that must not broadcast it: Spark goes by the bytes of compressed files, and a table that
+    grows with the input takes many times those on the driver."""
+    return df.hint("merge")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable, for every node that an edge names.
 
@@ -154,11 +160,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while seen[0]:
         sym = e.select("a", "b").unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = sym.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = sym.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = sym.join(unbroadcast(low), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = large.where("a <> b")
         large_m = materialize(large, "large")
         low = large_m.groupBy("a").agg(F.min("b").alias("m"))
-        small = large_m.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large_m.join(unbroadcast(low), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         new = materialize(small.unionAll(low.select("a", F.col("m").alias("b"))).distinct(), "small")
         release(large_m, e)
         e, last, seen = new, seen, stamp(new)

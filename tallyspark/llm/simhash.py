@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, connected_components, frugal, materialize, release, splitmix, table
+from .common import bounded_batches, connected_components, frugal, materialize, release, splitmix, table, unbroadcast
 from .tiles import by_tile, dealt, load_of, small_pairs, within
 
 SHINGLE = 3
@@ -110,7 +110,7 @@ def near_fingerprints(fps: DataFrame, distance: int = DISTANCE, segments: int =
     masks = F.array(*[F.lit(m).cast("long") for m in _ball(bits, radius)])
     probe = fps.select(F.col("fp").alias("a"), F.explode(part).alias("p")).select(
         "a", "p.seg", F.explode(F.transform(masks, lambda m: F.col("p.part").bitwiseXOR(m))).alias("key"))
-    near = probe.join(index, ["seg", "key"]).where(F.expr(f"a < b AND bit_count(a ^ b) <= {distance}"))
+    near = probe.join(unbroadcast(index), ["seg", "key"]).where(F.expr(f"a < b AND bit_count(a ^ b) <= {distance}"))
     return near.select("a", "b").distinct()
 
 
@@ -120,10 +120,11 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     marked = materialize(fingerprints(docs, key, text, n, seed), "fingerprints")
     heads = materialize(marked.groupBy("fp").agg(F.min(key).alias("head")), "heads")
     roots = connected_components(near_fingerprints(heads.select("fp"), distance, segments))
-    joined = heads.join(roots, heads["fp"] == roots["node"], "left").select("fp", "head", F.coalesce("component", "fp").alias("root"))
+    joined = heads.join(unbroadcast(roots), heads["fp"] == roots["node"], "left").select("fp", "head", F.coalesce("component", "fp").alias("root"))
     joined = materialize(joined, "roots")
     least = joined.groupBy("root").agg(F.min("head").alias("component_id"))
-    return marked.join(joined.join(least, "root").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
+    of = joined.join(unbroadcast(least), "root").select("fp", "component_id")
+    return marked.join(unbroadcast(of), "fp").select(key, "fp", "component_id")
 
 
 def _shingles(words: list[bytes], n: int) -> Iterator[bytes]:

@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tallyspark.llm import bpe, embedding_dedup, flac, licences, mixing, repeats, simhash, substring_dedup, toxicity, url_rules
+from tallyspark.llm import bpe, common, embedding_dedup, flac, licences, mixing, repeats, simhash, substring_dedup, toxicity, url_rules
 
 RND = random.Random(7)
 BASES = [" ".join(RND.choice(["alpha", "be", "cd", "gamma", "é", "zz"]) for _ in range(260)) for _ in range(3)]
@@ -136,6 +136,22 @@ def test_simhash_groups(docs):
     assert by_key(simhash.simhash_groups(docs), "component_id") == want
 
 
+def test_simhash_broadcasts_no_table_of_documents(docs, monkeypatch):
+    plans, write = [], common.materialize
+
+    def planned(df, label):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(common, "materialize", planned)
+    monkeypatch.setattr(simhash, "materialize", planned)
+    last = simhash.simhash_groups(docs)
+    plans.append(last._jdf.queryExecution().sparkPlan().toString())
+    chain = docs.sparkSession.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")
+    assert {r["component"] for r in common.connected_components(chain).collect()} == {0}
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 8 and not any("Broadcast" in p for p in plans)
+
+
 def test_fingerprints_bit_by_bit(docs):
     """Plain loops over shingles and bits; only the hash function is shared."""
     import xxhash
