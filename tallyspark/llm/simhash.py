@@ -9,9 +9,10 @@ the join's condition.  Documents meet by fingerprint before any join, so copies
 ``similar_groups`` takes a similarity instead of a few bits: 512-bit fingerprints of the distinct
 5-word shingles only propose candidates, texts that agree in one of the 32 segments of 16 bits under
 one of six orders of the bits and lie within a loose distance.  A first pass deals fingerprints to
-their segments' buckets and keeps only which texts have a candidate there; the shingle sets of those
-are then fetched to the buckets and compared exactly.  A pair is compared in the first bucket that it
-shares and never becomes a row; a bucket returns a spanning set of links.  Buckets are cut into tiles.
+their segments' buckets and keeps only which texts have a candidate there that they met in no earlier
+bucket; the shingle sets of those are then fetched to the buckets and compared exactly.  A pair is
+compared in the first bucket that it shares and never becomes a row; a bucket returns a spanning set of
+links.  Buckets are cut into tiles.
 
 Nulls and odd input: a null or blank text has fingerprint zero, linked like any other (without
 shingles it has no similar text); a null doc_id takes part, and a group without any doc_id has a null
@@ -23,7 +24,7 @@ whatever their names, are not read, or pass through ``keep_one``; an empty table
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial, reduce
+from functools import cache, partial, reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +57,8 @@ SMALL = 32
 NEAR_TILE, TILE = 8192, 256
 #: Buckets of at most so many texts are compared many at once.
 SMALL_TILE = 64
+#: Pairs whose earlier buckets are looked up at once.
+MET = 1 << 14
 
 
 def fingerprint(text: str | None, n: int = SHINGLE, seed: int = SEED) -> int:
@@ -172,6 +175,7 @@ def _wide(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
     return docs.select(key, text, F.xxhash64(text)).mapInArrow(run, f"key {dict(docs.dtypes)[key]}, hash long, node long, size long, fp binary")
 
 
+@cache
 def _order(order: int) -> np.ndarray:
     return np.random.default_rng(order).permutation(64 * WIDE)
 
@@ -225,9 +229,25 @@ def _pairs(side: np.ndarray, within_: bool, step: int = 256) -> Iterator[tuple[n
             yield home[s : s + step], guest, False
 
 
+def _earlier(x: np.ndarray, block: int) -> list[np.ndarray]:
+    """The segments of fingerprints that come before this segment of this order, an array for each order."""
+    order, segment = divmod(block, WIDE_SEGMENTS)
+    bits = np.unpackbits(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1), axis=1)
+    return [_turned(bits, o) for o in range(order)] + [_turned(bits, order)[:, :segment]]
+
+
+def _first_met(earlier: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether pairs (i, j) share no earlier bucket."""
+    new = np.ones(len(i), bool)
+    for segments in earlier:
+        at = np.flatnonzero(new)
+        new[at] = ~(segments[i[at]] == segments[j[at]]).any(1)
+    return new
+
+
 @frugal
 def _with_candidate(batches: Iterator, similarity: float) -> Iterator:
-    """Rows of sorted tiles that have a candidate there."""
+    """Rows of sorted tiles that have a candidate there and share no earlier bucket with it."""
     import pyarrow as pa
 
     for key, tile in by_tile(batches, ("side", "cid", "grp", "size", "fp"), SMALL_TILE):
@@ -243,35 +263,42 @@ def _with_candidate(batches: Iterator, similarity: float) -> Iterator:
             most = np.maximum(size[i], size[j])
             near = (group[i] != group[j]) & (np.minimum(size[i], size[j]) >= similarity * most) & (far <= np.where(most < SMALL, FAR_SMALL, FAR))
             found = np.zeros(len(rows), bool)
-            found[i[near]] = found[j[near]] = True
+            i, j = i[near], j[near]
+            block = b.column("block").to_numpy(zero_copy_only=False)
+            for k in np.unique(block[i]).tolist():
+                here = np.flatnonzero(block[i] == k)
+                own, place = np.unique(np.concatenate([i[here], j[here]]), return_inverse=True)
+                earlier, u, v = _earlier(x[own], k), place[: len(here)], place[len(here) :]
+                for s in range(0, len(here), MET):
+                    new = here[s : s + MET][_first_met(earlier, u[s : s + MET], v[s : s + MET])]
+                    found[i[new]] = found[j[new]] = True
             if found.any():
                 yield b.filter(pa.array(found)).select(["label", "dim", "block", "cell", "role", "cid"])
             continue
         side, cid, group, size, fp = tile
         side, cid, group, size = (np.array(c) for c in (side, cid, group, size))
         x = np.frombuffer(b"".join(fp), np.uint64).reshape(len(cid), WIDE)
-        found = np.zeros(len(cid), bool)
+        found, earlier = np.zeros(len(cid), bool), None
         for a, b, own in _pairs(side, within(key)):
             near = _candidates(a, b, group, size, x, similarity)[0]
             if own:
                 near &= np.arange(len(b))[None, :] > np.arange(len(a))[:, None]
-            found[a[near.any(1)]] = found[b[near.any(0)]] = True
+            near &= ~(found[a][:, None] & found[b][None, :])
+            p, q = np.nonzero(near)
+            if len(p) and earlier is None:
+                earlier = _earlier(x, key[2])
+            for s in range(0, len(p), MET):
+                i, j = a[p[s : s + MET]], b[q[s : s + MET]]
+                undecided = ~(found[i] & found[j])
+                i, j = i[undecided], j[undecided]
+                new = _first_met(earlier, i, j)
+                found[i[new]] = found[j[new]] = True
         if found.any():
             n = int(found.sum())
             cols = [pa.array([key[0]] * n, pa.int64()), pa.array([key[1]] * n, pa.int32()), pa.array([key[2]] * n, pa.int32()), pa.array([key[3]] * n, pa.binary()), pa.array(np.zeros(n, np.int32)), pa.array(cid[found])]
             yield pa.RecordBatch.from_arrays(cols, ["label", "dim", "block", "cell", "role", "cid"])
 
 
-def _first_met(x: np.ndarray, i: np.ndarray, j: np.ndarray, block: int) -> np.ndarray:
-    """Whether pairs (i, j) share no earlier bucket than this segment of this order."""
-    order, segment = divmod(block, WIDE_SEGMENTS)
-    bits = np.unpackbits((x[i] ^ x[j]).view(np.uint8).reshape(len(i), -1), axis=1)
-    new = ~(_turned(bits, order)[:, :segment] == 0).any(1)
-    for o in range(order):
-        new &= ~(_turned(bits, o) == 0).any(1)
-    return new
-
-
 @frugal
 def _linked(batches: Iterator, similarity: float) -> Iterator:
     """Sorted tiles of texts with their shingle sets -> links (a, b), a < b, that span each linked part of a tile."""
@@ -282,7 +309,7 @@ def _linked(batches: Iterator, similarity: float) -> Iterator:
         x = np.frombuffer(b"".join(fp), np.uint64).reshape(len(cid), WIDE)
         sets = [np.frombuffer(h, np.uint64) for h in hashes]
         root = {g: g for g in group.tolist()}
-        out = []
+        earlier, out = _earlier(x, key[2]), []
 
         def top(g: int) -> int:
             while root[g] != g:  # noqa: B023
@@ -297,7 +324,7 @@ def _linked(batches: Iterator, similarity: float) -> Iterator:
             by_distance = np.argsort(far[p, q], kind="stable")
             for s in range(0, len(p), 4096):
                 i, j = a[p[by_distance[s : s + 4096]]], b[q[by_distance[s : s + 4096]]]
-                new = _first_met(x, i, j, key[2])
+                new = _first_met(earlier, i, j)
                 for u, v in zip(i[new].tolist(), j[new].tolist(), strict=True):
                     g, h = top(int(group[u])), top(int(group[v]))
                     if g != h:

@@ -533,6 +533,46 @@ def test_candidates_compared_in_small_tiles(spark, monkeypatch):
     assert got == {0, 34, 35, 36}
 
 
+@pytest.mark.parametrize(("small", "tile"), [(64, 8192), (0, 16)])
+def test_candidates_go_only_to_the_bucket_of_their_first_meeting(spark, monkeypatch, small, tile):
+    """A crowd without links: every pair is sent to at most one bucket, however many it shares."""
+    got, write = [], common.materialize
+
+    def kept(df, label):
+        out = write(df, label)
+        if label == "candidates":
+            got.extend((r["block"], r["cell"], r["cid"]) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", kept)
+    monkeypatch.setattr(simhash, "SMALL_TILE", small)
+    monkeypatch.setattr(simhash, "NEAR_TILE", tile)
+    monkeypatch.setattr(simhash, "PASSES", simhash.PASSES[:3])
+    g = random.Random(34)
+    base, rows = [f"w{g.randrange(10**6)}" for _ in range(204)], []
+    for i in range(40):  # pairs share 175 or 150 of 200 shingles, a similarity of 0.78 or 0.6
+        rows.append((i, " ".join(base[:179] + [f"y{i}z{k}" for k in range(25)]) if i % 2 else " ".join([f"y{i}z{k}" for k in range(25)] + base[25:])))
+    rows += [(90, " ".join(base[:60])), (91, " ".join(base[:58]))]  # one link, of nearly equal fingerprints
+    near = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    linked = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    comp = components(92, linked)
+    assert {r["doc_id"]: r["component_id"] for r in near} == {i: comp[i] for i in sets}
+    marks = [simhash.wide_fingerprint(t) for _, t in rows]
+    x = np.array([m[2] for m in marks], np.int64).view(np.uint64)
+    bits = np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1)
+    cells = np.concatenate([np.ascontiguousarray(np.packbits(bits[:, np.random.default_rng(o).permutation(512)], axis=1)).view(np.uint16) for o in range(3)], axis=1)
+    want = set()
+    for a in range(len(rows)):
+        for b in range(a):
+            n, m = sorted((marks[a][1], marks[b][1]))
+            shared = np.flatnonzero(cells[a] == cells[b])
+            if n >= 0.8 * m and np.bitwise_count(x[a] ^ x[b]).sum() <= 112 and len(shared):
+                assert comp[rows[a][0]] != comp[rows[b][0]] or shared[0] < 32
+                want |= {(int(shared[0]), cells[c][shared[0]].tobytes(), marks[c][0]) for c in (a, b)}
+    assert len(want) > 100 and sorted((k, bytes(c), n) for k, c, n in got) == sorted(want)
+
+
 def test_keep_one_of_each_group_whatever_the_keys(spark):
     g = random.Random(33)
     a, b, c, d = (" ".join(f"w{g.randrange(10**6)}" for _ in range(80)) for _ in range(4))
