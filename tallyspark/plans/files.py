@@ -88,16 +88,19 @@ def jsonl_with_comments(t: Tables) -> DataFrame:
 
 
 def _answers(t: Tables) -> DataFrame:
-    """Answers of two models as JSONL files by model; the even one answers some questions twice, the later line counts."""
+    """Answers of two models as JSONL files by model; the even one answers some questions twice, the later line counts.
+
+    Executors write the files, all lines of a question to the same one; the driver only names them."""
     e = t("events").select("event_id", "value")
     first = e.select(F.col("event_id").alias("uid"), F.when(F.col("event_id") % 2 == 0, "even").otherwise("odd").alias("model"), "value", F.lit(0).alias("late"))
     again = e.select((F.col("event_id") - F.col("event_id") % 2).alias("uid"), F.lit("even").alias("model"), (F.col("value") + F.col("event_id")).alias("value"), (F.col("event_id") % 2 + 1).alias("late"))
     root = places.shared_folder(t.spark, "answers")
     rows = first.unionAll(again)
     for m in ("even", "odd"):
-        one = rows.where(F.col("model") == m).repartition(1).sortWithinPartitions("late", "uid").select(F.to_json(F.struct("uid", "value")).alias("value")).toLocalIterator()
-        places.put(t.spark, f"{root}/{m}.jsonl", "\n".join(r["value"] for r in one) + "\n")
-    return readers.jsonl_by_stem(t.spark, f"{root}/*.jsonl", "uid LONG, value DOUBLE", "uid")
+        rows.where(F.col("model") == m).repartition("uid").sortWithinPartitions("late", "uid").select(F.to_json(F.struct("uid", "value")).alias("value")).write.text(f"{root}/{m}")
+        for i, name in enumerate(n for n in places.names_in(t.spark, f"{root}/{m}") if n.endswith(".txt")):
+            places.rename(t.spark, f"{root}/{m}/{name}", f"{root}/part/{i}/{m}.jsonl")
+    return readers.jsonl_by_stem(t.spark, f"{root}/part/*/*.jsonl", "uid LONG, value DOUBLE", "uid")
 
 
 _LAST = """r AS (SELECT event_id AS uid, CASE WHEN event_id % 2 = 0 THEN 'even' ELSE 'odd' END AS model, value, 0 AS late FROM events UNION ALL SELECT event_id - event_id % 2, 'even', value + event_id, event_id % 2 + 1 FROM events),

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .places import exists, files_below, name_of, names_in, parent, text_lines
+from .places import exists, files_below, name_of, names_in, parent, placed_lines, text_lines
 
 MESSAGES = "messages ARRAY<STRUCT<role: STRING, content: STRING>>"
 
@@ -86,10 +86,14 @@ def jsonl_commented(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def jsonl_by_stem(spark: SparkSession, pattern: str, schema: str, key: str) -> DataFrame:
-    """A glob of JSONL files with the file's stem as ``model``; the last line of a key wins."""
-    d = text_lines(spark, pattern).select(F.regexp_extract(F.col("file"), r"([^/]*)\.jsonl$", 1).alias("model"), "line_no", F.from_json("value", schema).alias("r")).select("model", "line_no", "r.*")
-    w = Window.partitionBy("model", key).orderBy(F.col("line_no").desc())
-    return d.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "line_no")
+    """A glob of JSONL files with the file's stem as ``model``; the last line of a key wins.
+
+    Files of one stem in several folders are one list, in the order of their paths.  Lines are ordered by
+    their places, not numbered, so no file's lines are brought together."""
+    place = F.struct("file", "block", "id").alias("__at")
+    d = placed_lines(spark, pattern).select(F.regexp_extract(F.col("file"), r"([^/]*)\.jsonl$", 1).alias("model"), place, F.from_json("value", schema).alias("r")).select("model", "__at", "r.*")
+    w = Window.partitionBy("model", key).orderBy(F.col("__at").desc())
+    return d.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__at")
 
 
 def by_key_then_model(answers: DataFrame, key: str, model: str = "model") -> DataFrame:
