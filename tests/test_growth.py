@@ -1,5 +1,9 @@
 """What must not grow with the input faster than it, in small."""
 
+import random
+import re
+
+from tallyspark.operators import audit
 from tallyspark.plans import catalogue, files
 from tallyspark.plans.base import Tables
 from tallyspark.sources import places, readers
@@ -25,3 +29,55 @@ def test_the_last_line_wins_over_files_of_one_stem(spark):
     places.put(spark, f"{root}/b/m.jsonl", '{"uid": 1, "value": 4}\n')
     got = {(r["model"], r["uid"], r["value"]) for r in readers.jsonl_by_stem(spark, f"{root}/*/*.jsonl", "uid LONG, value DOUBLE", "uid").collect()}
     assert got == {("m", 1, 4.0), ("m", 2, 3.0)}
+
+
+def _plain(messages, tests, n=8, least=3):
+    """Violations of (row, message_index, role, content) in plain Python: (row, message_index or None, kind, test, overlap)."""
+    words = lambda t: re.sub(r"[^\w\s]", " ", (t or "").lower()).split()
+    grams = lambda w: {tuple(w[i : i + n]) for i in range(max(len(w) - n + 1, 1))} if w else set()
+
+    def best(text):
+        w = words(text)
+        if any(words(t) == w for _, t in tests):
+            return ("exact", None, 0)
+        found = [(-len(grams(w) & grams(words(t))), i) for i, t in tests]
+        found = [x for x in found if x[0] <= -least]
+        return ("ngram", min(found)[1], -min(found)[0]) if found else None
+
+    out = {(r, i, *v) for r, i, _, c in messages if c and (v := best(c))}
+    clean = {m[0] for m in messages} - {x[0] for x in out}
+    for r in clean:
+        v = best("\n".join(c or "" for x, _, _, c in sorted(messages, key=lambda m: m[1]) if x == r))
+        if v:
+            out.add((r, None, *v))
+    return out
+
+
+def test_violations_over_turns_as_plain_python_finds_them(spark):
+    g = random.Random(5)
+    tests = [(i, " ".join(g.choice("abcdefghij") * 3 for _ in range(k))) for i, k in enumerate((0, 3, 8, 9, 12, 15, 30, 40))]
+    messages = []
+    for row in range(300):
+        cut = [w for _ in range(g.randrange(1, 4)) for w in (g.choice(tests)[1].split(" ")[g.randrange(5) :] if g.random() < 0.6 else [g.choice("klmnop") for _ in range(g.randrange(20))])]
+        at = sorted(g.randrange(len(cut) + 1) for _ in range(g.randrange(6)))
+        parts = [cut[a:b] for a, b in zip([0, *at], [*at, len(cut)], strict=True)]
+        messages += [(row, i, "user", None if g.random() < 0.02 else " ".join(p)) for i, p in enumerate(parts)]
+    want = _plain(messages, tests)
+    assert {x[2] for x in want if x[1] is None} == {"exact", "ngram"}
+    m = spark.createDataFrame(messages, "row long, message_index long, role string, content string").repartition(3)
+    got = audit.decontam_violations(m, spark.createDataFrame(tests, "item_id long, text string"), first=None).collect()
+    assert {(r["row"], r["message_index"], r["kind"], r["test_id"], r["overlap"]) for r in got} == want and len(got) == len(want)
+
+
+def test_only_rows_that_can_hold_a_hit_are_put_together(spark, monkeypatch):
+    counts, written = {}, audit._written
+
+    def counted(df, label):
+        out = written(df, label)
+        counts[label] = out.count()
+        return out
+
+    monkeypatch.setattr(audit, "_written", counted)
+    t = Tables(spark, SF)
+    audit.decontam_violations(catalogue.chats(t), t("benchmark"), first=None).count()
+    assert counts["whole"] < t("documents").count() / 2
