@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark import TaskContext
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,27 +37,31 @@ def win_rates(scores: DataFrame, key: str) -> DataFrame:
 
 
 def _resampled(values: DataFrame, key: str, value: str, rounds: int, seed: int) -> DataFrame:
-    """(key, round, s, w): sums of values and of weights of ``rounds`` Poisson resamples.
-
-    Every row draws its weights where it lies, and a task sums them by key, so a hot key costs a row a
-    round and task, and rows are never multiplied."""
-
-    def draw(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
-        held: dict = {}
-        for p in parts:
-            for k, g in p.groupby(key, dropna=False):
-                x = g[value].to_numpy(float)
-                s, w = held.setdefault(k, (np.zeros(rounds), np.zeros(rounds, np.int64)))
-                for a in range(0, len(x), 4096):
-                    weights = rng.poisson(1.0, (min(4096, len(x) - a), rounds))
-                    s += x[a : a + 4096] @ weights
-                    w += weights.sum(0)
-        for k, (s, w) in held.items():
-            yield pd.DataFrame({key: [k] * rounds, "round": range(rounds), "s": s, "w": w})
-
-    d = values.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias(value))
-    return d.mapInPandas(draw, f"`{key}` {dict(values.dtypes)[key]}, round int, s double, w long").groupBy(key, "round").agg(F.sum("s").alias("s"), F.sum("w").alias("w"))
+    """(key, round, s, w): sums of values and of weights of ``rounds`` Poisson resamples, the rows of a key in one partition.
+
+    Equal values of a key draw their weights at once, as the sum of n Poisson(1) is Poisson(n), so a hot key costs
+    a row a round and distinct value.  A task holds the sums of a few rows' keys, never those of all its keys.
+    Draws depend on key, value and seed only."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, 1024):
+                b = whole.slice(a, 1024)
+                of, h, n, x = (b.column(c).to_numpy(zero_copy_only=False) for c in ("__k", "__h", "__n", "__x"))
+                begin = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+                s, w = np.zeros((len(begin), rounds)), np.zeros((len(begin), rounds), np.int64)
+                for i, j in enumerate(np.searchsorted(begin, np.arange(len(of)), "right") - 1):
+                    weights = np.random.default_rng([seed, int(h[i]) % (1 << 64)]).poisson(n[i], rounds)
+                    s[j] += x[i] * weights
+                    w[j] += weights
+                columns = [b.column("__key").take(pa.array(np.repeat(begin, rounds))), np.tile(np.arange(rounds, dtype=np.int32), len(begin)), s.ravel(), w.ravel()]
+                yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], [key, "round", "s", "w"])
+
+    d = values.where(F.col(value).isNotNull()).select(F.col(key).alias("__key"), F.col(value).cast("double").alias("__x"))
+    d = d.groupBy("__key", "__x").agg(F.count(F.lit(1)).alias("__n")).withColumns({"__k": F.xxhash64("__key"), "__h": F.xxhash64("__key", "__x")})
+    drawn = d.sortWithinPartitions("__key", "__x").mapInArrow(draw, f"`{key}` {dict(values.dtypes)[key]}, round int, s double, w long")
+    # Dealt by key once, for the sums and for what follows by key.
+    return drawn.repartition(key).groupBy(key, "round").agg(F.sum("s").alias("s"), F.sum("w").alias("w"))
 
 
 def bootstrap(scores: DataFrame, key: str, rounds: int = 100, seed: int = 42) -> DataFrame:

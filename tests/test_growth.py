@@ -3,7 +3,7 @@
 import random
 import re
 
-from tallyspark.operators import audit
+from tallyspark.operators import audit, judging
 from tallyspark.plans import catalogue, files
 from tallyspark.plans.base import Tables
 from tallyspark.sources import places, readers
@@ -81,3 +81,15 @@ def test_only_rows_that_can_hold_a_hit_are_put_together(spark, monkeypatch):
     t = Tables(spark, SF)
     audit.decontam_violations(catalogue.chats(t), t("benchmark"), first=None).count()
     assert counts["whole"] < t("documents").count() / 2
+
+
+def test_resampled_means_do_not_depend_on_partitions_and_are_poisson(spark):
+    rows = [(k, float(v)) for k in (1, 2, None) for v in (0, 0, 0.5, 1, 1, 1)] + [(9, float(i % 2)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k long, score double")
+    one, two = ({(r["k"], r["round"]): (round(r["s"], 6), r["w"]) for r in judging._resampled(df.repartition(n), "k", "score", 400, 7).collect()} for n in (1, 5))
+    assert one == two and len(one) == 4 * 400
+    w = [v[1] for (k, _), v in one.items() if k == 9]
+    mean = sum(w) / 400
+    assert abs(mean - 2000) < 15 and 1500 < sum((x - mean) ** 2 for x in w) / 400 < 2600
+    r = {x["k"]: x for x in judging.bootstrap(df, "k").collect()}[9]
+    assert abs(r["mean"] - 0.5) < 0.01 and abs(r["q95"] - r["q05"] - 2 * 1.645 * 0.5 / 2000**0.5) < 0.012
