@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from tallyspark.operators import audit, judging
 from tallyspark.plans import catalogue, files
 from tallyspark.plans.base import Tables
@@ -93,3 +95,16 @@ def test_resampled_means_do_not_depend_on_partitions_and_are_poisson(spark):
     assert abs(mean - 2000) < 15 and 1500 < sum((x - mean) ** 2 for x in w) / 400 < 2600
     r = {x["k"]: x for x in judging.bootstrap(df, "k").collect()}[9]
     assert abs(r["mean"] - 0.5) < 0.01 and abs(r["q95"] - r["q05"] - 2 * 1.645 * 0.5 / 2000**0.5) < 0.012
+
+
+def test_the_limiter_gets_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, str((1 << 31) - 64))
+        catalogue.QUERIES["repetition_limiter"](spark, SF)
+        size = F.pandas_udf(lambda x: x.map(lambda _: sum(map(len, x))), "long")
+        d = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+        assert d.select(size("text").alias("n")).agg(F.max("n")).first()[0] <= 8 << 20
+    finally:
+        spark.conf.set(name, before)
