@@ -108,3 +108,21 @@ def test_the_limiter_gets_small_batches(spark):
         assert d.select(size("text").alias("n")).agg(F.max("n")).first()[0] <= 8 << 20
     finally:
         spark.conf.set(name, before)
+
+
+def test_tfidf_keeps_one_row_a_text_and_merges_equal_keys(spark, monkeypatch):
+    counts, written = {}, audit._written
+
+    def counted(df, label):
+        out = written(df, label)
+        counts[label] = out.count()
+        return out
+
+    monkeypatch.setattr(audit, "_written", counted)
+    d = lambda rows: spark.createDataFrame(rows, "k long, text string")
+    far = audit.tfidf_distance(d([(1, "aa bb aa"), (2, "bb cc"), (3, None), (None, "a b"), (4, "cc dd")]), "k").first()
+    assert counts["terms"] == 3 and far["n"] == 5 and 0 < far["mean_cos_dist"] < 1
+    assert audit.tfidf_distance(d([]), "k").first()["mean_cos_dist"] == 0.0
+    one = audit.tfidf_distance(d([(1, "aa bb"), (1, "bb cc"), (2, "aa cc")]), "k").first()["mean_cos_dist"]
+    two = audit.tfidf_distance(d([(1, "aa bb bb cc"), (1, None), (2, "aa cc")]), "k").first()["mean_cos_dist"]
+    assert abs(one - two) < 1e-9
